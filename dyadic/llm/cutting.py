@@ -13,7 +13,6 @@ within the limit is one piece. Keys that occur again give their pieces again. On
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from functools import partial
@@ -27,9 +26,8 @@ from pyspark.sql import types as T
 from dyadic.llm import bpe
 from dyadic.llm.tokens import vocabulary
 
-#: Ends of paragraphs, lines and sentences; the cut comes after the match.
-STRONG = re.compile(r"\n\s*|[.!?。！？…]+[\"'”’)\]]*(?=\s)")
-WORD = re.compile(r"\S(?=\s)|\s(?=\S)|[,;|](?=\S)")
+#: Sentence ends outside ASCII, as bytes.
+WIDE_ENDS = tuple(x.encode() for x in ("\u3002", "\uff01", "\uff1f", "\u2026"))
 HOW = ("end", "strong", "word", "hard")
 OUT_BYTES = 8 << 20  # text after which a batch is handed to the JVM
 
@@ -67,6 +65,34 @@ def cut(n: int, limit: int, overlap: int, strong: np.ndarray, words: np.ndarray,
         start = back if whole[back] else step
 
 
+def places(raw: bytes, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a strong end, and whether the end of a word, is before each byte and behind the last one.
+
+    Strong: behind a run of white space with a line break in it, or behind . ! ? and closing quotes or brackets (at
+    most two) before white space. Words end before and behind white space and behind , ; |.
+    """
+    n = len(data)
+    blank = np.append((data == 32) | ((data >= 9) & (data <= 13)), True)
+    strong, words = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    words[1:] = (blank[1:] != blank[:-1]) | np.isin(data, (44, 59, 124))
+    run_ends = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1  # behind each run of white space that isn't the last
+    breaks = np.append(0, np.cumsum(data == 10))
+    starts = np.flatnonzero(blank[:-1] & ~np.append(False, blank[: n - 1]))[: len(run_ends)]
+    strong[run_ends[breaks[run_ends] > breaks[starts]]] = True
+    closing = np.append(np.isin(data, (34, 39, 41, 93)), False)
+    stop = np.append(False, np.isin(data, (33, 46, 63)))  # behind the mark
+    if len(raw) and any(w in raw for w in WIDE_ENDS):
+        for w in WIDE_ENDS:
+            at = raw.find(w)
+            while at >= 0:
+                stop[at + len(w)] = True
+                at = raw.find(w, at + 1)
+    for _ in range(3):
+        strong |= stop & blank
+        stop = np.append(False, stop[:-1] & closing[:-1])
+    return strong, words
+
+
 def pieces_of(text: str, ids: array, coder: bpe.ByteBpe, limits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, str, str]]:
     """Of each limit (number, tokens, overlap): number, piece number from 1, start and end token, kind of end, piece text."""
     n = len(ids)
@@ -75,26 +101,12 @@ def pieces_of(text: str, ids: array, coder: bpe.ByteBpe, limits: list[tuple[int,
             if n:
                 yield number, 1, 0, n, HOW[0], text
         return
-    token = np.frombuffer(ids, np.int32)
     ends = np.zeros(n + 1, np.int64)
-    np.cumsum(coder.bytes_of[token], out=ends[1:])
+    np.cumsum(coder.bytes_of[np.frombuffer(ids, np.int32)], out=ends[1:])
     raw = text.encode("utf-8", "surrogatepass")
-    if len(raw) == len(text):
-        byte_at = None
-        whole = np.ones(n + 1, bool)
-    else:
-        first = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
-        byte_at = np.append(np.flatnonzero(first), len(raw))
-        whole = np.append(first, True)[ends]
-
-    def tokens_at(chars: list[int]) -> np.ndarray:
-        at = np.array(chars, np.int64)
-        at = at if byte_at is None else byte_at[at]
-        found = np.searchsorted(ends, at)
-        return np.unique(found[ends[np.minimum(found, n)] == at])
-
-    strong = tokens_at([m.end() for m in STRONG.finditer(text)])
-    words = tokens_at([m.end() for m in WORD.finditer(text)])
+    data = np.frombuffer(raw, np.uint8)
+    whole = np.ones(n + 1, bool) if len(raw) == len(text) else np.append((data & 0xC0) != 0x80, True)[ends]
+    strong, words = (np.flatnonzero(mask[ends]) for mask in places(raw, data))
     for number, limit, overlap in limits:
         for k, (a, b, kind) in enumerate(cut(n, limit, overlap, strong, words, whole), 1):
             yield number, k, a, b, HOW[kind], raw[ends[a] : ends[b]].decode("utf-8", "replace")
