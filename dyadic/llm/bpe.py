@@ -1,15 +1,17 @@
 """Byte-level BPE from a public rank file, by contiguous rank arrays.
 
-A text is cut into words by the vocabulary's public pattern. Each distinct short word is held as the array of
+A text is parted at blanks that no word reaches across, and what follows each blank is cut into words by the
+vocabulary's public pattern; ids of parts and words that come again are remembered. Each distinct short word is held as the array of
 its part boundaries with the rank of every adjacent pair of parts; the smallest rank is found by a scan,
 its boundary is deleted, and the ranks of the two neighbouring pairs are refreshed, until no pair has a rank.
-Words of equal length form the rows of one matrix, so a scan is one numpy call for all of them. Words beyond
+Words of similar length form the rows of one matrix, so a scan is one numpy call for all of them. Words beyond
 SHORT bytes, where scans would be quadratic, go through a heap over a linked list with the same result.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 import os
 import re
@@ -26,7 +28,11 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
-SHORT = 32  # bytes of a word that is merged by scans
+#: A blank that no word reaches across: one of its neighbours isn't white space. The blank starts the next word.
+PARTING = re.compile(r"(?<!\s) | (?=\S)")
+
+WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)  # bytes of the longest word in a matrix
+SHORT = WIDTHS[-1]  # bytes of a word that is merged by scans
 KEPT = 96  # bytes of a word that stays in the cache
 NONE = np.int32(2**31 - 1)
 DEFAULT_RANKS = os.environ.get("DYADIC_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -55,6 +61,7 @@ class ByteBpe:
         self.words = regex.compile(PATTERN).findall
         self.ascii_words = re.compile(ASCII_PATTERN).findall
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.spaced: dict[str, tuple[int, ...]] = {}
         self.cache_words = cache_words
 
     def split(self, text: str) -> list[str]:
@@ -66,39 +73,43 @@ class ByteBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (b >= 0), self.values[at], NONE)
 
-    def _merge_rows(self, rows: np.ndarray) -> list[tuple[int, ...]]:
-        """Ids of words of one length, one word a row of bytes."""
-        n, width = rows.shape
-        done: list[tuple[int, ...]] = [()] * n
-        where, parts, end = np.arange(n), self.single[rows], np.full(n, width)
-        if width == 1:
-            return [(x,) for x in parts[:, 0].tolist()]
-        ranks, columns = self._ranks(parts[:, :-1], parts[:, 1:]), np.arange(width)
+    def _merge_rows(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of short words, one word a row of parts; rows end with -1."""
+        end = np.array([len(w) for w in words])
+        width = int(end.max())
+        done: list[tuple[int, ...]] = [()] * len(words)
+        parts = self.single[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)]
+        parts[np.arange(width) >= end[:, None]] = -1
+        where = np.arange(len(words))
+        ranks = self._ranks(parts[:, :-1], parts[:, 1:]) if width > 1 else np.full((len(words), 1), NONE)
         while len(where):
+            row = np.arange(len(where))
             best = ranks.argmin(1)
-            least = ranks[np.arange(len(where)), best]
+            least = ranks[row, best]
             over = least == NONE
             if over.any():
-                for w, row, k in zip(where[over].tolist(), parts[over].tolist(), end[over].tolist()):
-                    done[w] = tuple(row[:k])
+                for w, ids, k in zip(where[over].tolist(), parts[over].tolist(), end[over].tolist()):
+                    done[w] = tuple(ids[:k])
                 live = ~over
                 where, parts, ranks, best, least, end = (x[live] for x in (where, parts, ranks, best, least, end))
                 if not len(where):
                     break
-            row = np.arange(len(where))
-            shift = np.minimum(columns + (columns > best[:, None]), width - 1)
-            parts = np.take_along_axis(parts, shift, 1)
-            parts[:, -1] = -1
-            parts[row, best] = least
-            ranks = np.take_along_axis(ranks, np.minimum(columns[:-1] + (columns[:-1] > best[:, None]), width - 2), 1)
-            ranks[:, -1] = NONE
-            right = np.minimum(best + 1, width - 1)
-            fresh = self._ranks(least, np.where(best + 1 < width, parts[row, right], -1))
-            inside = best < width - 1
-            ranks[row[inside], best[inside]] = fresh[inside]
-            before = best > 0
-            ranks[row[before], best[before] - 1] = self._ranks(parts[row[before], best[before] - 1], least[before])
+                row = np.arange(len(where))
             end = end - 1
+            width = int(end.max())
+            column = np.arange(width)
+            after = column > best[:, None]
+            parts = np.where(after, parts[:, 1 : width + 1], parts[:, :width])  # the boundary behind best goes
+            parts[row, best] = least
+            if width == 1:
+                ranks = np.full((len(where), 1), NONE)
+                continue
+            ranks = np.where(after[:, :-1], ranks[:, 1:width], ranks[:, : width - 1])
+            inside, before = best < width - 1, best > 0
+            r, k = row[inside], best[inside]
+            ranks[r, k] = self._ranks(least[inside], parts[r, k + 1])
+            r, k = row[before], best[before]
+            ranks[r, k - 1] = self._ranks(parts[r, k - 1], least[before])
         return done
 
     def _merge_long(self, word: bytes) -> tuple[int, ...]:
@@ -121,25 +132,32 @@ class ByteBpe:
                 heapq.heappush(heap, (x, h, i))
         return tuple(x for x, a in zip(ids, alive) if a)
 
-    def learn(self, held: list[list[str]]) -> list[str]:
-        """Puts all words of held into the cache; returns those too long to stay there."""
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        by_length: dict[int, tuple[list[str], list[bytes]]] = {}
-        passing = []
-        for word in set().union(*held).difference(self.cache):
+    def learn(self, words: set[str]) -> None:
+        """Puts words into the cache."""
+        by_width: dict[int, tuple[list[str], list[bytes]]] = {}
+        for word in words.difference(self.cache):
             raw = word.encode("utf-8", "surrogatepass")
             if len(raw) > SHORT:
                 self.cache[word] = self._merge_long(raw)
-                if len(raw) > KEPT:
-                    passing.append(word)
             else:
-                names, raws = by_length.setdefault(len(raw), ([], []))
+                names, raws = by_width.setdefault(bisect.bisect_left(WIDTHS, len(raw)), ([], []))
                 names.append(word)
                 raws.append(raw)
-        for width, (names, raws) in by_length.items():
-            self.cache.update(zip(names, self._merge_rows(np.frombuffer(b"".join(raws), np.uint8).reshape(-1, width))))
-        return passing
+        for names, raws in by_width.values():
+            self.cache.update(zip(names, self._merge_rows(raws)))
+
+    def learn_spaced(self, parts: set[str]) -> list[str]:
+        """Puts the ids of each part, with a blank before it, into the cache; returns the parts too long to stay."""
+        new = [(part, self.split(" " + part)) for part in parts.difference(self.spaced)]
+        words = set().union(*(w for _, w in new))
+        self.learn(words)
+        get = self.cache.__getitem__
+        for part, w in new:
+            self.spaced[part] = tuple(chain.from_iterable(map(get, w))) if len(w) > 1 else get(w[0])
+        for word in words:
+            if len(word) > KEPT:
+                del self.cache[word]
+        return [part for part, _ in new if len(part) > KEPT]
 
     def encode_each(self, texts: Iterable[str | None], chunk_chars: int = 1 << 20) -> Iterator[tuple[str, array]]:
         """Text and ids, in order; null and empty texts have no ids."""
@@ -154,13 +172,25 @@ class ByteBpe:
         yield from self._encode_chunk(names)
 
     def _encode_chunk(self, texts: list[str]) -> Iterator[tuple[str, array]]:
-        held = [self.split(x) for x in texts]
-        passing = self.learn(held)
-        get = self.cache.__getitem__
-        for text, words in zip(texts, held):
-            yield text, array("i", chain.from_iterable(map(get, words)))
-        for word in passing:
-            del self.cache[word]
+        if len(self.spaced) > self.cache_words or len(self.cache) > self.cache_words:
+            self.spaced.clear()
+            self.cache.clear()
+        held = [PARTING.split(x) for x in texts]
+        heads = [self.split(parts[0]) for parts in held]
+        first = set().union(*heads)
+        self.learn(first)
+        passing = self.learn_spaced(set().union(*(parts[1:] for parts in held)))
+        self.learn(first)
+        get, spaced = self.cache.__getitem__, self.spaced.__getitem__
+        for text, head, parts in zip(texts, heads, held):
+            ids = array("i", chain.from_iterable(map(get, head)))
+            ids.extend(chain.from_iterable(map(spaced, parts[1:])))
+            yield text, ids
+        for part in passing:
+            del self.spaced[part]
+        for word in first:
+            if len(word) > KEPT:
+                del self.cache[word]
 
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_each([text]))[1].tolist()
