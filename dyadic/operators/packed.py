@@ -56,15 +56,17 @@ def split_field(field: Column, blanks_separate: bool = False) -> Column:
     """Array of (value, alternative, error) of the values of field, in order, missing ones left out."""
     found = F.regexp_extract_all(field, F.lit(grammar(blanks_separate).pattern), F.lit(0))
 
-    def value(m: Column, i: Column) -> Column:
+    def value(m: Column, before: Column) -> Column:
         double, single = m.rlike('^"[^"]*(?:""[^"]*)*"$') & (F.length(m) > 1), m.rlike("^'[^']*(?:''[^']*)*'$") & (F.length(m) > 1)
         inner = F.substring(m, F.lit(2), F.length(m) - 2)
         plain = F.when(double, F.replace(inner, F.lit('""'), F.lit('"'))).when(single, F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(m)
         alternative = F.when(double | single, "quoted").when(m.contains('"'), "bracketed").otherwise("bare")
-        broken = ((i > 0) & (F.get(found, i - 1) == '"')) | (~single & m.startswith("'"))
+        broken = (before == '"') | (~single & m.startswith("'"))
         return F.struct(F.regexp_replace(plain, _TRIM, "").alias("value"), alternative.alias("alternative"), F.when(broken, F.lit("unclosed_quote")).alias("error"), (m == '"').alias("stray"))
 
-    return F.filter(F.transform(found, value), lambda x: ~x["stray"] & ~x["value"].isin(*MISSING))
+    # each match beside the one before it; the last match stands alone at the end, and its null value goes with the filter
+    beside = F.zip_with(found, F.concat(F.array(F.lit("")), found), value)
+    return F.filter(beside, lambda x: ~x["stray"] & ~x["value"].isin(*MISSING))
 
 
 def unpack(df: DataFrame, key: str, fields: dict[str, bool]) -> DataFrame:
