@@ -68,8 +68,8 @@ def cut(n: int, limit: int, overlap: int, strong: np.ndarray, words: np.ndarray,
 def places(raw: bytes, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether a strong end, and whether the end of a word, is before each byte and behind the last one.
 
-    Strong: behind a run of white space with a line break in it, or behind . ! ? and closing quotes or brackets (at
-    most two) before white space. Words end before and behind white space and behind , ; |.
+    Strong: behind a run of white space with a line break in it, behind . ! ? and closing quotes or brackets (at most
+    two) before white space, or behind a wide mark. Words end before and behind white space and behind , ; |.
     """
     n = len(data)
     blank = np.append((data == 32) | ((data >= 9) & (data <= 13)), True)
@@ -85,7 +85,7 @@ def places(raw: bytes, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for w in WIDE_ENDS:
             at = raw.find(w)
             while at >= 0:
-                stop[at + len(w)] = True
+                stop[at + len(w)] = strong[at + len(w)] = True
                 at = raw.find(w, at + 1)
     for _ in range(3):
         strong |= stop & blank
