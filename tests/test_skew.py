@@ -53,3 +53,14 @@ def test_running_sums(spark):
         seen[g] = (seen[g][0] + x, seen[g][1] + 1)
         assert got[i] == seen[g]
     assert sorted(r.rank for r in ordering.ranked(df, [], [F.col("i").desc()]).collect()) == list(range(1, 501))
+
+
+def test_attach(spark):
+    table = data()
+    df = spark.createDataFrame([(k, i) for i, (k, _, _) in enumerate(table)] + [("lone%d" % i, -i) for i in range(1, 2000)], "k string, i int")
+    counts = df.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    got = {(r.k, r.i): r["first"] for r in skew.attach(df, counts, "k", "n", df.count(), ["first"]).collect()}
+    first = {}
+    for k, i in sorted(((r.k, r.i) for r in df.where("k is not null").collect()), key=lambda x: x[1]):
+        first.setdefault(k, i)
+    assert got == {(r.k, r.i): first[r.k] for r in df.where("k is not null").collect()}
