@@ -7,7 +7,7 @@ group is one (digest, tree), so two trees that shared a digest would still be tw
 
 The shuffles carry the digest, the tree's canonical text and the smallest key. Groups are aggregated before they are
 shuffled, so a group that holds a third of all rows is a few partial rows; when rows are given their group's
-first key, adaptive execution splits a large group. Rows without any content (no leaf left) have no copies.
+first key, the rows of large groups aren't shuffled. Rows without any content (no leaf left) have no copies.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dyadic.session import is_missing
+from dyadic.operators.skew import attach
+from dyadic.session import Workspace, is_missing
 
 
 @dataclass(frozen=True)
@@ -64,10 +65,12 @@ def copy_groups(df: DataFrame, key: str, tree: Leaf | Node, is_empty: Column) ->
 
 def copies(df: DataFrame, key: str, tree: Leaf | Node, is_empty: Column) -> DataFrame:
     """key, first_key and n_copies of each row that has content; the comparison is of digest and content."""
-    rows = df.where(~is_empty).select(F.col(key).alias("_key"), digest(tree).alias("digest"), canonical(tree).alias("content"))
+    work = Workspace(df.sparkSession, "merkle")
+    node = F.concat("digest", "content")
     # a group of one has no row to give its first key to
-    many = copy_groups(df, key, tree, is_empty).where("n_copies > 1")
-    return rows.join(many, ["digest", "content"]).select(F.col("_key").alias(key), "first_key", "n_copies")
+    many = work.save(copy_groups(df, key, tree, is_empty).where("n_copies > 1").select(node.alias("_node"), "first_key", "n_copies"), "groups")
+    rows = df.where(~is_empty).select(F.col(key).alias("_key"), digest(tree).alias("digest"), canonical(tree).alias("content")).select("_key", node.alias("_node"))
+    return attach(rows, many, "_node", "n_copies", df.count(), ["first_key", "n_copies"]).select(F.col("_key").alias(key), "first_key", "n_copies")
 
 
 def participants(a: str = "participant_a_id", b: str = "participant_b_id", pair_key: str = "canonical_pair_key") -> tuple[Column, Column]:

@@ -54,6 +54,17 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return found.select("row_id", F.col("first_key").alias("first_row_id"), "split")
 
 
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Of each split its rows, their share and the given one, and its distinct proteins."""
+    shares = _shares(spark, d)
+    given = F.create_map(*(F.lit(x) for name, pct in shares.items() for x in (name, pct / sum(shares.values()))))
+    records = table(spark, d, "ara_positive_c4_test_id0_50_cov0_80").select("row_id", *(F.when(~is_missing(c), F.col(c)).alias(c) for c in ("participant_a_id", "participant_b_id")))
+    rows = records.join(p6_splits(spark, d), "row_id").withColumn("_all", F.lit(records.count()))
+    sizes = rows.groupBy("split").agg(F.count("*").alias("n_rows"), (F.count("*") / F.first("_all")).alias("share"))
+    proteins = rows.select("split", F.explode(F.array("participant_a_id", "participant_b_id")).alias("p")).groupBy("split").agg(F.count_distinct("p").alias("n_proteins"))
+    return sizes.join(proteins, "split").withColumn("given_share", given[F.col("split")])
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -71,7 +82,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cutting.cut_texts(table(spark, d, "documents"), "doc_id", "text", _budgets(spark, d, "cut"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p4_found, p4_records, p6_found, p6_splits, p7_ids, p8_containers, p9_pieces)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p4_found, p4_records, p6_found, p6_splits, p6_summary, p7_ids, p8_containers, p9_pieces)}
 
 _GROUPS = """
 WITH RECURSIVE clean AS (

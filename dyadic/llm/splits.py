@@ -11,6 +11,8 @@ one by one, the largest first, each where most room is left for it in proportion
 of a hash of the family and fill what each split lacks. The running sum is taken within hash buckets, whose sums are
 a small table, so no task sums all families. Shares miss the given ones by less than a family at each border.
 
+Rows meet their family's row by a join that leaves the rows of large families where they are.
+
 Nulls and missing values link nothing; repeated records, ties and both columns holding one value need no care. An
 empty table gives an empty result. Rows with equal keys are one record: they share their family.
 """
@@ -22,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dyadic.operators.skew import attach
 from dyadic.session import Workspace
 
 GIANT = 0.001  # share of the rows from which a family is placed by itself
@@ -81,8 +84,8 @@ def families(records: DataFrame, key: str, shared: list[Column], work: Workspace
     # null vertices take no part in the joins and stay families of one row
     labelled = first.where("vertex is not null").join(vertices, "vertex", "left").select("_key", F.coalesce("family", "vertex").alias("_family"))
     labelled = work.save(labelled, "labelled")
-    least = labelled.groupBy("_family").agg(F.min("_key").alias("first_key"))
-    together = labelled.join(least, "_family").select("_key", "first_key")
+    least = work.save(labelled.groupBy("_family").agg(F.min("_key").alias("first_key"), F.count("*").alias("n")), "least")
+    together = attach(labelled, least, "_family", "n", labelled.count(), ["first_key"]).select("_key", "first_key")
     alone = first.where("vertex is null").select("_key", F.col("_key").alias("first_key"))
     return together.unionByName(alone).select(F.col("_key").alias(key), "first_key")
 
@@ -117,8 +120,8 @@ def split_by_weight(members: DataFrame, key: str, shares: dict[str, float], work
     running = F.sum("weight").over(Window.partitionBy("_bucket").orderBy("_h", "first_key"))
     middle = running - F.col("weight") / 2 + F.col("_ahead")
     tag = reduce(lambda c, x: c.when(middle < x[1], F.lit(x[0])), order[:-1], F).otherwise(F.lit(order[-1][0])) if len(order) > 1 else F.lit(order[-1][0])
-    tagged = rest.join(ahead, "_bucket").select("first_key", tag.alias("split"))
+    tagged = rest.join(ahead, "_bucket").select("first_key", "weight", tag.alias("split"))
     for name, keys in placed.items():
         if keys:
-            tagged = tagged.unionByName(weights.where(F.col("first_key").isin(keys)).select("first_key", F.lit(name).alias("split")))
-    return members.join(tagged, "first_key").select(key, "first_key", "split")
+            tagged = tagged.unionByName(weights.where(F.col("first_key").isin(keys)).select("first_key", "weight", F.lit(name).alias("split")))
+    return attach(members, work.save(tagged, "tagged"), "first_key", "weight", total, ["split"]).select(key, "first_key", "split")
