@@ -129,3 +129,11 @@ def endpoint_degree(edges: DataFrame, a: str, b: str, by: tuple[str, ...] = ())
 def support_histogram(sets: DataFrame, keys: list[str], source: str) -> DataFrame:
     """How many keys are supported by how many distinct sources."""
     return sets.groupBy(*keys).agg(F.count_distinct(source).alias("n_sources")).groupBy("n_sources").agg(F.count("*").alias("n_keys"))
+
+
+def semantics(genetic: Column, computational: Column, kind: Column, direct: Column, proximity: Column, physical: Column) -> Column:
+    """What an interaction means: by the assay's nature, then the interaction type, then what the assay supports."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    has = lambda *terms: yes(kind.rlike("|".join(terms)))
+    by_type = F.when(yes(genetic), "genetic").when(yes(computational), "computational").when(has("MI:0407"), "direct_binary").when(has("MI:0914", "MI:0915"), "physical_association").when(has("MI:0462"), "functional")
+    return by_type.when(yes(direct), "direct_binary").when(yes(proximity), "proximity").when(yes(physical), "physical_association").otherwise("unknown")

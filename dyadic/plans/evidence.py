@@ -395,4 +395,17 @@ def spiral_layout(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
+@query(
+    """SELECT evidence_id, CASE WHEN e.assay_family = 'genetic' THEN 'genetic' WHEN e.assay_family = 'computational' THEN 'computational' WHEN regexp_matches(interaction_type_raw, 'MI:0407') THEN 'direct_binary' WHEN regexp_matches(interaction_type_raw, 'MI:0914|MI:0915') THEN 'physical_association' WHEN regexp_matches(interaction_type_raw, 'MI:0462') THEN 'functional'
+WHEN supports_direct_binding THEN 'direct_binary' WHEN supports_proximity_only THEN 'proximity' WHEN supports_physical_association THEN 'physical_association' ELSE 'unknown' END AS semantics
+FROM combine_evidence AS e LEFT JOIN (SELECT DISTINCT lower(source_term) AS k, supports_direct_binding, supports_proximity_only, supports_physical_association FROM assay_mapping) AS v ON v.k = lower(detection_method_raw)"""
+)
+def infer_semantics(spark: SparkSession, d: str) -> DataFrame:
+    flags = ["supports_direct_binding", "supports_proximity_only", "supports_physical_association"]
+    vocabulary = table(spark, d, "assay_mapping").select(F.lower("source_term").alias("k"), *flags).distinct()
+    rows = R.cascade(evidence(spark, d).select("evidence_id", "assay_family", "interaction_type_raw", "detection_method_raw"), [F.lower("detection_method_raw")], vocabulary, "k", flags)
+    family = F.col("assay_family")
+    return rows.select("evidence_id", P.semantics(family == "genetic", family == "computational", F.col("interaction_type_raw"), *map(F.col, flags)).alias("semantics"))
+
+
 QUERIES, SQL = CATALOGUE.queries, CATALOGUE.sql

@@ -62,7 +62,7 @@ def string_layout(path: str) -> bool:
 
 
 def xlms(spark: SparkSession, path: str) -> DataFrame:
-    """Quoted cross-link records with a header; columns are named by number, record_no counts records of a file."""
+    """Quoted cross-link records with a header, which may contain line breaks; the second participant is the first where it is missing."""
     schema = ", ".join(f"c{i} string" for i in range(32))
     rows = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", True).csv(path)
     peptides = X.peptide_pair(F.col("c4"))

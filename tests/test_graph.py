@@ -142,3 +142,17 @@ def test_cascade_and_ends(spark):
     assert got == {"A-1": (1, 2), "B": (2, 1), "X": (0, None), None: (0, None)}
     ends = R.both_ends(spark.createDataFrame([("A", "B"), ("A", "X")], "a string, b string"), "a", "b", d, "id", "v").collect()
     assert [(r.a_v, r.b_v) for r in ends] == [(1, 2)]
+
+
+def test_fixed_values(spark):
+    from dyadic.functions import fixed
+
+    known = fixed.techniques(spark)
+    assert known.count() == known.select("raw_name").distinct().count() == 74
+    methods = spark.createDataFrame([("p", ["Two-hybrid", "two hybrid", "pull down"]), ("q", ["magic"])], "k string, m array<string>")
+    assert {r.k: r.technique_total for r in pairs.technique_totals(methods, "k", F.col("m"), known).collect()} == {"p": 7.5, "q": 1.0}
+    notes = spark.createDataFrame([("a1", "G1", "IDA"), ("A1", "G2", "IEA"), ("B1", "G9", "TAS")], "locus string, term string, evidence_code string")
+    terms = spark.createDataFrame([("G1", "nucleus"), ("G2", "vacuole")], "term string, compartment string")
+    assert {r.locus: (r.mask, r.weight) for r in fixed.annotation_summary(notes, terms).collect()} == {"A1": (1 + 128, 3), "B1": (0, 2)}
+    one = spark.createDataFrame([(3, None, 500, 300)], "wa int, wb int, la int, lb int")
+    assert one.select(fixed.priority_score((F.col("wa"), F.col("wb")), (F.col("la"), F.col("lb")))).first()[0] == 40_000_800
