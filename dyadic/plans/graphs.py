@@ -311,7 +311,7 @@ def degree_safe_holdout(spark: SparkSession, d: str) -> DataFrame:
 
 @query(LABELLED + "SELECT row_id, partition, hippie_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY hippie_score DESC NULLS LAST, md5(row_id || '|42'), row_id) AS rank FROM l) WHERE rank <= CASE partition WHEN 'C1' THEN 80 WHEN 'C2' THEN 40 ELSE 20 END")
 def topk_tiebreak(spark: SparkSession, d: str) -> DataFrame:
-    return S.take_best(_labelled(spark, d), "partition", {"C1": 80, "C2": 40, "C3": 20}, "hippie_score", ["row_id"]).select("row_id", "partition", "hippie_score", "rank")
+    return S.take_best(_labelled(spark, d), "partition", {"C1": 80, "C2": 40, "C3": 20}, "hippie_score", ["row_id"], cap=True).select("row_id", "partition", "hippie_score", "rank")
 
 
 @query(LABELLED + "SELECT partition, count(*) AS n_positive, 10 * count(*) AS n_wanted, sum(evidence_count)::BIGINT AS n_evidence FROM l GROUP BY partition")
