@@ -3,8 +3,8 @@
 Records are linked by what they share. Every shared value is a vertex and a record links its values. Each round
 every vertex throws a coin (a hash of the vertex and the round); a vertex with tails joins its smallest neighbour
 with heads. Joins relabel the edges, which are made distinct, until none is left; a quarter or more of the vertices
-with edges is expected to go each round. Unwinding the rounds from the last gives every vertex its family, and a
-record has the family of any of its values. A record without a value is a family of its own.
+with edges is expected to go each round. Unwinding the rounds, by doubling the way to the vertex that is left at the end,
+gives every vertex its family, and a record has the family of any of its values. A record without a value is a family of its own.
 
 Families are then split by cumulative weight (rows). Those over GIANT of all rows, fewer than 1 / GIANT, are placed
 one by one, the largest first, each where most room is left for it in proportion; the others follow in the order
@@ -29,45 +29,37 @@ from dyadic.session import Workspace
 
 GIANT = 0.001  # share of the rows from which a family is placed by itself
 BUCKET_FAMILIES = 50_000  # families that one running sum holds, on average
-CHAIN = 6  # joins of the unwinding after which a table is written
 
 
-def _coin(vertex: str, turn: int) -> Column:
-    """True for heads."""
-    return F.xxhash64(F.col(vertex), F.lit(turn)) % 2 == 0
+def _heads(vertex: str) -> Column:
+    """The coin of a vertex in the round that column turn numbers; a column, so that all rounds run the same code."""
+    return F.xxhash64(F.col(vertex), F.col("turn")) % 2 == 0
 
 
 def contract(edges: DataFrame, work: Workspace) -> DataFrame:
     """vertex and family (one of its vertices) of every vertex of edges (u, v)."""
     ends = F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("n")), F.struct(F.col("v").alias("c"), F.col("u").alias("n")))
-    distinct = lambda d: d.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
-    left = work.save(distinct(edges), "edges0")
-    joined: list[DataFrame] = []
+    distinct = lambda d: d.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "turn").where("u <> v").distinct()
+    left = work.save(distinct(edges.withColumn("turn", F.lit(0))), "edges0")
     turn = 0
     while not left.isEmpty():
-        mates = left.select(F.inline(ends)).where(~_coin("c", turn) & _coin("n", turn)).groupBy("c").agg(F.min("n").alias("p"))
-        mates = work.save(mates, f"mates{turn}")
-        joined.append(mates)
+        mates = left.select(F.inline(ends), "turn").where(~_heads("c") & _heads("n")).groupBy("c").agg(F.min("n").alias("p"))
+        mates = work.save(mates, f"mates/turn={turn}")
         of_u, of_v = (mates.select(F.col("c").alias(x), F.col("p").alias(f"p{x}")) for x in "uv")
-        relabelled = left.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
+        relabelled = left.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"), F.col("turn") + 1)
         turn += 1
-        left = work.save(distinct(relabelled), f"edges{turn}")
+        left = work.save(distinct(relabelled.toDF("u", "v", "turn")), f"edges{turn}")
         work.drop(f"edges{turn - 1}")
-    if not joined:
+    if not turn:
         return left.select(F.col("u").alias("vertex"), F.col("v").alias("family"))
-    # every vertex that went away, with the vertex that it is in at the end
-    labels = joined.pop()
-    depth = 0
-    while joined:
-        known = labels.select(F.col("c").alias("_c"), F.col("p").alias("_to"))
-        older = joined.pop().join(known, F.col("p") == F.col("_c"), "left").select("c", F.coalesce("_to", "p").alias("p"))
-        labels = labels.unionByName(older)
-        depth += 1
-        if depth % CHAIN == 0:
-            labels = work.save(labels, f"labels{depth}")
-    labels = work.save(labels, "labels")
-    stayed = labels.select(F.col("p").alias("c")).distinct()
-    return labels.unionByName(stayed.select("c", F.col("c").alias("p"))).select(F.col("c").alias("vertex"), F.col("p").alias("family"))
+    # a vertex has gone into its mate once, and the mate in a later round: no way to the end is longer than the rounds
+    labels = edges.sparkSession.read.schema(mates.schema).parquet(f"{work.root}/mates/*")
+    for k in range(turn.bit_length()):
+        beyond = labels.select(F.col("c").alias("_c"), F.col("p").alias("_to"))
+        labels = work.save(labels.join(beyond, F.col("p") == F.col("_c"), "left").select("c", F.coalesce("_to", "p").alias("p")), f"labels{k}")
+        work.drop("mates" if k == 0 else f"labels{k - 1}")
+    stayed = labels.select("p").distinct().select(F.col("p").alias("c"), "p")
+    return labels.unionByName(stayed).select(F.col("c").alias("vertex"), F.col("p").alias("family"))
 
 
 def families(records: DataFrame, key: str, shared: list[Column], work: Workspace | None = None) -> DataFrame:
