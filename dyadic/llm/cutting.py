@@ -28,6 +28,10 @@ from dyadic.llm.tokens import vocabulary
 
 #: Sentence ends outside ASCII, as bytes.
 WIDE_ENDS = tuple(x.encode() for x in ("\u3002", "\uff01", "\uff1f", "\u2026"))
+#: Of each byte, as bits: white space, , ; |, closing quotes and brackets, . ! ?
+CLASS = np.zeros(256, np.uint8)
+for bit, members in ((1, b" \t\n\v\f\r"), (2, b",;|"), (4, b"\"')]"), (8, b".!?")):
+    CLASS[list(members)] |= bit
 HOW = ("end", "strong", "word", "hard")
 OUT_BYTES = 8 << 20  # text after which a batch is handed to the JVM
 
@@ -72,15 +76,16 @@ def places(raw: bytes, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     two) before white space, or behind a wide mark. Words end before and behind white space and behind , ; |.
     """
     n = len(data)
-    blank = np.append((data == 32) | ((data >= 9) & (data <= 13)), True)
+    kind = CLASS[data]
+    blank = np.append((kind & 1).astype(bool), True)
     strong, words = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-    words[1:] = (blank[1:] != blank[:-1]) | np.isin(data, (44, 59, 124))
+    words[1:] = (blank[1:] != blank[:-1]) | (kind & 2).astype(bool)
     run_ends = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1  # behind each run of white space that isn't the last
     breaks = np.append(0, np.cumsum(data == 10))
     starts = np.flatnonzero(blank[:-1] & ~np.append(False, blank[: n - 1]))[: len(run_ends)]
     strong[run_ends[breaks[run_ends] > breaks[starts]]] = True
-    closing = np.append(np.isin(data, (34, 39, 41, 93)), False)
-    stop = np.append(False, np.isin(data, (33, 46, 63)))  # behind the mark
+    closing = np.append((kind & 4).astype(bool), False)
+    stop = np.append(False, (kind & 8).astype(bool))  # behind the mark
     if len(raw) and any(w in raw for w in WIDE_ENDS):
         for w in WIDE_ENDS:
             at = raw.find(w)
