@@ -131,14 +131,14 @@ def cluster_statistics(members: DataFrame, cluster: str, by: tuple[str, ...] = (
 
 
 def intra_cluster_pairs(members: DataFrame, cluster: str, key: str) -> DataFrame:
-    """cluster, key_1 < key_2 of all pairs within a cluster."""
+    """cluster, key_1 < key_2 of all pairs within a cluster; as many as there are, so cluster_density counts without them."""
     left, right = members.select(F.col(cluster).alias("cluster"), F.col(key).alias("key_1")), members.select(F.col(cluster).alias("cluster"), F.col(key).alias("key_2"))
     return left.join(right, "cluster").where("key_1 < key_2")
 
 
-def upper_median(c: Column) -> Column:
-    """Aggregate: the element at n // 2 of the sorted values."""
-    return F.try_element_at(F.array_sort(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int") + 1)
+def upper_median(column: str) -> Column:
+    """Aggregate: the element at n // 2 of the sorted values, from counts of the distinct ones."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def cluster_density(members: DataFrame, cluster: str, key: str, similar: DataFrame, least: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadic.functions import numeric as N
@@ -60,10 +60,9 @@ def taxon_flags(a: Column, b: Column, plants: tuple[int, ...], holdout: tuple[in
     }
 
 
-def joined_set(c: Column, most: int | None = None, default: str | None = None) -> Column:
-    """Aggregate: the distinct values that aren't missing, sorted and joined, at most the first most of them."""
-    values = F.array_sort(F.collect_set(X.null_sentinel(c)))
-    out = F.array_join(values if most is None else F.slice(values, 1, most), "|")
+def joined_set(c: Column, default: str | None = None) -> Column:
+    """Aggregate: the distinct values that aren't missing, sorted and joined."""
+    out = F.array_join(F.array_sort(F.collect_set(X.null_sentinel(c))), "|")
     return out if default is None else F.when(out == "", default).otherwise(out)
 
 
@@ -71,26 +70,28 @@ def consolidate(evidence: DataFrame, a: str, b: str, source: str, kind: str, met
     """One row for each unordered pair with what its evidence says.
 
     Distinct values are sets within a pair, so partial aggregation keeps a pair's repetitions off the shuffle; their
-    size is bounded by the vocabularies and by the publications of one pair.
+    size is bounded by the vocabularies and by the publications of one pair. Record ids, as many as the rows,
+    are cut to the first ten of each pair before they are shuffled.
     """
     pmids = F.collect_set(X.null_sentinel(F.col(pmid)))
-    return (
-        evidence.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        .groupBy(F.least(a, b).alias("participant_a_id"), F.greatest(a, b).alias("participant_b_id"))
-        .agg(
-            F.count("*").alias("evidence_count"),
-            joined_set(F.col(source)).alias("sources"),
-            joined_set(F.col(kind), default="physical").alias("interaction_types"),
-            joined_set(F.col(method), default="unspecified").alias("detection_methods"),
-            F.size(pmids).alias("pmid_count"),
-            F.array_join(F.array_sort(pmids), "|").alias("pmids"),
-            joined_set(F.col(year).cast("string")).alias("publication_years"),
-            joined_set(F.col(record), 10).alias("source_record_ids"),
-            F.max(F.when(~F.isnan(F.col(score)), F.col(score))).alias("max_score"),
-        )
-        .withColumn("pair_key", canonical_key("participant_a_id", "participant_b_id"))
-        .withColumn("pair_type", F.when(F.col("participant_a_id") == F.col("participant_b_id"), "homomer").otherwise("heteromer"))
+    ends = [F.least(a, b).alias("participant_a_id"), F.greatest(a, b).alias("participant_b_id")]
+    known = evidence.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    main = known.groupBy(*ends).agg(
+        F.count("*").alias("evidence_count"),
+        joined_set(F.col(source)).alias("sources"),
+        joined_set(F.col(kind), default="physical").alias("interaction_types"),
+        joined_set(F.col(method), default="unspecified").alias("detection_methods"),
+        F.size(pmids).alias("pmid_count"),
+        F.array_join(F.array_sort(pmids), "|").alias("pmids"),
+        joined_set(F.col(year).cast("string")).alias("publication_years"),
+        F.max(F.when(~F.isnan(F.col(score)), F.col(score))).alias("max_score"),
     )
+    keys = ["participant_a_id", "participant_b_id"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_r"))
+    first = known.select(*ends, X.null_sentinel(F.col(record)).alias("_r")).where("_r IS NOT NULL").distinct().withColumn("_at", place).where("_at <= 10")
+    records = first.groupBy(*keys).agg(joined_set(F.col("_r")).alias("source_record_ids"))
+    out = main.join(records, keys, "left").withColumn("source_record_ids", F.coalesce("source_record_ids", F.lit("")))
+    return out.withColumn("pair_key", canonical_key(*keys)).withColumn("pair_type", F.when(F.col(keys[0]) == F.col(keys[1]), "homomer").otherwise("heteromer"))
 
 
 def technique_totals(pairs: DataFrame, key: str, methods: Column, techniques: DataFrame) -> DataFrame:

@@ -28,24 +28,33 @@ def bisect(pairs: DataFrame, a: str, b: str, communities: DataFrame, cut_share:
     """vertex and is_test: whole communities become test vertices so that the share of pairs with one test end comes
     near cut_share and that with two near test_share.
 
-    communities: node, component. Every restart hashes the communities anew, every step takes more of them; all
-    trials are measured in one aggregation over the pairs, and the one of least squared error wins, the first of equals.
+    communities: node, component. Every restart hashes the communities anew, which gives each the step from which it is
+    taken; the pairs of two communities are counted by restart and by their two steps, a table of at most restarts
+    * (steps + 1)^2 rows that tells the shares after every step of every restart. The trial of least squared error
+    wins, the first of equals.
     """
-    trials = F.array(*(F.struct(F.lit(r).alias("r"), F.lit((s + 1) / (steps + 1)).alias("share")) for r in range(restarts) for s in range(steps)))
+    most = cut_share + test_share
+
+    def level(component: str, restart: Column) -> Column:
+        x = F.abs(F.xxhash64(F.col(component), restart) % 1_000_003) / 1_000_003
+        return F.least(F.lit(steps), F.floor(x * (steps + 1) / most)).cast("int")
+
     side = lambda x: communities.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"_k{x}"))
     known = pairs.join(side("a"), F.col(a) == F.col("_a")).join(side("b"), F.col(b) == F.col("_b"))
-    links = known.groupBy("_ka", "_kb").agg(F.count("*").alias("n"))
-    chosen = lambda k: F.xxhash64(F.col(k), F.col("t.r")) % 1_000_003
-    in_test = lambda k: F.abs(chosen(k)) < F.col("t.share") * 1_000_003 * (cut_share + test_share)
-    hits = links.withColumn("t", F.explode(trials)).select("t", "n", (in_test("_ka").cast("int") + in_test("_kb").cast("int")).alias("ends"))
-    total = F.sum("n")
-    loss = F.pow(F.sum(F.when(F.col("ends") == 1, F.col("n")).otherwise(0)) / total - cut_share, 2) + F.pow(F.sum(F.when(F.col("ends") == 2, F.col("n")).otherwise(0)) / total - test_share, 2)
-    best = hits.groupBy("t").agg(loss.alias("loss")).orderBy("loss", "t.r", "t.share").first()
-    if best is None:
+    tried = known.groupBy("_ka", "_kb").agg(F.count("*").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    tried = tried.select("r", "n", level("_ka", F.col("r")).alias("x"), level("_kb", F.col("r")).alias("y"))
+    counts = tried.groupBy("r", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.sum("n").alias("n")).collect()
+    trials = []
+    for r in range(restarts):
+        own = [c for c in counts if c["r"] == r]
+        total = sum(c["n"] for c in own)
+        for s in range(steps if total else 0):
+            one, two = (sum(c["n"] for c in own if f(c)) / total for f in (lambda c: c["lo"] <= s < c["hi"], lambda c: c["hi"] <= s))
+            trials.append(((one - cut_share) ** 2 + (two - test_share) ** 2, r, s))
+    if not trials:
         return communities.select(F.col("node").alias("vertex"), F.lit(False).alias("is_test"))
-    r, share = best["t"]["r"], best["t"]["share"]
-    test = F.abs(F.xxhash64("component", F.lit(r)) % 1_000_003) < share * 1_000_003 * (cut_share + test_share)
-    return communities.select(F.col("node").alias("vertex"), test.alias("is_test"))
+    _, r, s = min(trials)
+    return communities.select(F.col("node").alias("vertex"), (level("component", F.lit(r)) <= s).alias("is_test"))
 
 
 def degree_safe_holdout(edges: DataFrame, u: str, v: str, share: float, seed: int = 42) -> DataFrame:

@@ -165,7 +165,7 @@ def cluster_density(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT cluster_id, list_sort(list(hippie_score))[count(hippie_score) // 2 + 1] AS upper_median FROM {C4} WHERE cluster_id >= 0 AND hippie_score IS NOT NULL GROUP BY cluster_id")
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, C4).where("cluster_id >= 0 AND hippie_score IS NOT NULL").groupBy("cluster_id").agg(G.upper_median(F.col("hippie_score")).alias("upper_median"))
+    return table(spark, d, C4).where("cluster_id >= 0 AND hippie_score IS NOT NULL").groupBy("cluster_id").agg(G.upper_median("hippie_score").alias("upper_median"))
 
 
 @query(f"SELECT x.cluster_id AS cluster, x.row_id AS key_1, y.row_id AS key_2 FROM {C4} AS x JOIN {C4} AS y ON x.cluster_id = y.cluster_id AND x.row_id < y.row_id WHERE x.cluster_id >= 0")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadic.functions import text as X
@@ -164,5 +164,6 @@ def shard(df: DataFrame, order: Sequence[Column], k: int, of: int) -> DataFrame:
 
 def per_source_sample(df: DataFrame, source: str, order: Sequence[Column], step: int, most: int) -> DataFrame:
     """Every step-th row of each source, at most so many of each."""
-    w = Window.partitionBy(source).orderBy(*order)
-    return df.withColumn("_i", F.row_number().over(w)).where(((F.col("_i") - 1) % step == 0) & (F.col("_i") <= step * most)).drop("_i")
+    from dyadic.operators.ordering import ranked
+
+    return ranked(df, [source], order, "_i").where(((F.col("_i") - 1) % step == 0) & (F.col("_i") <= step * most)).drop("_i")
