@@ -156,3 +156,47 @@ def test_fixed_values(spark):
     assert {r.locus: (r.mask, r.weight) for r in fixed.annotation_summary(notes, terms).collect()} == {"A1": (1 + 128, 3), "B1": (0, 2)}
     one = spark.createDataFrame([(3, None, 500, 300)], "wa int, wb int, la int, lb int")
     assert one.select(fixed.priority_score((F.col("wa"), F.col("wb")), (F.col("la"), F.col("lb")))).first()[0] == 40_000_800
+
+
+def representatives(spark, lengths, weights):
+    from dyadic.functions.fixed import priority_score
+
+    similar = spark.createDataFrame([("A1", "A2", 0.9), ("B1", "B2", 0.9)], "u string, v string, similarity double")
+    homologs = G.reflexive(similar, spark.createDataFrame([(n,) for n in lengths], "node string"), "node")
+    rows = [("A1", "B1"), ("A1", "B2"), ("A2", "B1"), ("A2", "B2"), ("S1", "S2")]
+    both = spark.createDataFrame([(f"{a}|{b}", a, b, weights.get(a, 1), weights.get(b, 1), lengths[a], lengths[b]) for a, b in rows], "k string, a string, b string, wa int, wb int, la int, lb int")
+    scored = both.withColumn("score", priority_score((F.col("wa"), F.col("wb")), (F.col("la"), F.col("lb"))))
+    links = G.redundant_pairs(both, "k", "a", "b", homologs).where("similarity >= 0.5").select(F.col("key_1").alias("u"), F.col("key_2").alias("v"))
+    ranks = G.priority([F.desc("score"), F.col("a"), F.col("b")], scored)
+    return {r.node: r.representative for r in G.greedy_representatives(ranks, "k", links, "rank").collect()}
+
+
+def test_redundancy_end_to_end(spark):
+    lengths = {"A1": 500, "A2": 300, "B1": 600, "B2": 200, "S1": 400, "S2": 450}
+    got = representatives(spark, lengths, {"A1": 3, "B1": 3})
+    assert set(got.values()) == {"A1|B1", "S1|S2"} and sum(k != v for k, v in got.items()) == 3
+
+
+def test_evidence_comes_before_length(spark):
+    lengths = {"A1": 500, "A2": 300, "B1": 600, "B2": 200, "S1": 400, "S2": 450}
+    assert set(representatives(spark, lengths, {"A2": 3, "B2": 3}).values()) == {"A2|B2", "S1|S2"}
+
+
+def test_components_decouple(spark):
+    edges = spark.createDataFrame([("A1", "A2"), ("B1", "B2")], "u string, v string")
+    parts = G.components(spark.createDataFrame([(x,) for x in ("A1", "A2", "B1", "B2", "C1", "D1")], "node string"), edges)
+    assert parts.select("component").distinct().count() == 4
+    both = spark.createDataFrame([("A1", "B1"), ("B2", "A2"), ("C1", "D1")], "a string, b string")
+    assert [r.component_key for r in G.component_keys(both, "a", "b", parts).orderBy("a").collect()] == ["A1|B1", "A1|B1", "C1|D1"]
+
+
+def test_pools_and_quotas(spark):
+    test = [f"T{i}" for i in range(1, 9)]
+    pool = lambda k, n: [(f"{k}{i}", f"{k}{j}") for i in range(1, n) for j in range(i + 1, n)]
+    rows = pool("T", 6) + [("T1", f"U{i}") for i in range(1, 7)] + [("X", "Y")] + pool("U", 5)
+    df = spark.createDataFrame([(a, b, float(i)) for i, (a, b) in enumerate(rows)], "a string, b string, s double")
+    named = S.label_by_test_vertices(df, "a", "b", spark.createDataFrame([(t,) for t in test], "v string"), "v", ("none", "cut", "inner"))
+    assert {r["partition"]: r["count"] for r in named.groupBy("partition").count().collect()} == {"inner": 10, "cut": 6, "none": 7}
+    taken = S.take_best(named, "partition", {"inner": 8, "cut": 4, "none": 4}, "s", ["a", "b"])
+    assert {r["partition"]: r["count"] for r in taken.groupBy("partition").count().collect()} == {"inner": 8, "cut": 4, "none": 4}
+    assert taken.where("partition = 'cut'").agg(F.min("s")).first()[0] == 12.0
