@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dyadic.functions.numeric import bits_set
+
 #: Weights of detection techniques; names that mean the same technique stand on one line, the technique first.
 TECHNIQUE_WEIGHTS = """
 5.0 two-hybrid = two hybrid
@@ -108,8 +110,7 @@ def annotation_summary(annotations: DataFrame, terms: DataFrame) -> DataFrame:
     annotations: locus, term, evidence_code. terms: term, compartment, a given table.
     """
     rows = annotations.withColumn("locus", F.upper(F.trim("locus"))).join(terms, "term", "left")
-    bit = compartment_bit(F.col("compartment"))
-    mask = F.bit_or(F.when(bit.isNotNull(), F.pow(F.lit(2), bit).cast("int")))
+    mask = bits_set(compartment_bit(F.col("compartment")))
     return rows.groupBy("locus").agg(F.coalesce(mask, F.lit(0)).alias("mask"), F.max(evidence_weight(F.col("evidence_code"))).alias("weight"))
 
 

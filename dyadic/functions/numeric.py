@@ -42,9 +42,9 @@ def unpacked_edge(e: Column) -> tuple[Column, Column]:
     return F.shiftright(e, 32), e.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def mask_of(bits: Column) -> Column:
-    """Aggregate: the mask in which the given bits are set."""
-    return F.bit_or(F.expr("shiftleft(1, 0)") * F.pow(F.lit(2), bits).cast("int"))
+def bits_set(bit: Column) -> Column:
+    """Aggregate: the mask in which the given bits, below 31, are set; null bits are left out."""
+    return F.bit_or(F.pow(F.lit(2), bit).cast("int"))
 
 
 def mask_names(mask: Column, names: Sequence[str], sep: str = "|") -> Column:

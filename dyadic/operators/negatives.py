@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadic.functions.numeric import bits_set
+
 
 def category_mask(rows: DataFrame, key: str, bit: Column) -> DataFrame:
     """key and the mask of all its categories, given as bit numbers below 31."""
-    return rows.groupBy(key).agg(F.bit_or(F.expr("1") * F.pow(F.lit(2), bit).cast("int")).alias("mask"))
+    return rows.groupBy(key).agg(bits_set(bit).alias("mask"))
 
 
 def disjoint_pairs(items: DataFrame, key: str, mask: str, salts: int = 8) -> DataFrame:
