@@ -15,9 +15,8 @@ import bisect
 import heapq
 import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -30,6 +29,8 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0
 
 #: A blank that no word reaches across: one of its neighbours isn't white space. The blank starts the next word.
 PARTING = re.compile(r"(?<!\s) | (?=\S)")
+#: A blank before white space or the end; a text without one can be parted at every blank.
+INNER = re.compile(r" (?:\s|\Z)")
 
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)  # bytes of the longest word in a matrix
 SHORT = WIDTHS[-1]  # bytes of a word that is merged by scans
@@ -60,8 +61,8 @@ class ByteBpe:
         self.pair = dict(zip(keys, values))
         self.words = regex.compile(PATTERN).findall
         self.ascii_words = re.compile(ASCII_PATTERN).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as int32
+        self.spaced: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def split(self, text: str) -> list[str]:
@@ -73,11 +74,11 @@ class ByteBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (b >= 0), self.values[at], NONE)
 
-    def _merge_rows(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def _merge_rows(self, words: list[bytes]) -> list[bytes]:
         """Ids of short words, one word a row of parts; rows end with -1."""
         end = np.array([len(w) for w in words])
         width = int(end.max())
-        done: list[tuple[int, ...]] = [()] * len(words)
+        done = [b""] * len(words)
         parts = self.single[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)]
         parts[np.arange(width) >= end[:, None]] = -1
         where = np.arange(len(words))
@@ -88,8 +89,9 @@ class ByteBpe:
             least = ranks[row, best]
             over = least == NONE
             if over.any():
-                for w, ids, k in zip(where[over].tolist(), parts[over].tolist(), end[over].tolist()):
-                    done[w] = tuple(ids[:k])
+                full = parts[over]
+                for w, ids, k in zip(where[over].tolist(), full, end[over].tolist()):
+                    done[w] = ids[:k].tobytes()
                 live = ~over
                 where, parts, ranks, best, least, end = (x[live] for x in (where, parts, ranks, best, least, end))
                 if not len(where):
@@ -112,25 +114,35 @@ class ByteBpe:
             ranks[r, k - 1] = self._ranks(parts[r, k - 1], least[before])
         return done
 
-    def _merge_long(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one long word: the smallest rank first, the leftmost of equals, from a heap."""
-        ids, n, pair = self.single[np.frombuffer(word, np.uint8)].tolist(), len(word), self.pair
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, i + 1) for i in range(n - 1) if (r := pair.get(ids[i] << 20 | ids[i + 1])) is not None]
+    def _merge_long(self, word: bytes) -> bytes:
+        """Ids of one long word: the smallest rank first, the leftmost of equals, from a heap of rank and place."""
+        ids, n, get = self.single[np.frombuffer(word, np.uint8)].tolist(), len(word), self.pair.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [get(a << 20 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]  # of the part and the next one
+        heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            r, i, j = heapq.heappop(heap)
-            if not alive[i] or j >= n or not alive[j] or after[i] != j or pair.get(ids[i] << 20 | ids[j]) != r:
+            x = pop(heap)
+            i, r = x & 0xFFFFFFFF, x >> 32
+            if rank[i] != r:
                 continue
-            ids[i], alive[j] = r, False
-            after[i] = k = after[j]
+            j = after[i]
+            k = after[j]
+            ids[i], ids[j], rank[j], after[i] = r, -1, -1, k
             if k < n:
                 before[k] = i
-                if (x := pair.get(r << 20 | ids[k])) is not None:
-                    heapq.heappush(heap, (x, i, k))
-            if (h := before[i]) >= 0 and (x := pair.get(ids[h] << 20 | r)) is not None:
-                heapq.heappush(heap, (x, h, i))
-        return tuple(x for x, a in zip(ids, alive) if a)
+                rank[i] = x = get(r << 20 | ids[k], -1)
+                if x >= 0:
+                    push(heap, x << 32 | i)
+            else:
+                rank[i] = -1
+            h = before[i]
+            if h >= 0:
+                rank[h] = x = get(ids[h] << 20 | r, -1)
+                if x >= 0:
+                    push(heap, x << 32 | h)
+        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Puts words into the cache."""
@@ -153,14 +165,14 @@ class ByteBpe:
         self.learn(words)
         get = self.cache.__getitem__
         for part, w in new:
-            self.spaced[part] = tuple(chain.from_iterable(map(get, w))) if len(w) > 1 else get(w[0])
+            self.spaced[part] = b"".join(map(get, w)) if len(w) > 1 else get(w[0])
         for word in words:
             if len(word) > KEPT:
                 del self.cache[word]
         return [part for part, _ in new if len(part) > KEPT]
 
-    def encode_each(self, texts: Iterable[str | None], chunk_chars: int = 1 << 20) -> Iterator[tuple[str, array]]:
-        """Text and ids, in order; null and empty texts have no ids."""
+    def encode_each(self, texts: Iterable[str | None], chunk_chars: int = 1 << 20) -> Iterator[tuple[str, bytes]]:
+        """Text and ids (int32, one after the other), in order; null and empty texts have no ids."""
         names: list[str] = []
         size = 0
         for text in texts:
@@ -171,11 +183,11 @@ class ByteBpe:
                 names, size = [], 0
         yield from self._encode_chunk(names)
 
-    def _encode_chunk(self, texts: list[str]) -> Iterator[tuple[str, array]]:
+    def _encode_chunk(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         if len(self.spaced) > self.cache_words or len(self.cache) > self.cache_words:
             self.spaced.clear()
             self.cache.clear()
-        held = [PARTING.split(x) for x in texts]
+        held = [PARTING.split(x) if INNER.search(x) else x.split(" ") for x in texts]
         heads = [self.split(parts[0]) for parts in held]
         first = set().union(*heads)
         self.learn(first)
@@ -183,9 +195,7 @@ class ByteBpe:
         self.learn(first)
         get, spaced = self.cache.__getitem__, self.spaced.__getitem__
         for text, head, parts in zip(texts, heads, held):
-            ids = array("i", chain.from_iterable(map(get, head)))
-            ids.extend(chain.from_iterable(map(spaced, parts[1:])))
-            yield text, ids
+            yield text, b"".join(chain(map(get, head), map(spaced, islice(parts, 1, None))))
         for part in passing:
             del self.spaced[part]
         for word in first:
@@ -193,7 +203,7 @@ class ByteBpe:
                 del self.cache[word]
 
     def encode(self, text: str | None) -> list[int]:
-        return next(self.encode_each([text]))[1].tolist()
+        return np.frombuffer(next(self.encode_each([text]))[1], np.int32).tolist()
 
 
 _loaded: dict[int, ByteBpe] = {}

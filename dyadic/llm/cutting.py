@@ -13,7 +13,6 @@ within the limit is one piece. Keys that occur again give their pieces again. On
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -98,9 +97,9 @@ def places(raw: bytes, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return strong, words
 
 
-def pieces_of(text: str, ids: array, coder: bpe.ByteBpe, limits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, str, str]]:
+def pieces_of(text: str, ids: bytes, coder: bpe.ByteBpe, limits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, str, str]]:
     """Of each limit (number, tokens, overlap): number, piece number from 1, start and end token, kind of end, piece text."""
-    n = len(ids)
+    n = len(ids) // 4
     if n <= min(limit for _, limit, _ in limits):
         for number, _, _ in limits:
             if n:

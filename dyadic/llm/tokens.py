@@ -36,7 +36,7 @@ def _ids(ranks: Broadcast, key: str, out: str, batches: Iterator[pa.RecordBatch]
         raw, offsets, begin = bytearray(), [0], 0
         n = 0
         for n, (_, ids) in enumerate(coder.encode_each(batch.column(1).to_pylist()), 1):
-            raw += memoryview(ids).cast("B")
+            raw += ids
             offsets.append(len(raw) // 4)
             if offsets[-1] >= BATCH_IDS:
                 yield _list_batch(batch.column(0).slice(begin, n - begin), offsets, raw, key, out, kind)
@@ -54,7 +54,7 @@ def _counts(ranks: Broadcast, key: str, out: str, batches: Iterator[pa.RecordBat
     coder = bpe.loaded(ranks.value)
     for batch in batches:
         if batch.num_rows:
-            sizes = [len(ids) for _, ids in coder.encode_each(batch.column(1).to_pylist())]
+            sizes = [len(ids) // 4 for _, ids in coder.encode_each(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[key, out])
 
 
