@@ -102,9 +102,32 @@ r AS (SELECT *, CASE WHEN length(replace(coalesce(m, ''), '"', '')) % 2 <> lengt
   WHEN NOT (m IS NULL OR m IN ('', '-', 'NA') OR list_contains({_METHODS}, lower(m)) OR regexp_full_match(m, 'psi-mi:"MI:[0-9]{{4}}"\([^()]+\)'))
     OR NOT (i IS NULL OR i IN ('', '-', 'NA') OR lower(i) IN ('physical', 'genetic') OR regexp_full_match(i, 'psi-mi:"MI:[0-9]{{4}}"\([^()]+\)')) THEN 'invalid_value' END AS reason FROM t)
 """
+def _term(c: str, words: str) -> str:
+    return rf"""({c} IN ('', '-', 'NA') OR {words} OR regexp_full_match({c}, 'psi-mi:"MI:[0-9]{{4}}"\([^()]+\)'))"""
+
+
+_N = r"([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_DATE = r"(f[{0}] = '-' OR (regexp_full_match(f[{0}], '[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}') AND try_strptime(f[{0}], '%Y/%m/%d') IS NOT NULL))"
+_JUDGED = rf"""
+, l AS (SELECT line_id, source_id, source_file, layout, regexp_replace(coalesce(raw_line, ''), '[\r\n]+$', '') AS x FROM raw_evidence_lines),
+k AS (SELECT *, CASE WHEN layout = 'mitab27' THEN string_split(x, chr(9)) ELSE list_transform(regexp_extract_all(',' || x, ',("(?:[^"]|"")*"[^,]*|[^,]*)', 1), lambda f: CASE WHEN starts_with(f, '"') THEN replace(regexp_extract(f, '^"((?:[^"]|"")*)"', 1), '""', '"') ELSE f END) END AS f
+  FROM l WHERE regexp_replace(x, '\s+', '', 'g') <> '' AND NOT starts_with(x, '#')),
+j AS (SELECT line_id, source_id, source_file, CASE WHEN (length(x) - length(replace(x, '"', ''))) % 2 = 1 THEN 'broken_quoting'
+  WHEN len(f) <> CASE layout WHEN 'mitab27' THEN 42 ELSE 32 END THEN 'column_count'
+  WHEN layout = 'mitab27' THEN CASE WHEN f[1] IN ('', '-') AND f[2] IN ('', '-') THEN 'missing_participants'
+    WHEN NOT ({_term("f[7]", f"list_contains({_METHODS}, lower(f[7]))")} AND {_term("f[12]", "lower(f[12]) IN ('physical', 'genetic')")} AND regexp_full_match(f[10], '-|taxid:[0-9]+(\([^()]+\))?') AND regexp_full_match(f[11], '-|taxid:[0-9]+(\([^()]+\))?')
+      AND (f[15] = '-' OR (regexp_full_match(f[15], 'intact-miscore:{_N}') AND coalesce(try_cast(substr(f[15], 16) AS DOUBLE) <= 1, false))) AND {_DATE.format(31)} AND {_DATE.format(32)} AND f[36] IN ('-', 'true', 'false')) THEN 'invalid_value' END
+  WHEN f[30] = '' AND f[31] = '' THEN 'missing_participants'
+  WHEN NOT (regexp_full_match(f[1], '[0-9]+') AND regexp_full_match(f[10], '[+-]?{_N}') AND coalesce(try_cast(f[10] AS DOUBLE) >= 0, false) AND regexp_full_match(f[11], '[+-]?{_N}') AND f[15] IN ('Inter-Protein', 'Intra-Protein')) THEN 'invalid_value' END AS reason FROM k)
+"""
 SQL = {
     "p3_found": f"SELECT table_name, k AS key_value FROM (SELECT table_name, k, count(*) AS n, sum(count(*)) OVER (PARTITION BY table_name) AS total FROM ({_BOTH}) GROUP BY table_name, k) WHERE k IS NOT NULL AND n >= 0.025 * total",
     "p3_keys": f"""WITH w AS (SELECT table_name, k, v, count(*) AS w, max(s) AS s FROM ({_BOTH}) WHERE k IS NOT NULL GROUP BY ALL)
 SELECT table_name, k AS key_value, sum(w)::BIGINT AS n_rows, count(v) AS n_partners, max(s) AS best, arg_min(v, (-w, v)) FILTER (v IS NOT NULL) AS most_frequent_partner FROM w GROUP BY table_name, k""",
     "p3_quantiles": f"SELECT query, quantile_disc({_FIDENT}, 0.5) AS median_fident, quantile_disc({_FIDENT}, 0.9) AS p90_fident FROM ara_prot_all_vs_all WHERE trim(query) NOT IN ('', '-', 'NA', 'nan') GROUP BY query HAVING count({_FIDENT}) > 0",
+    "p5_found": _TERMS + _JUDGED + "SELECT 'raw_evidence_lines' AS table_name, line_id AS record_key, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT DISTINCT 'combine_evidence', evidence_id, reason FROM r WHERE reason IS NOT NULL",
+    "p5_source_files": _TERMS
+    + _JUDGED
+    + """, c AS (SELECT source_id, source_file, count(*) AS n_input, count(*) FILTER (reason IS NULL) AS n_normalized, count(reason) AS n_rejected FROM (SELECT source_id, source_file, reason FROM j UNION ALL SELECT source_id, source_file, reason FROM r) GROUP BY ALL)
+SELECT p.source_id, p.source_file, c.n_input, c.n_normalized, c.n_rejected, round(100 * c.n_rejected / c.n_input, 4) AS rejection_rate_pct FROM phase2_progress AS p LEFT JOIN c USING (source_id, source_file)""",
 }
