@@ -120,7 +120,17 @@ j AS (SELECT line_id, source_id, source_file, CASE WHEN (length(x) - length(repl
   WHEN f[30] = '' AND f[31] = '' THEN 'missing_participants'
   WHEN NOT (regexp_full_match(f[1], '[0-9]+') AND regexp_full_match(f[10], '[+-]?{_N}') AND coalesce(try_cast(f[10] AS DOUBLE) >= 0, false) AND regexp_full_match(f[11], '[+-]?{_N}') AND f[15] IN ('Inter-Protein', 'Intra-Protein')) THEN 'invalid_value' END AS reason FROM k)
 """
+#: Values of well-formed fields; RE2 has no look-ahead, so it takes every quote that opens a value for one that closes, too.
+_V = r"[\pL\pM\pN\-.:''()\[\]{}]"
+_UNIT = rf"""{_V}+(?:(?:/|"MI:[0-9]+"(?:\([^()]*\))?){_V}*)*"""
+_QUOTES = """"(?:[^"]|"")*"|''(?:[^'']|'''')*''|"""
+_PLAIN = """CASE WHEN starts_with(m, '"') THEN replace(substr(m, 2, length(m) - 2), '""', '"') WHEN starts_with(m, '''') THEN replace(substr(m, 2, length(m) - 2), '''''', '''') ELSE m END"""
+_VALUES = " UNION ALL ".join(
+    f"SELECT pair_id, '{c}' AS field_name, list_filter(list_transform(regexp_extract_all({c}, '{_QUOTES}{_UNIT}{'' if blanks else f'(?: +{_UNIT})*'}'), lambda m: trim({_PLAIN})), lambda v: v NOT IN ('', '-', 'NA', 'nan')) AS v FROM tomato_positive_pairs_deduplicated"
+    for c, blanks in PACKED_FIELDS.items()
+)
 SQL = {
+    "p2_found": f"SELECT pair_id, field_name, i::INT AS value_no, v[i] AS field_value FROM (SELECT pair_id, field_name, v, unnest(range(1, len(v) + 1)) AS i FROM ({_VALUES}))",
     "p3_found": f"SELECT table_name, k AS key_value FROM (SELECT table_name, k, count(*) AS n, sum(count(*)) OVER (PARTITION BY table_name) AS total FROM ({_BOTH}) GROUP BY table_name, k) WHERE k IS NOT NULL AND n >= 0.025 * total",
     "p3_keys": f"""WITH w AS (SELECT table_name, k, v, count(*) AS w, max(s) AS s FROM ({_BOTH}) WHERE k IS NOT NULL GROUP BY ALL)
 SELECT table_name, k AS key_value, sum(w)::BIGINT AS n_rows, count(v) AS n_partners, max(s) AS best, arg_min(v, (-w, v)) FILTER (v IS NOT NULL) AS most_frequent_partner FROM w GROUP BY table_name, k""",
