@@ -98,13 +98,29 @@ def _ranked_pairs(spark: SparkSession, d: str) -> DataFrame:
     return G.priority([F.desc("bits"), F.desc("n_segments"), F.col("a"), F.col("b")], low_pairs(spark, d))
 
 
-@query()
+#: Nodes with links in order of priority, one after the other, with the list of representatives so far.
+GREEDY = (
+    REDUNDANT.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", o AS (SELECT pair_key, row_number() OVER (ORDER BY bits DESC, n_segments DESC, a, b) AS rank FROM p),
+k AS (SELECT x.rank AS hi, y.rank AS lo FROM r JOIN o AS x ON x.pair_key = r.key_1 JOIN o AS y ON y.pair_key = r.key_2 WHERE similarity >= {THETA}),
+d AS (SELECT least(hi, lo) AS hi, greatest(hi, lo) AS lo FROM k),
+n AS (SELECT rank, row_number() OVER (ORDER BY rank) AS i FROM (SELECT hi AS rank FROM d UNION SELECT lo FROM d)),
+m AS MATERIALIZED (SELECT n.i, n.rank, coalesce(list(d.hi) FILTER (d.hi IS NOT NULL), []) AS before FROM n LEFT JOIN d ON d.lo = n.rank GROUP BY n.i, n.rank),
+w(i, reps) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT m.i, CASE WHEN list_has_any(before, reps) THEN reps ELSE list_append(reps, m.rank) END FROM w JOIN m ON m.i = w.i + 1),
+f AS (SELECT reps FROM w ORDER BY i DESC LIMIT 1),
+t AS (SELECT m.rank, list_min(list_intersect(before, reps)) AS rep FROM m, f WHERE list_has_any(before, reps)),
+z AS (SELECT o.pair_key, o.rank, coalesce(t.rep, o.rank) AS rep FROM o LEFT JOIN t USING (rank))
+"""
+)
+
+
+@query(GREEDY + "SELECT z.pair_key AS node, o.pair_key AS representative, z.rep = z.rank AS is_representative FROM z JOIN o ON o.rank = z.rep")
 def greedy_reps(spark: SparkSession, d: str) -> DataFrame:
     links = _redundant(spark, d).where(F.col("similarity") >= THETA).select(F.col("key_1").alias("u"), F.col("key_2").alias("v"))
     return G.greedy_representatives(_ranked_pairs(spark, d), "pair_key", links, "rank")
 
 
-@query()
+@query(GREEDY + "SELECT z.pair_key, o.pair_key AS representative, z.rep = z.rank AS is_representative, dense_rank() OVER (ORDER BY z.rep) AS cluster_id FROM z JOIN o ON o.rank = z.rep")
 def cluster_ids(spark: SparkSession, d: str) -> DataFrame:
     """Members with consecutive cluster ids, in the order of their representatives."""
     members = greedy_reps(spark, d)
