@@ -10,6 +10,7 @@ from dyadic.functions import text as X
 from dyadic.operators import gates as G
 from dyadic.operators import ordering as O
 from dyadic.operators import pairs as P
+from dyadic.operators import pooling
 from dyadic.operators import resolve as R
 from dyadic.plans.catalogue import Catalogue
 from dyadic.session import table
@@ -386,9 +387,19 @@ def crop_budget(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT label, list_transform(range(1, 9), lambda i: round(avg_i[i], 6)) AS pooled FROM (SELECT label, [avg(embedding[1]::DOUBLE), avg(embedding[2]::DOUBLE), avg(embedding[3]::DOUBLE), avg(embedding[4]::DOUBLE), avg(embedding[5]::DOUBLE), avg(embedding[6]::DOUBLE), avg(embedding[7]::DOUBLE), avg(embedding[8]::DOUBLE)] AS avg_i FROM embeddings GROUP BY label)")
 def elementwise_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of the first eight positions only; elementwise_pools has all of them."""
     return table(spark, d, "embeddings").groupBy("label").agg(F.array(*(F.round(F.avg(F.col("embedding")[i].cast("double")), 6) for i in range(8))).alias("pooled"))
 
 
+@query(
+    """SELECT label, list(round(mean, 6) ORDER BY i) AS mean, list(hi ORDER BY i) AS max, list(lo ORDER BY i) AS min
+FROM (SELECT label, i, avg(x) AS mean, max(x) AS hi, min(x) AS lo FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i) GROUP BY label"""
+)
+def elementwise_pools(spark: SparkSession, d: str) -> DataFrame:
+    out = pooling.elementwise(table(spark, d, "embeddings"), "label", "embedding")
+    return out.withColumn("mean", F.transform("mean", lambda x: F.round(x, 6)))
+
+
 @query("SELECT n_nationkey, round(sqrt(n_nationkey) * cos(n_nationkey * 2.399963229728653), 6) AS x, round(sqrt(n_nationkey) * sin(n_nationkey * 2.399963229728653), 6) AS y FROM nation")
 def spiral_layout(spark: SparkSession, d: str) -> DataFrame:
     x, y = N.spiral(F.col("n_nationkey"))
