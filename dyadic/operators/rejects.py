@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
@@ -32,8 +33,9 @@ NUMBER = r"([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 MITAB_FIELDS, XLMS_FIELDS = 42, 32
 BREAKS = ("\ue00a", "\ue00d")  # stand for LF and CR inside a line while the reader works
 
-LOADED = T.StructType([T.StructField("participant_a", T.StringType()), T.StructField("participant_b", T.StringType()), T.StructField("detection_method", T.StringType()), T.StructField("interaction_type", T.StringType()), T.StructField("taxon_a", T.LongType()), T.StructField("taxon_b", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("recorded_on", T.DateType()), T.StructField("is_negative", T.BooleanType()), T.StructField("spectrum_no", T.LongType()), T.StructField("e_value", T.DoubleType()), T.StructField("is_inter_protein", T.BooleanType())])
-_ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.DateType(): pa.date32(), T.BooleanType(): pa.bool_()}
+#: The checked fields, typed, and all fields of the line as texts, 42 or 32, in its order.
+LOADED = T.StructType([T.StructField("participant_a", T.StringType()), T.StructField("participant_b", T.StringType()), T.StructField("detection_method", T.StringType()), T.StructField("interaction_type", T.StringType()), T.StructField("taxon_a", T.LongType()), T.StructField("taxon_b", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("recorded_on", T.DateType()), T.StructField("updated_on", T.DateType()), T.StructField("is_negative", T.BooleanType()), T.StructField("spectrum_no", T.LongType()), T.StructField("e_value", T.DoubleType()), T.StructField("is_inter_protein", T.BooleanType()), T.StructField("fields", T.ArrayType(T.StringType()))])
+_ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.DateType(): pa.date32(), T.BooleanType(): pa.bool_(), T.ArrayType(T.StringType()): pa.list_(pa.string())}
 
 
 def _full(column: pa.ChunkedArray, pattern: str) -> pa.ChunkedArray:
@@ -86,7 +88,7 @@ def _mitab(c: list[pa.ChunkedArray], methods: tuple[str, ...]) -> tuple[pa.Chunk
     good = _all(_readable(c[6], methods), _readable(c[11], INTERACTION_WORDS), _full(c[9], taxon), _full(c[10], taxon), _any(_in(c[14], ("-",)), scored), *(_any(_in(x, ("-",)), pc.is_valid(d)) for x, d in zip((c[30], c[31]), dates)), _in(c[35], ("-", "true", "false")))
     digits = [_whole(pc.replace_substring_regex(pc.replace_substring_regex(x, r"\Ataxid:", ""), r"\(.*\z", "")) for x in (c[9], c[10])]
     negative = pc.if_else(_in(c[35], ("-",)), pa.scalar(None, pa.bool_()), pc.equal(c[35], "true"))
-    return lost, good, {"participant_a": c[0], "participant_b": c[1], "detection_method": c[6], "interaction_type": c[11], "taxon_a": digits[0], "taxon_b": digits[1], "score": score, "recorded_on": dates[0], "is_negative": negative}
+    return lost, good, {"participant_a": c[0], "participant_b": c[1], "detection_method": c[6], "interaction_type": c[11], "taxon_a": digits[0], "taxon_b": digits[1], "score": score, "recorded_on": dates[0], "updated_on": dates[1], "is_negative": negative}
 
 
 def _xlms(c: list[pa.ChunkedArray], methods: tuple[str, ...]) -> tuple[pa.ChunkedArray, pa.ChunkedArray, dict[str, pa.ChunkedArray]]:
@@ -97,10 +99,18 @@ def _xlms(c: list[pa.ChunkedArray], methods: tuple[str, ...]) -> tuple[pa.Chunke
     return lost, good, {"participant_a": c[29], "participant_b": c[30], "spectrum_no": _whole(c[0]), "e_value": e_value, "score": score, "is_inter_protein": pc.equal(c[14], kinds[0])}
 
 
-def parse(lines: list[str], layout: str, methods: tuple[str, ...]) -> tuple[list[str | None], pa.Table]:
+def _rows(columns: list[pa.ChunkedArray], n: int) -> pa.ListArray:
+    """The n rows of the columns as lists."""
+    width = len(columns)
+    flat = pa.chunked_array([chunk for c in columns for chunk in c.chunks], pa.string())
+    at = np.arange(width * n).reshape(width, n).T.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.concat_arrays(flat.take(pa.array(at)).chunks) if n else pa.array([], pa.string()))
+
+
+def parse(lines: list[str], layout: str, methods: tuple[str, ...], load: bool = True) -> tuple[list[str | None], pa.Table]:
     """The reason of each line (null: it loads), and the columns of LOADED, null for lines that fail.
 
-    Lines have even numbers of double quotes.
+    Lines have even numbers of double quotes. Without load the lists of all fields aren't built.
     """
     width, delimiter, quote, check = (MITAB_FIELDS, "\t", False, _mitab) if layout == "mitab27" else (XLMS_FIELDS, ",", '"', _xlms)
     reasons: list[str | None] = [None] * len(lines)
@@ -127,6 +137,8 @@ def parse(lines: list[str], layout: str, methods: tuple[str, ...]) -> tuple[list
     if broken:
         columns = [pc.replace_substring(pc.replace_substring(c, BREAKS[0], "\n"), BREAKS[1], "\r") for c in columns]
     lost, good, values = check(columns, methods)
+    if load:
+        values["fields"] = _rows(columns, read.num_rows)
     at = read.column(0).to_pylist()
     for i, x, ok in zip(at, lost.to_pylist(), good.to_pylist()):
         reasons[i] = "missing_participants" if x else None if ok else "invalid_value"
@@ -159,7 +171,7 @@ def _judge(keep: int, methods: tuple[str, ...], load: bool, schema: pa.Schema, b
                 texts.append(text)
         parts = [pa.table({n: pa.nulls(len(index), t) for n, t in zip((f.name for f in LOADED), (_ARROW[f.dataType] for f in LOADED))})]
         for layout, (rows, texts) in todo.items():
-            found, loaded = parse(texts, layout, methods)
+            found, loaded = parse(texts, layout, methods, load)
             index += rows
             reason += found
             parts.append(loaded)
@@ -172,7 +184,7 @@ def _judge(keep: int, methods: tuple[str, ...], load: bool, schema: pa.Schema, b
 
 
 def judge_lines(df: DataFrame, keep: list[str], layout: str, line: str, methods: tuple[str, ...], load: bool = True) -> DataFrame:
-    """For each record the columns keep, reason (null: it loads) and, with load, the typed columns of LOADED."""
+    """For each record the columns keep, reason (null: it loads) and, with load, the columns of LOADED."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     ship_package(df.sparkSession)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dyadic.operators import packed, rejects, skew
 from dyadic.session import table
@@ -75,10 +76,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
-    """The good lines, typed."""
+    """The good lines: their checked fields typed, and all of their 42 or 32 fields as texts."""
     return _lines(spark, d, load=True).where("reason IS NULL").drop("reason")
 
 
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The good rows of combine_evidence, each record once, with all columns; NA, which marks a column that carries nothing, is null, so that copies are equal."""
+    rows = table(spark, d, "combine_evidence")
+    reason = rejects.term_reason("detection_method_raw", "interaction_type_raw", rejects.known_methods(table(spark, d, "assay_mapping")))
+    filled = [F.when(F.col(f.name) != "NA", F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in rows.schema]
+    return rows.where(reason.isNull()).select(*filled).distinct()
+
+
 def p5_source_files(spark: SparkSession, d: str) -> DataFrame:
     """The true counts of each source file of phase2_progress; null where a file has no records here."""
     by = ["source_id", "source_file"]
@@ -87,7 +96,7 @@ def p5_source_files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "phase2_progress").select(*by).join(counts, by, "left").withColumn("rejection_rate_pct", F.round(100 * F.col("n_rejected") / F.col("n_input"), 4))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_values, p3_found, p3_keys, p3_quantiles, p5_found, p5_loaded, p5_source_files)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_values, p3_found, p3_keys, p3_quantiles, p5_found, p5_loaded, p5_evidence, p5_source_files)}
 
 _KNOWN = "CASE WHEN trim({0}) NOT IN ('', '-', 'NA', 'nan') THEN {0} END"
 _FIDENT = "CASE WHEN NOT isnan(fident) THEN CASE WHEN fident > 1 THEN fident / 100 ELSE fident END END"
@@ -129,6 +138,8 @@ _VALUES = " UNION ALL ".join(
     f"SELECT pair_id, '{c}' AS field_name, list_filter(list_transform(regexp_extract_all({c}, '{_QUOTES}{_UNIT}{'' if blanks else f'(?: +{_UNIT})*'}'), lambda m: trim({_PLAIN})), lambda v: v NOT IN ('', '-', 'NA', 'nan')) AS v FROM tomato_positive_pairs_deduplicated"
     for c, blanks in PACKED_FIELDS.items()
 )
+#: The columns of combine_evidence that aren't text.
+_PLAIN_COLUMNS = ("source_row_number", "participant_a_taxid", "participant_b_taxid", "publication_year", "string_combined_score", "string_experimental_score", "string_database_score", "string_textmining_score", "intact_miscore", "retrieval_date")
 SQL = {
     "p2_found": f"SELECT pair_id, field_name, i::INT AS value_no, v[i] AS field_value FROM (SELECT pair_id, field_name, v, unnest(range(1, len(v) + 1)) AS i FROM ({_VALUES}))",
     "p3_found": f"SELECT table_name, k AS key_value FROM (SELECT table_name, k, count(*) AS n, sum(count(*)) OVER (PARTITION BY table_name) AS total FROM ({_BOTH}) GROUP BY table_name, k) WHERE k IS NOT NULL AND n >= 0.025 * total",
@@ -136,6 +147,8 @@ SQL = {
 SELECT table_name, k AS key_value, sum(w)::BIGINT AS n_rows, count(v) AS n_partners, max(s) AS best, arg_min(v, (-w, v)) FILTER (v IS NOT NULL) AS most_frequent_partner FROM w GROUP BY table_name, k""",
     "p3_quantiles": f"SELECT query, quantile_disc({_FIDENT}, 0.5) AS median_fident, quantile_disc({_FIDENT}, 0.9) AS p90_fident FROM ara_prot_all_vs_all WHERE trim(query) NOT IN ('', '-', 'NA', 'nan') GROUP BY query HAVING count({_FIDENT}) > 0",
     "p5_found": _TERMS + _JUDGED + "SELECT 'raw_evidence_lines' AS table_name, line_id AS record_key, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT DISTINCT 'combine_evidence', evidence_id, reason FROM r WHERE reason IS NOT NULL",
+    "p5_evidence": _TERMS
+    + f"SELECT DISTINCT {', '.join(_PLAIN_COLUMNS)}, nullif(COLUMNS(* EXCLUDE ({', '.join(_PLAIN_COLUMNS)})), 'NA') FROM combine_evidence SEMI JOIN (SELECT evidence_id FROM r WHERE reason IS NULL) USING (evidence_id)",
     "p5_source_files": _TERMS
     + _JUDGED
     + """, c AS (SELECT source_id, source_file, count(*) AS n_input, count(*) FILTER (reason IS NULL) AS n_normalized, count(reason) AS n_rejected FROM (SELECT source_id, source_file, reason FROM j UNION ALL SELECT source_id, source_file, reason FROM r) GROUP BY ALL)

@@ -104,3 +104,23 @@ def test_lines(spark):
     assert rejects.judge_lines(df.limit(0), ["id"], "layout", "line", ()).count() == 0
     twice = df.where("id = '3'").unionByName(df.where("id = '3'"))
     assert rejects.judge_lines(twice, ["id"], "layout", "line", (), load=False).count() == 2
+
+
+def test_loaded_fields(spark):
+    lines, _, _ = tables(spark)
+    text = {r.line_id: (r.layout, r.raw_line.rstrip("\r\n")) for r in lines if r.raw_line}
+    got = problems.p5_loaded(spark, DATA).collect()
+    assert {r.layout for r in got} == {"mitab27", "xlms_csv"}
+    for r in got:
+        layout, x = text[r.line_id]
+        assert list(r.fields) == (x.split("\t") if layout == "mitab27" else next(csv.reader(io.StringIO(x, newline=""))))
+        if layout == "mitab27":
+            assert r.updated_on == (None if r.fields[31] == "-" else datetime.strptime(r.fields[31], "%Y/%m/%d").date())
+
+
+def test_good_evidence(spark):
+    _, evidence, methods = tables(spark)
+    rows = problems.p5_evidence(spark, DATA)
+    assert rows.columns == spark.read.parquet(f"{DATA}/combine_evidence.parquet").columns and len(rows.columns) == 80
+    assert sorted(r.evidence_id for r in rows.collect()) == sorted({r.evidence_id for r in evidence if evidence_reason(r, methods) is None})
+    assert problems.p5_evidence(spark, "/root/testdata/sf0.1").groupBy("evidence_id").count().where("count > 1").count() == 0
