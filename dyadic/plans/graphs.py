@@ -245,6 +245,7 @@ RULES = f"h AS ({HOMOLOGS}), p AS ({PAIRS}), q AS (SELECT a, b FROM p WHERE bits
 
 
 def _interologs(spark: SparkSession, d: str) -> DataFrame:
+    """Of the low pairs that reach 400 bits only: interolog_anti takes positives and candidates from one table, and a positive is its own interolog."""
     positives = low_pairs(spark, d).where("bits >= 400").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return N.interologs(positives, homologs(spark, d))
 
@@ -254,6 +255,12 @@ def interolog_rules(spark: SparkSession, d: str) -> DataFrame:
     return _interologs(spark, d)
 
 
+@query(f"WITH h AS ({HOMOLOGS}), p AS ({PAIRS}) SELECT DISTINCT least(x.y, y.y) AS u, greatest(x.y, y.y) AS v FROM p JOIN h AS x ON x.x = p.a JOIN h AS y ON y.x = p.b WHERE x.y <> y.y")
+def interolog_rules_all(spark: SparkSession, d: str) -> DataFrame:
+    """The expansion of every low pair, whatever its bits."""
+    return N.interologs(low_pairs(spark, d).select(F.col("a").alias("u"), F.col("b").alias("v")), homologs(spark, d))
+
+
 @query(f"WITH {RULES} SELECT a AS u, b AS v FROM p ANTI JOIN f ON p.a = f.u AND p.b = f.v")
 def interolog_anti(spark: SparkSession, d: str) -> DataFrame:
     return N.without(low_pairs(spark, d).select(F.col("a").alias("u"), F.col("b").alias("v")), _interologs(spark, d))

@@ -200,3 +200,12 @@ def test_pools_and_quotas(spark):
     taken = S.take_best(named, "partition", {"inner": 8, "cut": 4, "none": 4}, "s", ["a", "b"])
     assert {r["partition"]: r["count"] for r in taken.groupBy("partition").count().collect()} == {"inner": 8, "cut": 4, "none": 4}
     assert taken.where("partition = 'cut'").agg(F.min("s")).first()[0] == 12.0
+
+
+def test_interologs_of_every_pair(spark):
+    from dyadic.plans import graphs
+
+    d = "/root/testdata/sf0.001"
+    found = {(r.u, r.v) for r in graphs.QUERIES["interolog_rules_all"](spark, d).collect()}
+    assert {(r.a, r.b) for r in graphs.low_pairs(spark, d).collect()} <= found
+    assert {(r.u, r.v) for r in graphs.interolog_rules(spark, d).collect()} < found
