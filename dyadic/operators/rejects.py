@@ -3,7 +3,8 @@
 Lines are parsed in Arrow batches by pyarrow's CSV reader with an invalid-row callback: a line goes in behind its
 number in the batch, so the callback names the lines with a wrong number of fields, and the others come out as
 columns of text. Vector expressions then check the fields and label the first that fails. A text with an odd number of
-double quotes never reaches the reader, which could take the next line for its rest.
+double quotes never reaches the reader, which could take the next line for its rest; one with an even number of which
+the last opens a field is split here.
 
 Blank lines and lines that start with # are no records. A null line is a blank one. A line's end (CR, LF) isn't
 part of it; line breaks inside it are. Repeated line ids are judged line by line. Columns of evidence are checked
@@ -12,6 +13,7 @@ inside the JVM. All of it is one pass without a shuffle, apart from making faile
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,6 +33,11 @@ INTERACTION_WORDS = ("physical", "genetic")
 NO_TERM = ("", "-", "NA")
 NUMBER = r"([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 MITAB_FIELDS, XLMS_FIELDS = 42, 32
+#: A field of a comma-separated line: quoted, or up to the next comma. The closed ones end their quotes.
+_FIELD = re.compile(r',("(?:[^"]|"")*"[^,]*|[^,]*)')
+_CLOSED = re.compile(r'(?:,(?:"(?:[^"]|"")*+"[^,]*+|(?!")[^,]*+))++')
+_CHECKED = (0, 9, 10, 14, 29, 30)
+_QUOTED = re.compile(r'"((?:[^"]|"")*)"')
 BREAKS = ("\ue00a", "\ue00d")  # stand for LF and CR inside a line while the reader works
 
 #: The checked fields, typed, and all fields of the line as texts, 42 or 32, in its order.
@@ -99,6 +106,24 @@ def _xlms(c: list[pa.ChunkedArray], methods: tuple[str, ...]) -> tuple[pa.Chunke
     return lost, good, {"participant_a": c[29], "participant_b": c[30], "spectrum_no": _whole(c[0]), "e_value": e_value, "score": score, "is_inter_protein": pc.equal(c[14], kinds[0])}
 
 
+def _closed(line: str) -> str:
+    """A line in which the quote that opens a field is never closed, with every field quoted; other lines as they are.
+
+    The reader would take the following lines for the rest of such a field. It ends at the next comma instead and keeps
+    its quote. A checked field is only what its quotes enclose, nothing where they stay open.
+    """
+    if '"' not in line or _CLOSED.fullmatch("," + line):
+        return line
+    fields = []
+    for i, f in enumerate(_FIELD.findall("," + line)):
+        if f.startswith('"'):
+            m = _QUOTED.match(f)
+            rest = "" if i in _CHECKED else f[m.end() if m else 0 :]
+            f = (m[1].replace('""', '"') if m else "") + rest
+        fields.append(f.replace('"', '""'))
+    return ",".join(f'"{f}"' for f in fields)
+
+
 def _rows(columns: list[pa.ChunkedArray], n: int) -> pa.ListArray:
     """The n rows of the columns as lists."""
     width = len(columns)
@@ -115,6 +140,8 @@ def parse(lines: list[str], layout: str, methods: tuple[str, ...], load: bool =
     width, delimiter, quote, check = (MITAB_FIELDS, "\t", False, _mitab) if layout == "mitab27" else (XLMS_FIELDS, ",", '"', _xlms)
     reasons: list[str | None] = [None] * len(lines)
     schema = pa.schema([(f.name, _ARROW[f.dataType]) for f in LOADED])
+    if quote:
+        lines = [_closed(x) for x in lines]
     broken = any("\n" in x or "\r" in x for x in lines)
     if broken:
         lines = [x.replace("\n", BREAKS[0]).replace("\r", BREAKS[1]) for x in lines]
@@ -133,6 +160,8 @@ def parse(lines: list[str], layout: str, methods: tuple[str, ...], load: bool =
         csv.ParseOptions(delimiter=delimiter, quote_char=quote, double_quote=True, newlines_in_values=False, ignore_empty_lines=False, invalid_row_handler=wrong),
         csv.ConvertOptions(check_utf8=False, column_types={n: pa.int64() if n == "_at" else pa.string() for n in names}, strings_can_be_null=False),
     )
+    if read.num_rows + sum(r is not None for r in reasons) != len(lines):
+        raise ValueError("the reader didn't give every line back")
     columns = read.columns[1:]
     if broken:
         columns = [pc.replace_substring(pc.replace_substring(c, BREAKS[0], "\n"), BREAKS[1], "\r") for c in columns]

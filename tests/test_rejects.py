@@ -124,3 +124,20 @@ def test_good_evidence(spark):
     assert rows.columns == spark.read.parquet(f"{DATA}/combine_evidence.parquet").columns and len(rows.columns) == 80
     assert sorted(r.evidence_id for r in rows.collect()) == sorted({r.evidence_id for r in evidence if evidence_reason(r, methods) is None})
     assert problems.p5_evidence(spark, "/root/testdata/sf0.1").groupBy("evidence_id").count().where("count > 1").count() == 0
+
+
+def test_open_quotes(spark):
+    """The last quote opens a field: the line ends the field, and the following lines are read; the SQL says the same."""
+    from oracle import connection
+
+    lines = [xlms(f3='a"b', f5='"c'), xlms(), xlms(f3='a"b', f31='"c'), xlms(f3='a"b', f5='"c,d'), xlms(f3='a"b', f29="", f30='"B'), xlms(f3='a"b', f0='"7'), xlms(f3='a"b"', f5='"x, ""y"""'), xlms(f3='a"b', f5='"c""', f6='"e""f"'), xlms(f29="", f30="")]
+    df = spark.createDataFrame([(f"l{i}", "s", "f", i, "xlms_csv", x) for i, x in enumerate(lines)], "line_id string, source_id string, source_file string, source_row long, layout string, raw_line string").coalesce(1)
+    rows = {r.line_id: r for r in rejects.judge_lines(df, ["line_id"], "layout", "raw_line", ("pull down",)).collect()}
+    assert len(rows) == len(lines)
+    con = connection("sf0.001")
+    con.execute("CREATE OR REPLACE TEMP TABLE given AS SELECT unnest($ids) AS line_id, 's' AS source_id, 'f' AS source_file, 'xlms_csv' AS layout, unnest($lines) AS raw_line", {"ids": [f"l{i}" for i in range(len(lines))], "lines": lines})
+    con.execute("CREATE OR REPLACE VIEW raw_evidence_lines AS SELECT * FROM given")
+    want = dict(con.execute(problems.SQL["p5_found"].split("SELECT 'raw_evidence_lines'")[0] + "SELECT line_id, reason FROM j").fetchall())
+    assert {k: r.reason for k, r in rows.items()} == want
+    assert rows["l1"].reason is None and rows["l8"].reason == "missing_participants"
+    assert rows["l2"].reason is None and rows["l2"].fields[3] == 'a"b' and rows["l2"].fields[31] == '"c'
