@@ -20,6 +20,10 @@ MITAB = {"id_a": 0, "id_b": 1, "aliases_a": 4, "aliases_b": 5, "detection_method
 TAB3 = {"biogrid_id": 0, "entrez_a": 1, "entrez_b": 2, "systematic_a": 5, "systematic_b": 6, "symbol_a": 7, "symbol_b": 8, "system": 11, "system_type": 12, "author": 13, "publication": 14, "taxid_a": 15, "taxid_b": 16, "throughput": 17, "score": 18, "swissprot_a": 23, "trembl_a": 24, "swissprot_b": 26, "trembl_b": 27}
 
 
+#: A field of a comma-separated record behind its comma, quoted or not.
+_CSV_FIELD = r',(?:"[^"]*+(?:""[^"]*+)*+"?[^,]*+|[^,]*+)'
+
+
 def _columns(layout: dict[str, int]) -> list[Column]:
     return [X.null_sentinel(field(k)).alias(name) for name, k in layout.items()]
 
@@ -62,11 +66,29 @@ def string_layout(path: str) -> bool:
 
 
 def xlms(spark: SparkSession, path: str) -> DataFrame:
-    """Quoted cross-link records with a header, which may contain line breaks; the second participant is the first where it is missing."""
-    schema = ", ".join(f"c{i} string" for i in range(32))
-    rows = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", True).csv(path)
+    """The good records of xlms_records, without their places."""
+    return xlms_records(spark, path)[0].drop("source_file", "record_no")
+
+
+def xlms_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Quoted cross-link records of 32 or more fields, which may contain line breaks; the second participant is the first where it is missing.
+
+    record_no counts a file's records, its header as 1; blank lines aren't counted. Short records, and those without both participants, are rejects.
+    """
+    schema = ", ".join(f"c{i} string" for i in range(32)) + ", _raw string"
+    read = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_raw").csv(path)
+    rows = read.select("*", F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("_id"))
+    # a file with line breaks inside records is read by one task, so its numbers are consecutive
+    first = rows.groupBy("source_file").agg(F.min("_id").alias("_first"))
+    text = F.regexp_replace("_raw", r"[\r\n]+$", "")
+    n = F.size(F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(_CSV_FIELD), F.lit(0)))
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    reason = F.when(n < 32, F.format_string("column count %d < 32", n)).when(given("c29").isNull() & given("c30").isNull(), "missing participants")
+    whole = F.coalesce(text, F.concat_ws(",", *(F.coalesce(f"c{i}", F.lit("")) for i in range(32))))
+    judged = rows.join(F.broadcast(first), "source_file").withColumns({"record_no": F.col("_id") - F.col("_first") + 2, "reason": reason, "raw_record": whole})
     peptides = X.peptide_pair(F.col("c4"))
-    return rows.select(F.col("c0").try_cast("bigint").alias("spectrum"), peptides["a"].alias("peptide_a"), peptides["b"].alias("peptide_b"), F.col("c6").alias("linker"), F.col("c9").try_cast("double").alias("e_value"), F.col("c10").try_cast("double").alias("score"), F.col("c14").alias("kind"), F.col("c29").alias("a"), F.coalesce("c30", "c29").alias("b"))
+    good = judged.where("reason IS NULL").select("source_file", "record_no", F.col("c0").try_cast("bigint").alias("spectrum"), peptides["a"].alias("peptide_a"), peptides["b"].alias("peptide_b"), F.col("c6").alias("linker"), F.col("c9").try_cast("double").alias("e_value"), F.col("c10").try_cast("double").alias("score"), F.col("c14").alias("kind"), given("c29").alias("a"), F.coalesce(given("c30"), given("c29")).alias("b"))
+    return good, judged.where("reason IS NOT NULL").select("source_file", "record_no", "reason", "raw_record")
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:

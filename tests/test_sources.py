@@ -126,3 +126,18 @@ def test_ingest_goes_on_after_a_restart(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(8))
     left = ingest.pending(spark.createDataFrame([("a",), ("b",)], "f string"), spark.createDataFrame([("a", "COMPLETED"), ("b", "pending")], "f string, status string"), ["f"])
     assert [r.f for r in left.collect()] == ["b"]
+
+
+def test_xlms_rejects(spark, tmp_path):
+    def row(n=32, **given):
+        f = [""] * n
+        for k, v in ({"f0": "7", "f9": "1", "f10": "2"} | given).items():
+            f[int(k[1:])] = v
+        return ",".join(f)
+
+    lines = [",".join(f"h{i}" for i in range(32)), row(f29="P", f30="Q"), row(20, f3='"a, ""b"""'), row(f29=" "), row(f3='"two\nlines"', f29="P"), row(33, f30="Q"), row(33)]
+    good, bad = readers.xlms_records(spark, write(tmp_path / "x.csv", "\n".join(lines) + "\n"))
+    assert sorted(tuple(r) for r in good.select("record_no", "a", "b").collect()) == [(2, "P", "Q"), (5, "P", "P"), (6, None, "Q")]
+    got = {r.record_no: (r.reason, r.raw_record) for r in bad.collect()}
+    assert got == {3: ("column count 20 < 32", lines[2]), 4: ("missing participants", lines[3]), 7: ("missing participants", lines[6])}
+    assert readers.xlms(spark, str(tmp_path / "x.csv")).count() == 3
