@@ -92,10 +92,25 @@ def xlms_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
-    """16 tab-separated columns, a header line allowed; identities above 1 are percentages."""
-    rows = spark.read.schema(", ".join(f"c{i} string" for i in range(16))).option("sep", "\t").csv(path).where("c0 <> 'query' OR c1 <> 'target'")
-    typed = [F.expr(f"try_cast(c{i} AS {kind})").alias(name) for i, (name, kind) in enumerate(x.split() for x in ALIGNMENT_SCHEMA.split(", "))]
-    return rows.select(*typed).withColumn("fident", F.when(F.col("fident") > 1, F.col("fident") / 100).otherwise(F.col("fident")))
+    """Tab-separated columns, by name where the first line is a header that names fident or pident, else 16 by position.
+
+    pident is a percentage; fident, qcov and tcov are where they are above 1. A named file's missing columns are null, but coverages and evalue 0.
+    """
+    types = dict(x.split() for x in ALIGNMENT_SCHEMA.split(", "))
+    head = spark.read.text(path).first()
+    names = [x.strip().lower() for x in head[0].split("\t")] if head else []
+    named = bool({"query", "target"} & set(names)) and bool({"fident", "pident"} & set(names))
+    place = {n: names.index(n) for n in (*types, "pident") if n in names} if named else {n: i for i, n in enumerate(types)}
+    rows = spark.read.schema(", ".join(f"c{i} string" for i in range(max(16, len(names))))).option("sep", "\t").csv(path)
+    header = [F.coalesce(F.lower(F.trim(f"c{place[n]}")) == n, F.lit(False)) for n in ("query", "target") if n in place]
+    rows = rows.where(~(header[0] & header[-1]))
+    absent = {"qcov": 0.0, "tcov": 0.0, "evalue": 0.0}
+    typed = {n: F.col(f"c{place[n]}").try_cast(kind) if n in place else F.lit(absent.get(n)).cast(kind) for n, kind in types.items()}
+    fraction = lambda c: F.when(c > 1, c / 100).otherwise(c)
+    typed |= {n: fraction(typed[n]) for n in ("fident", "qcov", "tcov")}
+    if "fident" not in place:
+        typed["fident"] = F.col(f"c{place['pident']}").try_cast("double") / 100
+    return rows.select(*(c.alias(n) for n, c in typed.items()))
 
 
 def by_name(spark: SparkSession, path: str, wanted: dict[str, str], sep: str = "\t") -> DataFrame:

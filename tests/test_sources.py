@@ -141,3 +141,13 @@ def test_xlms_rejects(spark, tmp_path):
     got = {r.record_no: (r.reason, r.raw_record) for r in bad.collect()}
     assert got == {3: ("column count 20 < 32", lines[2]), 4: ("missing participants", lines[3]), 7: ("missing participants", lines[6])}
     assert readers.xlms(spark, str(tmp_path / "x.csv")).count() == 3
+
+
+def test_alignments_by_header(spark, tmp_path):
+    text = "target\tevalue\tPident\tquery\tqcov\ttcov\nT\t1e-5\t0.9\tQ\t85\t0.7\nU\t1e-6\t90\tQ\t0.5\tx\n"
+    got = {r.target: r for r in readers.alignments(spark, write(tmp_path / "a.tsv", text)).collect()}
+    assert {k: (r.query, r.evalue, r.qcov, r.tcov, r.bits) for k, r in got.items()} == {"T": ("Q", 1e-5, 0.85, 0.7, None), "U": ("Q", 1e-6, 0.5, None, None)}
+    assert abs(got["T"].fident - 0.009) < 1e-12 and abs(got["U"].fident - 0.9) < 1e-12
+    plain = "q\tt\t85\t1\t1\t1\t1\t1\t1\t1\t1e-5\t50\t10\t10\t90\t0.8\n"
+    r = readers.alignments(spark, write(tmp_path / "b.tsv", plain)).first()
+    assert (r.query, r.fident, r.qcov, r.tcov) == ("q", 0.85, 0.9, 0.8)
