@@ -94,6 +94,17 @@ def consolidate(evidence: DataFrame, a: str, b: str, source: str, kind: str, met
     return out.withColumn("pair_key", canonical_key(*keys)).withColumn("pair_type", F.when(F.col(keys[0]) == F.col(keys[1]), "homomer").otherwise("heteromer"))
 
 
+def names(evidence: DataFrame, a: str, b: str, name_a: str, name_b: str, order: list[str], author: str | None = None, most: int = 5) -> DataFrame:
+    """For each unordered pair the names in its first row by order, each with its own id, and its first most authors, sorted, joined."""
+    known = evidence.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    left = F.col(a) <= F.col(b)
+    name = [X.null_sentinel(F.when(left, x).otherwise(y)) for x, y in ((F.col(name_a), F.col(name_b)), (F.col(name_b), F.col(name_a)))]
+    first = F.min(F.struct(*order, *(c.alias(f"_{i}") for i, c in enumerate(name))))
+    authors = [] if author is None else [F.array_join(F.slice(F.array_sort(F.collect_set(X.null_sentinel(F.col(author)))), 1, most), "|").alias("first_authors")]
+    out = known.groupBy(F.least(a, b).alias("participant_a_id"), F.greatest(a, b).alias("participant_b_id")).agg(first.alias("_first"), *authors)
+    return out.withColumns({"participant_a_name": F.col("_first._0"), "participant_b_name": F.col("_first._1")}).drop("_first")
+
+
 def technique_totals(pairs: DataFrame, key: str, methods: Column, techniques: DataFrame) -> DataFrame:
     """key and the summed weight of its distinct canonical techniques; 1.0 where none is known.
 

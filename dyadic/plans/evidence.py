@@ -58,6 +58,17 @@ def pair_consolidate(spark: SparkSession, d: str) -> DataFrame:
     return P.consolidate(evidence(spark, d), "participant_a_id_value", "participant_b_id_value", "source_resource", "interaction_type_raw", "detection_method_raw", "pmid", "publication_year", "source_record_id", "intact_miscore")
 
 
+@query(
+    f"""SELECT a AS participant_a_id, b AS participant_b_id, CASE WHEN f.x NOT IN {MISS} THEN f.x END AS participant_a_name, CASE WHEN f.y NOT IN {MISS} THEN f.y END AS participant_b_name
+FROM (SELECT least(participant_a_id_value, participant_b_id_value) AS a, greatest(participant_a_id_value, participant_b_id_value) AS b,
+  arg_min(CASE WHEN participant_a_id_value <= participant_b_id_value THEN {{'x': participant_a_original_name, 'y': participant_b_original_name}} ELSE {{'x': participant_b_original_name, 'y': participant_a_original_name}} END, (source_id, source_file, source_row_number, evidence_id)) AS f
+FROM combine_evidence WHERE participant_a_id_value IS NOT NULL AND participant_b_id_value IS NOT NULL GROUP BY ALL)"""
+)
+def pair_names(spark: SparkSession, d: str) -> DataFrame:
+    """The names of each pair of pair_consolidate; combine_evidence has no authors."""
+    return P.names(evidence(spark, d), "participant_a_id_value", "participant_b_id_value", "participant_a_original_name", "participant_b_original_name", ["source_id", "source_file", "source_row_number", "evidence_id"])
+
+
 SCORED = (
     TECHNIQUES
     + f"""c AS ({CONSOLIDATED}),
