@@ -79,3 +79,24 @@ def attach(rows: DataFrame, lookup: DataFrame, on: str, weight: str, n_rows: int
     marks = lookup.where(F.col(weight) * HOT_PARTS >= n_rows).select(F.col(on).alias("_on"))
     rest = rows.join(F.broadcast(marks), F.col(on) == F.col("_on"), "left_anti")
     return here.unionByName(rest.join(cold, F.col(on) == F.col("_on"), "inner").drop("_on"))
+
+
+def total_weight(lookup: DataFrame, weight: str) -> int:
+    return max(1, lookup.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0])
+
+
+def meet(rows: DataFrame, lookup: DataFrame, on: str, weight: str, values: list[str], total: int | None = None) -> DataFrame:
+    """rows with values of the lookup row whose key equals theirs; rows without one are left out.
+
+    lookup: a written table of distinct keys with weight, no less than the number of rows that hold each. The rows of hot
+    keys stay where they are and meet the hot lookup rows by broadcast. A key is hot from one HOT_PARTS-th of the sum of
+    all weights, so that no more than HOT_PARTS keys are. The others are shuffled. total: total_weight(lookup), where it
+    has been taken before.
+    """
+    total = total_weight(lookup, weight) if total is None else total
+    is_hot = F.col(weight) * HOT_PARTS >= total
+    side = lookup.select(F.col(on).alias("_on"), weight, *values)
+    hot = F.broadcast(side.where(is_hot).drop(weight))
+    here = rows.join(hot, F.col(on) == F.col("_on"), "inner")
+    rest = rows.join(hot.select("_on"), F.col(on) == F.col("_on"), "left_anti").join(side.where(~is_hot).drop(weight), F.col(on) == F.col("_on"), "inner")
+    return here.unionByName(rest).drop("_on")

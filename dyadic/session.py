@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,12 +40,23 @@ def is_missing(value: str | Column) -> Column:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
-    root = str(Path(__file__).resolve().parent.parent)
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    """Lets the Python workers import this package, wherever they run: an archive of it goes to all executors, once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_dyadic_archive", None):
+        return
+    home = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/dyadic-{uuid.uuid4().hex}.zip")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(at)
+    out.write(held.getvalue())
+    out.close()
+    fs.deleteOnExit(at)
+    context.addPyFile(at.toString())
+    context._dyadic_archive = at.toString()
 
 
 def shared_dir(spark: SparkSession) -> str:
