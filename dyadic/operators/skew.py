@@ -32,17 +32,35 @@ def per_key(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("key").agg(F.sum("weight").alias("n_rows"), F.count("value").alias("n_distinct"), mode, *best)
 
 
-def quantiles(weighted: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """key and, for each name in shares, the smallest value below or at which that share of the key's rows lies."""
+def _upto(weighted: DataFrame) -> DataFrame:
+    """key, value, the weight that its key has up to and with value (upto), and in all (total)."""
     work = Workspace(weighted.sparkSession, "quantiles")
     ordered = weighted.where("value IS NOT NULL").select("key", "value", "weight").repartitionByRange("key", "value")
     ordered = work.save(ordered.withColumn("part", F.spark_partition_id()), "ordered")
     sums = ordered.groupBy("key", "part").agg(F.sum("weight").alias("w"))
     span = Window.partitionBy("key")
-    before = sums.select("key", "part", (F.sum("w").over(span.orderBy("part")) - F.col("w")).alias("before"), F.sum("w").over(span).alias("total"))
+    before = sums.select(F.col("key").alias("_key"), F.col("part").alias("_part"), (F.sum("w").over(span.orderBy("part")) - F.col("w")).alias("before"), F.sum("w").over(span).alias("total"))
     upto = F.col("before") + F.sum("weight").over(Window.partitionBy("key", "part").orderBy("value"))
-    ranked = ordered.join(before, ["key", "part"]).withColumn("upto", upto)
-    return ranked.groupBy("key").agg(*(F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), F.col("value"))).alias(name) for name, q in shares.items()))
+    return ordered.join(before, F.col("key").eqNullSafe(F.col("_key")) & (F.col("part") == F.col("_part"))).select("key", "value", upto.alias("upto"), "total")
+
+
+def quantiles(weighted: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """key and, for each name in shares, the smallest value below or at which that share of the key's rows lies."""
+    return _upto(weighted).groupBy("key").agg(*(F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), F.col("value"))).alias(name) for name, q in shares.items()))
+
+
+def interpolated(weighted: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """key, total, and for each name in shares the value at that share of the way from the first to the last row, between two rows in proportion."""
+    at = {name: q * (F.col("total") - 1) for name, q in shares.items()}
+    value = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
+    ends = [value(f(c)).alias(f"_{end}_{name}") for name, c in at.items() for end, f in (("lo", F.floor), ("hi", F.ceil))]
+    out = _upto(weighted).groupBy("key").agg(F.max("total").alias("total"), *ends)
+    return out.select("key", "total", *((F.col(f"_lo_{n}") + (c - F.floor(c)) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n, c in at.items()))
+
+
+def upper_medians(weighted: DataFrame) -> DataFrame:
+    """key and upper_median, the value of row n // 2, counted from 0, of the n rows in order."""
+    return _upto(weighted).groupBy("key").agg(F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("value"))).alias("upper_median"))
 
 
 def known(column: str) -> Column:
@@ -94,9 +112,9 @@ def meet(rows: DataFrame, lookup: DataFrame, on: str, weight: str, values: list[
     has been taken before.
     """
     total = total_weight(lookup, weight) if total is None else total
-    is_hot = F.col(weight) * HOT_PARTS >= total
-    side = lookup.select(F.col(on).alias("_on"), weight, *values)
-    hot = F.broadcast(side.where(is_hot).drop(weight))
+    is_hot = F.col("_weight") * HOT_PARTS >= total
+    side = lookup.select(F.col(on).alias("_on"), F.col(weight).alias("_weight"), *values)
+    hot = F.broadcast(side.where(is_hot).drop("_weight"))
     here = rows.join(hot, F.col(on) == F.col("_on"), "inner")
-    rest = rows.join(hot.select("_on"), F.col(on) == F.col("_on"), "left_anti").join(side.where(~is_hot).drop(weight), F.col(on) == F.col("_on"), "inner")
+    rest = rows.join(hot.select("_on"), F.col(on) == F.col("_on"), "left_anti").join(side.where(~is_hot).drop("_weight"), F.col(on) == F.col("_on"), "inner")
     return here.unionByName(rest).drop("_on")

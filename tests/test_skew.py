@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyspark.sql.functions as F
 
 from dyadic.operators import ordering, skew
@@ -44,6 +45,18 @@ def test_empty(spark):
     assert skew.per_key(weighted).count() == 0 and skew.quantiles(weighted, {"q": 0.5}).count() == 0
 
 
+def test_medians(spark):
+    table = [(k, float(v)) for k, n in (("a", 1), ("b", 4), ("c", 501)) for v in [(i * 37) % 101 for i in range(n)]] + [(None, 3.0), (None, 4.0), ("d", None)]
+    weighted = skew.compress(spark.createDataFrame(table, "k string, v double"), F.col("k"), F.col("v"))
+    groups = defaultdict(list)
+    for k, v in table:
+        if v is not None:
+            groups[k].append(v)
+    assert {r.key: r.upper_median for r in skew.upper_medians(weighted).collect()} == {k: sorted(v)[len(v) // 2] for k, v in groups.items()}
+    got = {r.key: (r.total, r.q1, r.q2) for r in skew.interpolated(weighted, {"q1": 0.25, "q2": 0.5}).collect()}
+    assert {k: (n, round(a, 9), round(b, 9)) for k, (n, a, b) in got.items()} == {k: (len(v), *(round(float(np.percentile(v, q)), 9) for q in (25, 50))) for k, v in groups.items()}
+
+
 def test_running_sums(spark):
     table = [(i % 3 if i % 7 else None, i, i % 5) for i in range(500)]
     df = spark.createDataFrame(table, "g int, i int, x int")
@@ -55,11 +68,11 @@ def test_running_sums(spark):
     assert sorted(r.rank for r in ordering.ranked(df, [], [F.col("i").desc()]).collect()) == list(range(1, 501))
 
 
-def test_attach(spark):
+def test_meet(spark):
     table = data()
     df = spark.createDataFrame([(k, i) for i, (k, _, _) in enumerate(table)] + [("lone%d" % i, -i) for i in range(1, 2000)], "k string, i int")
     counts = df.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-    got = {(r.k, r.i): r["first"] for r in skew.attach(df, counts, "k", "n", df.count(), ["first"]).collect()}
+    got = {(r.k, r.i): r["first"] for r in skew.meet(df, counts, "k", "n", ["first", "n"]).collect()}
     first = {}
     for k, i in sorted(((r.k, r.i) for r in df.where("k is not null").collect()), key=lambda x: x[1]):
         first.setdefault(k, i)
