@@ -55,24 +55,23 @@ def p3_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return skew.quantiles(weighted, {"median_fident": 0.5, "p90_fident": 0.9}).withColumnRenamed("key", "query")
 
 
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "assay_mapping").select("source_term")
+
+
 def _lines(spark: SparkSession, d: str, load: bool) -> DataFrame:
-    methods = rejects.known_methods(table(spark, d, "assay_mapping"))
-    return rejects.judge_lines(table(spark, d, "raw_evidence_lines"), ["line_id", "source_id", "source_file", "source_row", "layout"], "layout", "raw_line", methods, load)
+    return rejects.judge_lines(table(spark, d, "raw_evidence_lines"), ["line_id", "source_id", "source_file", "source_row", "layout"], "layout", "raw_line", _vocabulary(spark, d), load)
 
 
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Each evidence record once, with its reason."""
-    methods = rejects.known_methods(table(spark, d, "assay_mapping"))
-    reason = rejects.term_reason("detection_method_raw", "interaction_type_raw", methods)
-    return table(spark, d, "combine_evidence").select("evidence_id", "source_id", "source_file", reason.alias("reason")).distinct()
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of combine_evidence with their reasons."""
+    return rejects.judge_terms(table(spark, d, "combine_evidence"), "detection_method_raw", "interaction_type_raw", _vocabulary(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d, load=False).where("reason IS NOT NULL").select(F.lit("raw_evidence_lines").alias("table_name"), F.col("line_id").alias("record_key"), "reason")
-    methods = rejects.known_methods(table(spark, d, "assay_mapping"))
-    reason = rejects.term_reason("detection_method_raw", "interaction_type_raw", methods)
-    evidence = table(spark, d, "combine_evidence").select(F.lit("combine_evidence").alias("table_name"), F.col("evidence_id").alias("record_key"), reason.alias("reason"))
-    return lines.unionByName(evidence.where("reason IS NOT NULL").distinct())
+    evidence = _judged(spark, d).where("reason IS NOT NULL").select(F.lit("combine_evidence").alias("table_name"), F.col("evidence_id").alias("record_key"), "reason")
+    return lines.unionByName(evidence.distinct())
 
 
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
@@ -82,16 +81,15 @@ def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The good rows of combine_evidence, each record once, with all columns; NA, which marks a column that carries nothing, is null, so that copies are equal."""
-    rows = table(spark, d, "combine_evidence")
-    reason = rejects.term_reason("detection_method_raw", "interaction_type_raw", rejects.known_methods(table(spark, d, "assay_mapping")))
+    rows = _judged(spark, d).where("reason IS NULL").drop("reason")
     filled = [F.when(F.col(f.name) != "NA", F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in rows.schema]
-    return rows.where(reason.isNull()).select(*filled).distinct()
+    return rows.select(*filled).distinct()
 
 
 def p5_source_files(spark: SparkSession, d: str) -> DataFrame:
     """The true counts of each source file of phase2_progress; null where a file has no records here."""
     by = ["source_id", "source_file"]
-    records = _lines(spark, d, load=False).select(*by, "reason").unionByName(_evidence(spark, d).select(*by, "reason"))
+    records = _lines(spark, d, load=False).select(*by, "reason").unionByName(_judged(spark, d).select("evidence_id", *by, "reason").distinct().drop("evidence_id"))
     counts = records.groupBy(*by).agg(F.count("*").alias("n_input"), F.count_if(F.col("reason").isNull()).alias("n_normalized"), F.count("reason").alias("n_rejected"))
     return table(spark, d, "phase2_progress").select(*by).join(counts, by, "left").withColumn("rejection_rate_pct", F.round(100 * F.col("n_rejected") / F.col("n_input"), 4))
 

@@ -98,12 +98,13 @@ def test_lines(spark):
         ("other", "text", "unknown_layout"),
     ]
     df = spark.createDataFrame([(str(i), layout, line, 1) for i, (layout, line, _) in enumerate(cases)], "id string, layout string, line string, reason int")
-    got = {r.id: r.reason for r in rejects.judge_lines(df.repartition(2), ["id"], "layout", "line", ("pull down",)).collect()}
+    words = spark.createDataFrame([("Pull Down", 1), (None, 2), ("pull down", 3)], "term string, reason int")
+    got = {r.id: r.reason for r in rejects.judge_lines(df.repartition(2), ["id"], "layout", "line", words).collect()}
     for i, (_, line, want) in enumerate(cases):
         assert got.get(str(i), "") == want, line and line[:200]
-    assert rejects.judge_lines(df.limit(0), ["id"], "layout", "line", ()).count() == 0
+    assert rejects.judge_lines(df.limit(0), ["id"], "layout", "line", words).count() == 0
     twice = df.where("id = '3'").unionByName(df.where("id = '3'"))
-    assert rejects.judge_lines(twice, ["id"], "layout", "line", (), load=False).count() == 2
+    assert rejects.judge_lines(twice, ["id"], "layout", "line", words.limit(0), load=False).count() == 2
 
 
 def test_loaded_fields(spark):
@@ -132,7 +133,7 @@ def test_open_quotes(spark):
 
     lines = [xlms(f3='a"b', f5='"c'), xlms(), xlms(f3='a"b', f31='"c'), xlms(f3='a"b', f5='"c,d'), xlms(f3='a"b', f29="", f30='"B'), xlms(f3='a"b', f0='"7'), xlms(f3='a"b"', f5='"x, ""y"""'), xlms(f3='a"b', f5='"c""', f6='"e""f"'), xlms(f29="", f30="")]
     df = spark.createDataFrame([(f"l{i}", "s", "f", i, "xlms_csv", x) for i, x in enumerate(lines)], "line_id string, source_id string, source_file string, source_row long, layout string, raw_line string").coalesce(1)
-    rows = {r.line_id: r for r in rejects.judge_lines(df, ["line_id"], "layout", "raw_line", ("pull down",)).collect()}
+    rows = {r.line_id: r for r in rejects.judge_lines(df, ["line_id"], "layout", "raw_line", spark.createDataFrame([("pull down",)], "term string")).collect()}
     assert len(rows) == len(lines)
     con = connection("sf0.001")
     con.execute("CREATE OR REPLACE TEMP TABLE given AS SELECT unnest($ids) AS line_id, 's' AS source_id, 'f' AS source_file, 'xlms_csv' AS layout, unnest($lines) AS raw_line", {"ids": [f"l{i}" for i in range(len(lines))], "lines": lines})
@@ -141,3 +142,14 @@ def test_open_quotes(spark):
     assert {k: r.reason for k, r in rows.items()} == want
     assert rows["l1"].reason is None and rows["l8"].reason == "missing_participants"
     assert rows["l2"].reason is None and rows["l2"].fields[3] == 'a"b' and rows["l2"].fields[31] == '"c'
+
+
+def test_nothing_is_lost_or_changed(spark):
+    """Numbers of any length stay, and so do characters that could stand for line breaks, beside lines with breaks."""
+    odd = "a\ue000b\ue001c\ue00ad\ue00d"
+    lines = [xlms(f0="9" * 45), xlms(f3=odd), xlms(f3='"two\nli\rnes"'), xlms(f29="", f30=odd)]
+    df = spark.createDataFrame([(i, "xlms_csv", x) for i, x in enumerate(lines)] + [(9, "mitab27", mitab(f9="taxid:" + "1" * 30, f5="x\ny", f4=odd))], "id int, layout string, line string").coalesce(1)
+    rows = {r.id: r for r in rejects.judge_lines(df, ["id"], "layout", "line", spark.createDataFrame([("pull down",)], "term string")).collect()}
+    assert {r.reason for r in rows.values()} == {None}
+    assert rows[0].spectrum_no == "9" * 45 and rows[1].fields[3] == odd and rows[2].fields[3] == "two\nli\rnes" and rows[3].participant_b == odd
+    assert rows[9].taxon_a == "1" * 30 and rows[9].fields[5] == "x\ny" and rows[9].fields[4] == odd
