@@ -1,10 +1,11 @@
 """Train, validation and test splits that keep related records together (problem 6): random-mate contraction.
 
-Records are linked by what they share. Every shared value is a vertex and a record links its values. Each round
-every vertex throws a coin (a hash of the vertex and the round); a vertex with tails joins its smallest neighbour
-with heads. Joins relabel the edges, which are made distinct, until none is left; a quarter or more of the vertices
-with edges is expected to go each round. Unwinding the rounds, by doubling the way to the vertex that is left at the end,
-gives every vertex its family, and a record has the family of any of its values. A record without a value is a family of its own.
+Records are linked by what they share. Every shared value gets the smallest key of the records that hold it, and those
+keys are the vertices: a record links the keys of its values. Each round every vertex throws a coin (a hash of the
+vertex and the round); a vertex with tails joins its smallest neighbour with heads. One grouped pass gives every vertex
+its new label, joins relabel the edges, which are made distinct, until none is left; a quarter or more of the
+vertices with edges is expected to go each round. Unwinding the rounds backwards gives every vertex its family, and a record
+has the family of any of its values. A record without a value is a family of its own.
 
 Families are then split by cumulative weight (rows). Those over GIANT of all rows, fewer than 1 / GIANT, are placed
 one by one, the largest first, each where most room is left for it in proportion; the others follow in the order
@@ -14,17 +15,21 @@ a small table, so no task sums all families. Shares miss the given ones by less
 Rows meet their family's row by a join that leaves the rows of large families where they are.
 
 Nulls and missing values link nothing; repeated records, ties and both columns holding one value need no care. An
-empty table gives an empty result. Rows with equal keys are one record: they share their family.
+empty table gives an empty result. Rows with equal keys are one record, and come out once; a row without
+a key is no record.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dyadic.operators.skew import attach
+from dyadic.llm import contraction
+from dyadic.operators.skew import meet
 from dyadic.session import Workspace
 
 GIANT = 0.001  # share of the rows from which a family is placed by itself
@@ -36,49 +41,64 @@ def _heads(vertex: str) -> Column:
     return F.xxhash64(F.col(vertex), F.col("turn")) % 2 == 0
 
 
-def contract(edges: DataFrame, work: Workspace) -> DataFrame:
-    """vertex and family (one of its vertices) of every vertex of edges (u, v)."""
-    ends = F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("n")), F.struct(F.col("v").alias("c"), F.col("u").alias("n")))
-    distinct = lambda d: d.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "turn").where("u <> v").distinct()
-    left = work.save(distinct(edges.withColumn("turn", F.lit(0))), "edges0")
-    turn = 0
-    while not left.isEmpty():
-        mates = left.select(F.inline(ends), "turn").where(~_heads("c") & _heads("n")).groupBy("c").agg(F.min("n").alias("p"))
-        mates = work.save(mates, f"mates/turn={turn}")
-        of_u, of_v = (mates.select(F.col("c").alias(x), F.col("p").alias(f"p{x}")) for x in "uv")
-        relabelled = left.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"), F.col("turn") + 1)
-        turn += 1
-        left = work.save(distinct(relabelled.toDF("u", "v", "turn")), f"edges{turn}")
-        work.drop(f"edges{turn - 1}")
-    if not turn:
-        return left.select(F.col("u").alias("vertex"), F.col("v").alias("family"))
-    # a vertex has gone into its mate once, and the mate in a later round: no way to the end is longer than the rounds
-    labels = edges.sparkSession.read.schema(mates.schema).parquet(f"{work.root}/mates/*")
-    for k in range(turn.bit_length()):
-        beyond = labels.select(F.col("c").alias("_c"), F.col("p").alias("_to"))
-        labels = work.save(labels.join(beyond, F.col("p") == F.col("_c"), "left").select("c", F.coalesce("_to", "p").alias("p")), f"labels{k}")
-        work.drop("mates" if k == 0 else f"labels{k - 1}")
-    stayed = labels.select("p").distinct().select(F.col("p").alias("c"), "p")
-    return labels.unionByName(stayed).select(F.col("c").alias("vertex"), F.col("p").alias("family"))
+def _last_rounds(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The same rounds over numbered ends, in one task, with coins from a generator: the last label of each number."""
+    label, coins = np.arange(n), np.random.default_rng(n)
+    while len(a):
+        heads = coins.integers(0, 2, n).astype(bool)
+        mate = np.full(n, n)
+        for x, y in ((a, b), (b, a)):
+            joins = ~heads[x] & heads[y]
+            np.minimum.at(mate, x[joins], y[joins])
+        mate = np.where(mate < n, mate, np.arange(n))
+        label = mate[label]
+        a, b = contraction.kept_edges(mate[a], mate[b], n)
+    return label
+
+
+def _mates(edges: DataFrame, work: Workspace, k: int) -> DataFrame:
+    """Each vertex and its mate: its smallest neighbour with heads where it has tails, else itself."""
+    ends = contraction.directed(edges).withColumn("turn", F.lit(k))
+    mate = F.coalesce(F.min(F.when(~_heads("c") & _heads("n"), F.col("n"))), F.col("c"))
+    return work.save(ends.groupBy("c").agg(mate.alias("p")), f"mates{k}")
 
 
 def families(records: DataFrame, key: str, shared: list[Column], work: Workspace | None = None) -> DataFrame:
-    """key and first_key of every row: the smallest key of all records that are linked with it.
+    """key and first_key of every record: the smallest key of all records that are linked with it.
 
     shared: texts that link records; null links nothing. Columns whose values must not meet need prefixes.
     """
     work = work or Workspace(records.sparkSession, "families")
     values = F.array_compact(F.array(*shared))
-    rows = work.save(records.select(F.col(key).alias("_key"), values.alias("_values")), "rows")
-    star = rows.select(F.explode(F.expr("transform(slice(_values, 2, greatest(size(_values) - 1, 0)), x -> struct(_values[0] AS u, x AS v))")).alias("e")).select("e.*")
-    vertices = contract(star, work)
-    first = rows.select("_key", F.try_element_at("_values", F.lit(1)).alias("vertex"))
-    # null vertices take no part in the joins and stay families of one row
-    labelled = first.where("vertex is not null").join(vertices, "vertex", "left").select("_key", F.coalesce("family", "vertex").alias("_family"))
-    labelled = work.save(labelled, "labelled")
-    least = work.save(labelled.groupBy("_family").agg(F.min("_key").alias("first_key"), F.count("*").alias("n")), "least")
-    together = attach(labelled, least, "_family", "n", labelled.count(), ["first_key"]).select("_key", "first_key")
-    alone = first.where("vertex is null").select("_key", F.col("_key").alias("first_key"))
+    if not isinstance(records.schema[key].dataType, T.IntegralType):
+        # numbers in the order of the keys stand for them
+        keys = records.select(F.col(key).alias("_name")).where("_name IS NOT NULL").distinct().repartitionByRange("_name").sortWithinPartitions("_name")
+        keys = work.save(keys.select("_name", F.monotonically_increasing_id().alias("_number")), "keys")
+        numbered = records.select(F.col(key).alias("_name"), values.alias("_values")).join(keys, "_name").select("_number", "_values")
+        found = families(numbered, "_number", [F.col("_values")], work)
+        names = lambda x, out: keys.select(F.col("_number").alias(x), F.col("_name").alias(out))
+        return found.join(names("_number", key), "_number").join(names("first_key", "_first"), "first_key").select(key, F.col("_first").alias("first_key"))
+    if len(shared) == 1 and isinstance(records.select(shared[0]).schema[0].dataType, T.ArrayType):
+        values = shared[0]
+    rows = work.save(records.select(F.col(key).alias("_key"), values.alias("_values")).where("_key IS NOT NULL"), "rows")
+    held = rows.select("_key", F.explode("_values").alias("_value"))
+    owners = work.save(held.groupBy("_value").agg(F.min("_key").alias("_owner"), F.count("*").alias("n")), "owners")
+    # of each record the distinct owners of its values, no more than it has values
+    owned = meet(held, owners, "_value", "n", ["_owner"]).select("_key", "_owner").unionByName(rows.where("size(_values) = 0").select("_key", F.lit(None).cast("long").alias("_owner")))
+    stars = work.save(owned.groupBy("_key").agg(F.array_sort(F.collect_set("_owner")).alias("_owners")), "stars")
+    links = stars.where("size(_owners) > 1").select(F.col("_owners")[0].alias("u"), F.explode(F.expr("slice(_owners, 2, size(_owners))")).alias("v")).distinct()
+    labels = contraction.contracted(work.save(links, "edges0"), work, lambda e, k: _mates(e, work, k), _last_rounds)
+    first = stars.where("size(_owners) > 0").select("_key", F.col("_owners")[0].alias("_vertex"))
+    least = first.groupBy("_vertex").agg(F.count("*").alias("n"))
+    if labels is None:
+        least = least.withColumn("first_key", F.col("_vertex"))
+    else:
+        labels = work.save(labels, "labels")
+        smallest = labels.groupBy("p").agg(F.min("c").alias("_least")).select(F.col("p").alias("_p"), "_least")
+        known = labels.join(smallest, F.col("p") == F.col("_p")).select("c", "_least")
+        least = least.join(known, F.col("_vertex") == F.col("c"), "left").select("_vertex", "n", F.coalesce("_least", "_vertex").alias("first_key"))
+    together = meet(first, work.save(least, "least"), "_vertex", "n", ["first_key"]).select("_key", "first_key")
+    alone = stars.where("size(_owners) = 0").select("_key", F.col("_key").alias("first_key"))
     return together.unionByName(alone).select(F.col("_key").alias(key), "first_key")
 
 
@@ -116,4 +136,4 @@ def split_by_weight(members: DataFrame, key: str, shares: dict[str, float], work
     for name, keys in placed.items():
         if keys:
             tagged = tagged.unionByName(weights.where(F.col("first_key").isin(keys)).select("first_key", "weight", F.lit(name).alias("split")))
-    return attach(members, work.save(tagged, "tagged"), "first_key", "weight", total, ["split"]).select(key, "first_key", "split")
+    return meet(members, work.save(tagged, "tagged"), "first_key", "weight", ["split"]).select(key, "first_key", "split")
