@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadic.llm import consolidate, cutting, merkle, packing, splits, tokens
@@ -18,18 +18,19 @@ def p1_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("group_id").agg(F.count("*").alias("n_members"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tomato_positive_pairs_deduplicated").select("pair_id", "canonical_pair_key", "participant_a_id", "participant_b_id")
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, merkle.Node, Column]:
+    return merkle.pair_tree(table(spark, d, "tomato_positive_pairs_deduplicated"), "pair_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    found = merkle.copies(_pairs(spark, d), "pair_id", *merkle.pair_tree())
+    pairs, tree, empty = _pairs(spark, d)
+    found = merkle.copies(pairs, "pair_id", tree, empty)
     return found.where("pair_id <> first_key").select(F.col("first_key").alias("first_pair_id"), F.col("pair_id").alias("copy_pair_id"))
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
     """One record for each pair and its number of copies; a row without two ids is a record of its own."""
-    pairs, (tree, empty) = _pairs(spark, d), merkle.pair_tree()
+    pairs, tree, empty = _pairs(spark, d)
     groups = merkle.copy_groups(pairs, "pair_id", tree, empty).select(F.col("first_key").alias("pair_id"), "n_copies")
     return groups.unionByName(pairs.where(empty).select("pair_id", F.lit(1).cast("long").alias("n_copies")))
 

@@ -7,7 +7,7 @@ import pytest
 from oracle import DATA, connection, same
 from pyspark.sql import functions as F
 
-from dyadic.llm import consolidate, merkle, queries, splits
+from dyadic.llm import consolidate, contraction, merkle, queries, splits
 
 
 def labels(nodes, links):
@@ -35,7 +35,8 @@ def shapes(seed):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_groups(spark, seed):
+def test_groups(spark, monkeypatch, seed):
+    monkeypatch.setattr(contraction, "TAIL_EDGES", 40 * seed)  # rounds of joins only, or the last ones in one task
     links = shapes(seed)
     rows = links + [(b, a) for a, b in links[::3]] + links[:20] + [(None, "c000"), ("c000", None), ("alone", "alone")]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "a string, b string, u string")
@@ -53,7 +54,8 @@ def test_matches(spark):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_families(spark, seed):
+def test_families(spark, monkeypatch, seed):
+    monkeypatch.setattr(contraction, "TAIL_EDGES", 40 * (seed % 2))  # rounds of joins only, or the last ones in one task
     r = random.Random(seed)
     rows = [(i, r.choice([None, "-", *(f"p{k}" for k in range(40))]) if i % 3 else f"only{i}", r.choice([None, "NA", "", f"q{r.randint(0, 60)}"]), r.choice([None, -1, r.randint(0, 50)])) for i in range(120)] + [(500 + i, "giant", f"x{i}", None) for i in range(60)] + [(900, None, None, None), (901, None, "nan", -1)]
     df = spark.createDataFrame([(*x, 0) for x in rows], "k long, a string, b string, c long, first_key int")
@@ -65,6 +67,9 @@ def test_families(spark, seed):
             links[v].append(k)
     assert got == labels([x[0] for x in rows], [(ks[0], k) for ks in links.values() for k in ks[1:]])
     assert splits.families(df.limit(0), "k", [ok("a")]).count() == 0
+    named = df.where("k < 60").select(F.concat(F.lit("r"), F.lpad(F.col("k").cast("string"), 3, "0")).alias("k"), "a", "b").union(df.limit(1).selectExpr("NULL", "a", "b"))
+    want = {(f"r{x.k:03}", f"r{x.first_key:03}") for x in splits.families(df.where("k < 60"), "k", [ok("a"), ok("b")]).collect()}
+    assert {tuple(x) for x in splits.families(named, "k", [ok("a"), ok("b")]).collect()} == want
 
 
 def test_shares(spark):
@@ -91,21 +96,25 @@ def test_split_queries(spark):
 PAIR = "pair_id string, canonical_pair_key string, participant_a_id string, participant_b_id string, digest int"
 
 
-def test_copies(spark):
+@pytest.mark.parametrize("hasher", [lambda c: F.sha2(c, 256), lambda c: F.substring(F.sha2(c, 256), 1, 0), lambda c: F.lit("AB")])
+def test_copies(spark, monkeypatch, hasher):
+    """Also with digests that all records share: trees that differ stay apart."""
     rows = [("p1", None, "A-1", "b"), ("p2", "", " B.", "a_1"), ("p3", "A|B", "A", "B"), ("p4", "a-1 ~ B", None, "B"), ("p5", "B_A-1", "-", None), ("p6", "x", "nan", "B"), ("p7", None, "é", "B"), ("p8", " A-1|B. ", "NA", "q"), ("p9", None, None, None)]
     df = spark.createDataFrame([(*r, 1) for r in rows] + [("p4", "a-1 ~ B", None, "B", 2)], PAIR)
-    got = {(r.pair_id, r.first_key) for r in merkle.copies(df, "pair_id", *merkle.pair_tree()).collect()}
+    pairs, tree, empty = merkle.pair_tree(df, "pair_id")
+    monkeypatch.setattr(merkle, "_hash", hasher)
+    got = {(r.pair_id, r.first_key) for r in merkle.copies(pairs, "pair_id", tree, empty).collect()}
     assert got == {(p, "p1") for p in ("p1", "p2", "p4", "p5", "p8")}
-    groups = {r.first_key: r.n_copies for r in merkle.copy_groups(df, "pair_id", *merkle.pair_tree()).collect()}
+    groups = {r.first_key: r.n_copies for r in merkle.copy_groups(pairs, "pair_id", tree, empty).collect()}
     assert groups == {"p1": 6, "p3": 1}
-    assert merkle.copies(df.limit(0), "pair_id", *merkle.pair_tree()).count() == 0
+    assert merkle.copies(pairs.limit(0), "pair_id", tree, empty).count() == 0
 
 
 def test_trees(spark):
     L, N = merkle.Leaf, merkle.Node
     df = spark.createDataFrame([("x y", "b", "c"), ("XY", "c", "B"), ("xy", "bc", ""), ("b", "xy", "c")], "a string, b string, c string")
     unordered = N([L(F.col("a")), N([L(F.col("b")), L(F.col("c"))])], ordered=True)
-    got = [(r[0], r[1]) for r in df.select(merkle.digest(unordered), merkle.canonical(unordered)).collect()]
+    got = [(r[0], r[1]) for r in merkle.hashed(df, [], unordered).collect()]
     assert got[0] == got[1] and len(set(got)) == 3 and len({x for x, _ in got}) == len({y for _, y in got})
 
 
