@@ -11,8 +11,10 @@ from the histogram of sizes: at most capacity + 1 numbers, whatever the count of
 4. fills what is left best-fit with the small sizes in descending order, run by run.
 
 Its result is a list of rules "documents i .. i+k of the order by size go to containers c .. c+k", whose number
-depends on the capacity, not on the documents. Executors number the documents within each size (counted by size and
-a hash of the key first, so that no size, however common, is numbered by one task) and look the rules up.
+depends on the capacity, not on the documents. Executors number the documents within each size and look the rules up. A
+size of more than BUCKET_ROWS documents is divided into buckets by a hash of the key, as many as its number in the histogram
+asks for, so that no size, however common, is numbered by one task; a table of those buckets only tells how many
+documents are in the ones before.
 
 Every row gets exactly one container for each budget, whole, unless it exceeds the capacity: then its full parts
 fill containers of their own and the rest is packed like a document (piece_no counts from 1). Documents
@@ -23,6 +25,7 @@ as rows of their own. An empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import warnings
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -38,6 +41,7 @@ from dyadic.session import Workspace, ship_package
 GROUPS = 32  # groups of rounded sizes
 LARGE_PARTS = 8  # a size over capacity / LARGE_PARTS is large
 BUCKET_ROWS = 50_000  # rows that one numbering window holds, on average
+PRICING_ROUNDS = 400  # columns that the configurations' linear program takes in
 
 
 @dataclass
@@ -48,6 +52,7 @@ class Plan:
     containers: int = 0
     first: list[int] = field(default_factory=list)
     to: list[int] = field(default_factory=list)
+    priced_out: bool = True  # whether the linear program ended before PRICING_ROUNDS
     offset: dict[int, int] = field(default_factory=dict)  # of each size in the order by size, descending
 
 
@@ -73,8 +78,8 @@ def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), copies
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """Configurations (copies of each size) and how often to use each, covering no more than demand.
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = PRICING_ROUNDS) -> tuple[list[tuple[np.ndarray, int]], bool]:
+    """Configurations (copies of each size) and how often to use each, covering no more than demand; and whether they are optimal.
 
     Revised simplex: the basis starts with one size a container; a column enters while its worth at the basis'
     prices exceeds 1. Stopping after any round leaves a feasible basis.
@@ -82,6 +87,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     cost = np.ones(k)
+    optimal = False
     for _ in range(rounds):
         use = np.linalg.solve(basis, demand.astype(float))
         price = np.linalg.solve(basis.T, cost)
@@ -91,6 +97,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         else:
             worth, copies = _knapsack(sizes, np.maximum(price, 0), capacity)
             if worth <= 1 + 1e-7:
+                optimal = True
                 break
             column, c = copies.astype(float), 1.0
         step = np.linalg.solve(basis, column)
@@ -109,7 +116,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
             if often > 0:
                 left = left - copies * often
                 found.append((copies, often))
-    return found
+    return found, optimal
 
 
 class _Runs:
@@ -191,7 +198,8 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large_p
         rounded, member = np.unique(top, return_inverse=True)
         demand = np.bincount(member, weights=np.diff(bounds)).astype(np.int64)
         queue = {r: [g for g in range(len(top)) if member[g] == r] for r in range(len(rounded))}
-        for copies, often in configurations(rounded, demand, capacity):
+        found, p.priced_out = configurations(rounded, demand, capacity)
+        for copies, often in found:
             slots: list[list[tuple[int, int]]] = []  # of each slot, (first document, number) over the run of containers
             for r in np.flatnonzero(copies):
                 for _ in range(int(copies[r])):
@@ -260,11 +268,20 @@ def pack_sizes(sizes: DataFrame, key: str, size: str, budgets: list[tuple[int, i
     for r in counted:
         histogram[r["budget_id"]][r["n_tokens"]] = r["count"]
     plans = {b: plan(histogram[b], c) for b, c in budgets}
-    buckets = 1 + sum(r["count"] for r in counted) // BUCKET_ROWS
-    items = items.select("_key", "budget_id", (F.col("_no") + 1).alias("piece_no"), "n_tokens", F.pmod(F.xxhash64("_key", "_no"), F.lit(buckets)).alias("_bucket"))
+    for b, p in plans.items():
+        if not p.priced_out:
+            warnings.warn(f"budget {b}: the configurations weren't optimal after {PRICING_ROUNDS} rounds; more containers than needed may be used", stacklevel=2)
+    # the sizes that need several buckets, at most capacity + 1 a budget
+    common = [(r["budget_id"], r["n_tokens"], 1 + r["count"] // BUCKET_ROWS) for r in counted if r["count"] > BUCKET_ROWS]
+    buckets = F.broadcast(sizes.sparkSession.createDataFrame(common, "_b int, _n long, _buckets long"))
+    items = items.select("_key", "budget_id", (F.col("_no") + 1).alias("piece_no"), "n_tokens")
+    items = items.join(buckets, (F.col("budget_id") == F.col("_b")) & (F.col("n_tokens") == F.col("_n")), "left").drop("_b", "_n")
     by = ["budget_id", "n_tokens", "_bucket"]
-    ahead = items.groupBy(*by).count().select(*by, (F.sum("count").over(Window.partitionBy(*by[:2]).orderBy("_bucket")) - F.col("count")).alias("_ahead"))
-    numbered = items.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_key", "piece_no")) - 1).join(ahead, by).withColumn("_rank", F.col("_rank") + F.col("_ahead"))
+    items = items.withColumn("_bucket", F.pmod(F.xxhash64("_key", "piece_no"), F.coalesce("_buckets", F.lit(1).cast("long"))))
+    numbered = items.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_key", "piece_no")) - 1)
+    if common:
+        ahead = items.where("_buckets IS NOT NULL").groupBy(*by).count().select(*by, (F.sum("count").over(Window.partitionBy(*by[:2]).orderBy("_bucket")) - F.col("count")).alias("_ahead"))
+        numbered = numbered.join(ahead, by, "left").withColumn("_rank", F.col("_rank") + F.coalesce("_ahead", F.lit(0)))
 
     rules = {b: (np.array(p.first, np.int64), np.array(p.to, np.int64), p) for b, p in plans.items()}
     known = {b: (first, to, np.array([p.offset.get(x, 0) for x in range(p.capacity + 1)], np.int64), max(1, p.containers)) for b, (first, to, p) in rules.items()}
