@@ -44,6 +44,8 @@ class ByteBpe:
 
     def __init__(self, rank_file: bytes, cache_words: int = 300_000):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
+        if max(ranks.values()) >= 1 << 20:
+            raise ValueError("ids of 2^20 and more don't fit the keys of pairs")
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int32)
         self.starts_char = np.zeros(len(self.bytes_of), bool)

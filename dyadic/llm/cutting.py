@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from dyadic.llm import bpe
-from dyadic.llm.tokens import vocabulary
+from dyadic.llm.tokens import by_bytes, vocabulary
 
 #: Sentence ends outside ASCII, as bytes.
 WIDE_ENDS = tuple(x.encode() for x in ("\u3002", "\uff01", "\uff1f", "\u2026"))
@@ -118,7 +118,7 @@ def pieces_of(text: str, ids: bytes, coder: bpe.ByteBpe, limits: list[tuple[int,
 
 def _pieces(ranks: Broadcast, limits: list[tuple[int, int, int]], schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = bpe.loaded(ranks.value)
-    for batch in batches:
+    for batch in by_bytes(batches):
         index: list[int] = []
         columns: list[list] = [[] for _ in range(6)]
         held = 0

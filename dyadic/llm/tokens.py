@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from dyadic.llm import bpe
 from dyadic.session import ship_package
 
 BATCH_IDS = 1 << 20  # ids after which a batch is handed to the JVM
+TEXT_BYTES = 8 << 20  # bytes of text that are Python strings at a time, if more than one text
 
 
 def vocabulary(spark: SparkSession, rank_file: str = bpe.DEFAULT_RANKS) -> Broadcast:
@@ -29,10 +32,24 @@ def vocabulary(spark: SparkSession, rank_file: str = bpe.DEFAULT_RANKS) -> Broad
         return spark.sparkContext.broadcast(f.read())
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose second column holds at most TEXT_BYTES, or one text; empty ones are left out."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        ends, begin = np.cumsum(size, dtype=np.int64), 0
+        while begin < len(ends):
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def _ids(ranks: Broadcast, key: str, out: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = bpe.loaded(ranks.value)
     kind = pa.list_(pa.int32())
-    for batch in batches:
+    for batch in by_bytes(batches):
         raw, offsets, begin = bytearray(), [0], 0
         n = 0
         for n, (_, ids) in enumerate(coder.encode_each(batch.column(1).to_pylist()), 1):
@@ -52,10 +69,9 @@ def _list_batch(keys: pa.Array, offsets: list[int], raw: bytearray, key: str, ou
 
 def _counts(ranks: Broadcast, key: str, out: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = bpe.loaded(ranks.value)
-    for batch in batches:
-        if batch.num_rows:
-            sizes = [len(ids) // 4 for _, ids in coder.encode_each(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[key, out])
+    for batch in by_bytes(batches):
+        sizes = [len(ids) // 4 for _, ids in coder.encode_each(batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[key, out])
 
 
 def encode(df: DataFrame, key: str, text: str, out: str = "ids", rank_file: str = bpe.DEFAULT_RANKS) -> DataFrame:

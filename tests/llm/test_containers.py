@@ -5,11 +5,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dyadic.llm import bpe, cutting, packing
+from dyadic.llm import bpe, cutting, packing, tokens
 
 DATA = "/root/testdata/sf0.001"
 
@@ -55,7 +56,9 @@ def test_rules_dont_grow_with_documents():
     assert many.containers > 10_000 * few.containers and len(many.first) < 40_000
 
 
-def test_pack_sizes(spark):
+@pytest.mark.parametrize("bucket_rows", [packing.BUCKET_ROWS, 40])
+def test_pack_sizes(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", bucket_rows)
     rows = [(i, n) for i, n in enumerate([0, None, 5, 64, 65, 200, 1, 1, 1, 30, 34] + [10] * 500)] + [(2, 5), (2, 5)]
     df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, n long, container_id int").repartition(4)
     got = packing.pack_sizes(df, "doc_id", "n", [(1, 64), (2, 1000)]).collect()
@@ -134,3 +137,12 @@ def test_pieces_of_texts(spark):
                 assert overlap <= a.end_token - b.start_token <= overlap + 3
             assert mine[0].piece_text == text[: len(mine[0].piece_text)] and text.endswith(mine[-1].piece_text)
     assert cutting.cut_texts(df.limit(0), "doc_id", "text", limits).count() == 0
+
+
+def test_slices_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 10)
+    texts = [None, "", "abc", "x" * 25, "abcdefg", "abcd", "", "e" * 10, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["k", "t"])
+    parts = [b.column(1).to_pylist() for b in tokens.by_bytes(iter([batch.slice(0, 0), batch, batch.slice(3, 2)]))]
+    assert [x for p in parts for x in p] == texts + texts[3:5]
+    assert all(len(p) == 1 or sum(len(x or "") for x in p) <= 10 for p in parts)
