@@ -83,22 +83,6 @@ def hot_keys(keys: DataFrame, n_rows: int, share: float) -> DataFrame:
 HOT_PARTS = 1000
 
 
-def attach(rows: DataFrame, lookup: DataFrame, on: str, weight: str, n_rows: int, values: list[str]) -> DataFrame:
-    """rows with values of the lookup row whose key equals theirs; rows without one are left out.
-
-    lookup: distinct keys with the number of rows that hold them (weight), which sum up to no more than n_rows. The
-    rows of hot keys stay where they are and meet the at most HOT_PARTS hot lookup rows by broadcast; the others are
-    shuffled, and of those no key has more than n_rows / HOT_PARTS rows.
-    """
-    key = F.col(on).alias("_on")
-    hot = lookup.where(F.col(weight) * HOT_PARTS >= n_rows).select(key, *values, F.lit(True).alias("_hot"))
-    cold = lookup.where(F.col(weight) * HOT_PARTS < n_rows).select(key, *values)
-    here = rows.join(F.broadcast(hot), F.col(on) == F.col("_on"), "inner").drop("_on", "_hot")
-    marks = lookup.where(F.col(weight) * HOT_PARTS >= n_rows).select(F.col(on).alias("_on"))
-    rest = rows.join(F.broadcast(marks), F.col(on) == F.col("_on"), "left_anti")
-    return here.unionByName(rest.join(cold, F.col(on) == F.col("_on"), "inner").drop("_on"))
-
-
 def total_weight(lookup: DataFrame, weight: str) -> int:
     return max(1, lookup.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0])
 
