@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadic.functions.text import sanitised
+from dyadic.session import ship_package
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], rows_per_file: int = 1_000_000, mode: str = "append") -> None:
     """Hive-partitioned Parquet in files of at most so many rows; readers see a job's files together, when it commits.
 
-    Rows are shuffled by the partition columns and a salt, so that a task writes few partitions and a large
-    partition is written by many tasks.
+    Partitions are counted first: one of n rows is spread over n / rows_per_file salts, so that a task writes few
+    partitions, and a large partition is written by as many tasks as it fills files. df is read twice.
     """
-    salted = df.repartition(*by, F.pmod(F.xxhash64(*(f"`{c}`" for c in df.columns if dict(df.dtypes)[c] != "map")), F.lit(16)))
-    salted.write.mode(mode).partitionBy(*by).option("maxRecordsPerFile", rows_per_file).parquet(path)
+    salts = df.groupBy(*by).agg(F.expr(f"1 + (count(*) - 1) div {rows_per_file}").alias("_salts")).select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), "_salts")
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)]
+    salted = df.join(salts, same).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.col("_salts")))
+    spread = salted.repartition(*by, "_salt").drop("_salt", "_salts", *(f"_by_{i}" for i in range(len(by))))
+    spread.write.mode(mode).partitionBy(*by).option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def write_tsv(df: DataFrame, path: str, columns: Sequence[str], missing: str = "") -> None:
@@ -54,7 +61,34 @@ def audit_json(metrics: DataFrame, key: str, value: str) -> str:
     return json.dumps({r[key]: r[value] for r in metrics.select(key, value).collect()}, sort_keys=True)
 
 
+def audit_tsv(metrics: DataFrame, path: str) -> None:
+    """A table of metrics as one tab-separated file with a header."""
+    write_tsv(metrics.coalesce(1), path, metrics.columns)
+
+
+def audit_markdown(metrics: DataFrame, title: str) -> str:
+    """A small table of metrics as a Markdown section, rows in the order of their columns."""
+    lines = [f"## {title}", "", "| " + " | ".join(metrics.columns) + " |", "|" + " --- |" * len(metrics.columns)]
+    lines += ["| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in r) + " |" for r in metrics.orderBy(*metrics.columns).collect()]
+    return "\n".join(lines) + "\n"
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for path in batch.column(0).to_pylist():
+            fs, at = pa.fs.FileSystem.from_uri(path)
+            digest, size = hashlib.sha256(), 0
+            with fs.open_input_stream(at, compression=None) as f:
+                while part := f.read(1 << 22):
+                    digest.update(part)
+                    size += len(part)
+            out.append((path, size, digest.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string()))], names=["path", "size", "sha256"])
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, size and SHA-256 of each file below path, sorted by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+    """path, size and SHA-256 of each file below path, sorted by path; executors read the files in pieces of 4 MB, whatever their size."""
+    ship_package(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return files.mapInArrow(_hashes, "path string, size long, sha256 string").orderBy("path")

@@ -53,7 +53,9 @@ def tab3(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def string_links(spark: SparkSession, path: str, full: bool, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Blank-separated links behind a header line; the channels' places depend on the layout."""
     place = {"experimental": 3, "transferred": 4, "database": 5, "textmining": 7, "combined": 9} if full else {"experimental": 2, "database": 3, "textmining": 4, "combined": 5}
-    good, bad = split_records(numbered_lines(spark, path), r"\s+", 10 if full else 6, header_lines=1)
+    # a compressed file is read by one task, and what follows is spread again
+    lines = numbered_lines(spark, path)
+    good, bad = split_records(lines.repartition(F.col("line_no")) if path.endswith(".gz") else lines, r"\s+", 10 if full else 6, header_lines=1)
     number = [field(k).try_cast("int").alias(name) for name, k in place.items()]
     rows = good.select("source_file", "line_no", X.without_prefix(field(0), [r"\d+"]).alias("a"), X.without_prefix(field(1), [r"\d+"]).alias("b"), *number)
     rows = rows.withColumns({c: F.regexp_replace(c, r"^\d+\.", "") for c in ("a", "b")})
@@ -119,49 +121,63 @@ def by_name(spark: SparkSession, path: str, wanted: dict[str, str], sep: str = "
     return rows.select(*((F.col(f"`{k}`") if k in rows.columns else F.lit(None).cast("string")).alias(v) for k, v in wanted.items()))
 
 
-def annotations(spark: SparkSession, path: str, aspect: str = "C") -> DataFrame:
-    """locus, term and evidence code of annotation lines of one aspect that aren't negated; lines with ! are comments."""
-    good, _ = split_records(numbered_lines(spark, path), "\t", 9, ("!",))
+def annotations(spark: SparkSession, path: str, aspect: str = "C") -> tuple[DataFrame, DataFrame]:
+    """locus, term and evidence code of annotation lines of one aspect that aren't negated; lines with ! are comments. Lines of fewer than 9 fields are rejects."""
+    good, bad = split_records(numbered_lines(spark, path), "\t", 9, ("!",))
     keep = (field(8) == aspect) & ~F.coalesce(field(3).contains("NOT"), F.lit(False))
-    return good.where(keep).select(field(1).alias("locus"), field(4).alias("term"), field(6).alias("evidence_code"))
+    return good.where(keep).select(field(1).alias("locus"), field(4).alias("term"), field(6).alias("evidence_code")), bad
+
+
+def _marked_records(spark: SparkSession, path: str) -> DataFrame:
+    """source_file and value of records that begin with > at the start of a line, without that mark."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", r"^\s*>", "").alias("value"))
+    return rows.where(~F.col("value").rlike(r"^\s*$"))
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """id, header and sequence of multi-line records; an id is the accession of db|ACC|NAME, else the header's first word.
 
-    A header's secondary_acc= gives a second row with the same sequence.
+    A record begins where a line begins with >. A header's secondary_acc= gives a second row with the same sequence.
     """
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    records = _marked_records(spark, path)
     at = F.instr("value", "\n")
-    header = F.trim(F.when(at > 0, F.substring("value", F.lit(1), at - 1)).otherwise(F.col("value")))
+    header = X.strip_ws(F.when(at > 0, F.substring("value", F.lit(1), at - 1)).otherwise(F.col("value")))
     sequence = F.when(at > 0, F.regexp_replace(F.substring("value", at + 1, F.length("value")), r"\s+", "")).otherwise("")
     parsed = records.select(header.alias("header"), sequence.alias("sequence"))
-    word = F.substring_index("header", " ", 1)
+    word = F.regexp_extract("header", r"^\S*", 0)
     first = F.when(word.rlike(r"^\w+\|[^|]+\|"), F.split(word, r"\|")[1]).otherwise(word)
     ids = F.array_compact(F.array(first, X.extract(F.col("header"), r"secondary_acc=(\S+)")))
     return parsed.select(F.explode(ids).alias("id"), "header", "sequence")
 
 
-def vectors(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """id and vector of records '>id' newline numbers; records of another size are left out."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    parts = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    numbers = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.try_cast("float"))
-    return records.select(parts[0].alias("id"), numbers.alias("vector")).where((F.size("vector") == size) & ~F.exists("vector", lambda x: x.isNull()))
+def vectors(spark: SparkSession, path: str, size: int, tabbed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """id and vector of records '>id' newline numbers, or of lines 'id' tab numbers; those that aren't size numbers are rejects."""
+    if tabbed:
+        rows = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("source_file"), "value")
+    else:
+        rows = _marked_records(spark, path)
+    parts = F.split(X.strip_ws(F.regexp_replace("value", r"\s+", " ")), " ")
+    rows = rows.select("source_file", "value", parts[0].alias("id"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("_texts"))
+    rows = rows.withColumn("vector", F.transform("_texts", lambda x: x.try_cast("float")))
+    reason = F.when(F.size("vector") != size, F.format_string(f"%d numbers for {size}", F.size("vector"))).when(F.exists("vector", lambda x: x.isNull()), "not a number")
+    judged = rows.withColumn("reason", reason)
+    return judged.where("reason IS NULL").select("id", "vector"), judged.where("reason IS NOT NULL").select("source_file", "id", "reason", F.col("value").alias("raw_record"))
 
 
 def table_wraps(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, n_tables and the labels of an article's tables."""
+    """source_file, n_tables, and the labels and caption titles or texts of an article's tables."""
     whole = spark.read.option("wholetext", True).text(path).withColumn("source_file", F.col("_metadata.file_path"))
-    return whole.select("source_file", F.size(F.xpath("value", F.lit("//table-wrap/@id"))).alias("n_tables"), F.xpath("value", F.lit("//table-wrap/label/text()")).alias("labels"))
+    texts = lambda at: F.xpath("value", F.lit(f"//table-wrap/{at}/text()"))
+    count = F.xpath_int("value", F.lit("count(//table-wrap)"))
+    return whole.select("source_file", count.alias("n_tables"), texts("label").alias("labels"), texts("caption//*").alias("captions"))
 
 
-def pair_list(spark: SparkSession, path: str) -> DataFrame:
-    """a, b and label of blank-separated lines: the last word where it is 0 or 1, else the third where it is a number, else 1."""
-    good, _ = split_records(numbered_lines(spark, path), r"\s+", 2, ("#", "Protein", "participant_a_id"))
+def pair_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """a, b and label of blank-separated lines: the last word where it is 0 or 1, else the third where it is a number, else 1. Lines of one word are rejects."""
+    good, bad = split_records(numbered_lines(spark, path), r"\s+", 2, ("#", "Protein", "participant_a_id"))
     last = F.element_at("f", -1)
     label = F.when((F.size("f") > 2) & last.isin("0", "1"), last.cast("int")).otherwise(F.coalesce(F.get(F.col("f"), F.lit(2)).try_cast("int"), F.lit(1)))
-    return good.select(field(0).alias("a"), field(1).alias("b"), label.alias("label"))
+    return good.select(field(0).alias("a"), field(1).alias("b"), label.alias("label")), bad
 
 
 def id_map(spark: SparkSession, path: str) -> DataFrame:
