@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadic.operators.single import FEW_ROWS, in_one_task
 from dyadic.session import Workspace
 
 
@@ -38,7 +41,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
     """node and component (its smallest node) of every node, alone or not, by alternating large and small stars.
 
     Each step links the larger (then the smaller) neighbours of a node to its smallest one, until nothing changes;
-    steps are O(log^2 n), and a step is an aggregation with partial minima and one join.
+    steps are O(log^2 n), and a step is two aggregations with partial minima and two joins, written once.
     """
     work = Workspace(edges.sparkSession, "stars")
     current = work.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "e0")
@@ -47,14 +50,12 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
         around = both_directions(current)
         low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = work.save(large, f"l{k}")
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u <> v").distinct()
         k += 1
         current = work.save(small, f"e{k}")
         state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         work.drop(f"e{k - 1}")
-        work.drop(f"l{k - 1}")
         if state == seen:
             break
         seen = state
@@ -72,7 +73,9 @@ def component_keys(pairs: DataFrame, a: str, b: str, parts: DataFrame) -> DataFr
 def redundant_pairs(pairs: DataFrame, key: str, a: str, b: str, homologs: DataFrame) -> DataFrame:
     """key_1 < key_2 and similarity of the pairs that are alike: the better of both ways to set ends against ends.
 
-    homologs: reflexive(). Pairs are expanded by their ends' homologs and met by equi-join, never compared all with all.
+    homologs: reflexive(). Pairs are expanded by both ends' homologs and met by one equi-join, never compared all with all. To
+    expand one end only and check the other afterwards makes fewer rows of a pair, but as many as the square of a hub's
+    pairs, and hubs are the larger of the two here; expanded pairs are bounded by the sizes of families.
     """
     side = lambda x: homologs.select(F.col("x").alias(f"_{x}"), F.col("y").alias(f"_y{x}"), F.col("s").alias(f"_s{x}"))
     grown = pairs.select(F.col(key).alias("key_1"), F.col(a).alias("_a1"), F.col(b).alias("_b1")).join(side("a"), F.col("_a1") == F.col("_a")).join(side("b"), F.col("_b1") == F.col("_b"))
@@ -81,39 +84,53 @@ def redundant_pairs(pairs: DataFrame, key: str, a: str, b: str, homologs: DataFr
     return grown.join(other, ["_p", "_q"]).where("key_1 < key_2").groupBy("key_1", "key_2").agg(F.max("_s").alias("similarity"))
 
 
+def _greedy_tail(links: pa.Table) -> pa.RecordBatch:
+    """The members among the ends of links (hi before lo), node by node in order."""
+    hi, lo = (links.column(i).to_numpy() for i in (0, 1))
+    taken: set[int] = set()
+    order = np.lexsort((hi, lo))
+    for h, x in zip(hi[order].tolist(), lo[order].tolist()):
+        if x not in taken and h not in taken:
+            taken.add(x)
+    return pa.RecordBatch.from_arrays([pa.array(sorted(taken), pa.int64())], names=["taken"])
+
+
 def greedy_representatives(nodes: DataFrame, node: str, edges: DataFrame, rank: str) -> DataFrame:
     """node, representative and is_representative: in order of rank, each node still free takes its free neighbours.
 
-    edges: u, v. rank: distinct numbers, the smallest first. Rounds decide many nodes at once: a node none of whose
-    undecided neighbours comes before it is a representative, its undecided neighbours are members. That is exactly
-    the sequential result; a member belongs to its first representative in order.
+    edges: u, v. rank: distinct whole numbers, the smallest first; they stand for the nodes in all rounds. Rounds decide many
+    nodes at once: a node none of whose undecided neighbours comes before it is a representative, its undecided neighbours are
+    members. That is exactly the sequential result; a member belongs to its first representative in order. Links that are
+    left when they are few are decided one after the other by one task, so that a long chain in order of rank needs no round
+    for every two of its nodes.
     """
     work = Workspace(edges.sparkSession, "greedy")
-    ranks = nodes.select(F.col(node).alias("node"), F.col(rank).alias("r"))
+    ranks = work.save(nodes.select(F.col(node).alias("node"), F.col(rank).cast("long").alias("r")), "ranks")
     side = lambda x: ranks.select(F.col("node").alias(x), F.col("r").alias(f"r_{x}"))
     directed = edges.join(side("u"), "u").join(side("v"), "v").where("r_u <> r_v")
-    first, last = (F.when((F.col("r_u") < F.col("r_v")) == flag, F.struct(F.col("u").alias("n"), F.col("r_u").alias("r"))).otherwise(F.struct(F.col("v").alias("n"), F.col("r_v").alias("r"))) for flag in (True, False))
-    links = work.save(directed.select(first.alias("hi"), last.alias("lo")).select(F.col("hi.n").alias("hi"), F.col("hi.r").alias("hi_r"), F.col("lo.n").alias("lo")).distinct(), "links")
-    left, members, k = links.select("hi", "lo"), [], 0
-    while not left.isEmpty():
-        heads = left.select("hi").distinct().join(left.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
-        taken = work.save(left.join(heads, "hi", "left_semi").select(F.col("lo").alias("node")).distinct(), f"taken{k}")
-        members.append(taken)
+    links = work.save(directed.select(F.least("r_u", "r_v").alias("hi"), F.greatest("r_u", "r_v").alias("lo")).distinct(), "links")
+    left, taken, k = links, None, 0
+    while n := left.count():
+        if n <= FEW_ROWS:
+            new = work.save(in_one_task(left.select("hi", "lo"), _greedy_tail, "taken long"), f"taken{k}")
+        else:
+            heads = left.select("hi").distinct().join(left.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
+            new = work.save(left.join(heads, "hi", "left_semi").select(F.col("lo").alias("taken")).distinct(), f"taken{k}")
+        taken = new if taken is None else taken.unionByName(new)
+        if n <= FEW_ROWS:
+            break
         # what is taken has no more say; heads that lose all edges are done
-        gone = taken.select(F.col("node").alias("_g"))
-        kept = left.join(gone, F.col("hi") == F.col("_g"), "left_anti").join(gone, F.col("lo") == F.col("_g"), "left_anti")
+        kept = left.join(new, F.col("hi") == F.col("taken"), "left_anti").join(new, F.col("lo") == F.col("taken"), "left_anti")
+        left = work.save(kept, f"left{k + 1}")
+        work.drop(f"left{k}")
         k += 1
-        left = work.save(kept, f"left{k}")
-    if not members:
+    if taken is None:
         return ranks.select("node", F.col("node").alias("representative"), F.lit(True).alias("is_representative"))
-    taken = members[0]
-    for m in members[1:]:
-        taken = taken.unionByName(m)
-    taken = work.save(taken, "taken")
-    free = links.join(taken.select(F.col("node").alias("hi")), "hi", "left_anti")
-    chosen = taken.join(free.select(F.col("lo").alias("node"), "hi", "hi_r"), "node").groupBy("node").agg(F.min_by("hi", "hi_r").alias("representative"))
-    alone = ranks.select("node").join(taken, "node", "left_anti").select("node", F.col("node").alias("representative"))
-    return alone.unionByName(chosen).withColumn("is_representative", F.col("node") == F.col("representative"))
+    free = links.join(taken, F.col("hi") == F.col("taken"), "left_anti").groupBy("lo").agg(F.min("hi").alias("first"))
+    member = taken.join(free, F.col("taken") == F.col("lo")).select("taken", "first")
+    placed = ranks.join(member, F.col("r") == F.col("taken"), "left").select("node", F.coalesce("first", "r").alias("rep"), F.col("taken").isNull().alias("is_representative"))
+    names = ranks.select(F.col("node").alias("representative"), F.col("r").alias("_r"))
+    return placed.join(names, F.col("rep") == F.col("_r")).select("node", "representative", "is_representative")
 
 
 def priority(order: list[Column], nodes: DataFrame, out: str = "rank") -> DataFrame:
@@ -130,15 +147,19 @@ def cluster_statistics(members: DataFrame, cluster: str, by: tuple[str, ...] = (
     return sizes.groupBy(*by).agg(F.count("*").alias("n_clusters"), F.sum(n).alias("n_members"), F.avg(n).alias("mean_size"), F.max(n).alias("max_size"), F.min(n).alias("min_size"), F.min(F.when(n > 1, n)).alias("min_multi_size"), F.count_if(n == 1).alias("n_singletons"), F.count_if(n > 1).alias("n_multi"))
 
 
-def intra_cluster_pairs(members: DataFrame, cluster: str, key: str) -> DataFrame:
-    """cluster, key_1 < key_2 of all pairs within a cluster; as many as there are, so cluster_density counts without them."""
-    left, right = members.select(F.col(cluster).alias("cluster"), F.col(key).alias("key_1")), members.select(F.col(cluster).alias("cluster"), F.col(key).alias("key_2"))
-    return left.join(right, "cluster").where("key_1 < key_2")
+SALT_MEMBERS = 2_000  # members of a cluster that meet the others under one key
 
 
-def upper_median(column: str) -> Column:
-    """Aggregate: the element at n // 2 of the sorted values, from counts of the distinct ones."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
+def intra_cluster_pairs(members: DataFrame, cluster: str, key: str) -> DataFrame:
+    """cluster, key_1 < key_2 of all pairs within a cluster; as many as there are, so cluster_density counts without them.
+
+    The second members of a cluster are spread over as many salts as their number asks for.
+    """
+    rows = members.select(F.col(cluster).alias("cluster"), F.col(key).alias("_key"))
+    salts = rows.groupBy("cluster").agg(F.expr(f"1 + (count(*) - 1) div {SALT_MEMBERS}").cast("int").alias("_salts"))
+    left = rows.join(salts, "cluster").select("cluster", F.col("_key").alias("key_1"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    right = rows.join(salts, "cluster").select("cluster", F.col("_key").alias("key_2"), F.pmod(F.xxhash64("_key"), F.col("_salts")).cast("int").alias("_salt"))
+    return left.join(right, ["cluster", "_salt"]).where("key_1 < key_2").select("cluster", "key_1", "key_2")
 
 
 def cluster_density(members: DataFrame, cluster: str, key: str, similar: DataFrame, least: float) -> DataFrame:
@@ -173,3 +194,15 @@ def sweep(edges: DataFrame, nodes: DataFrame, node: str, grid: list[tuple[float,
 
 def top_groups(members: DataFrame, group: str, n: int) -> DataFrame:
     return members.groupBy(group).agg(F.count("*").alias("size")).orderBy(F.desc("size"), group).limit(n)
+
+
+def hubs(edges: DataFrame, u: str, v: str, weight: Column, n: int) -> DataFrame:
+    """node and weight of the n nodes of greatest weighted degree, ties by node; a top-n, so no more than n rows are gathered."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col(u).alias("node"), weight.alias("w")), F.struct(F.col(v).alias("node"), weight.alias("w")))))
+    return ends.where("node IS NOT NULL").groupBy("node").agg(F.sum("w").alias("weight")).orderBy(F.desc("weight"), "node").limit(n)
+
+
+def hub_edges(edges: DataFrame, u: str, v: str, nodes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are among nodes."""
+    side = lambda x: nodes.select(F.col("node").alias(x))
+    return edges.join(F.broadcast(side(u)), u, "left_semi").join(F.broadcast(side(v)), v, "left_semi")

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadic.functions.numeric import confusion_measures, ratio
-from dyadic.operators.ordering import ranked, running
+from dyadic.operators.ordering import running
 
 
 def curve(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
@@ -55,7 +55,9 @@ def threshold_metrics(df: DataFrame, by: Sequence[str], score: str, label: str,
 def precision_at(df: DataFrame, by: Sequence[str], score: str, label: str, ids: Sequence[str], ks: Sequence[int]) -> DataFrame:
     """by, k and the share of true labels among the min(k, n) best; ties go by ids."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*by, *ids, F.col(score).alias("_s"), F.col(label).cast("int").alias("_y"))
-    top = ranked(rows, list(by), [F.col("_s").desc(), *map(F.col, ids)], "_rank").where(F.col("_rank") <= max(ks))
+    # the limit is applied to each group before the shuffle, too
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_s").desc(), *map(F.col, ids)))
+    top = rows.withColumn("_rank", place).where(F.col("_rank") <= max(ks))
     at = top.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("_rank <= k")
     return at.groupBy(*by, "k").agg(F.avg("_y").alias("precision_at_k"))
 
@@ -65,6 +67,18 @@ def ensemble_mean(long: DataFrame, keys: Sequence[str], score: str, out: str = "
     return long.groupBy(*keys).agg(F.avg(score).alias(out), F.count("*").alias("n_scores"))
 
 
+def fold_average(scored: DataFrame, keys: Sequence[str], fold: str, own_fold: str, score: str) -> DataFrame:
+    """keys, out_of_fold (the score of the model of the row's own fold) and fold_mean (the mean over all folds' models)."""
+    own = F.max(F.when(F.col(fold) == F.col(own_fold), F.col(score)))
+    return scored.groupBy(*keys).agg(own.alias("out_of_fold"), F.avg(score).alias("fold_mean"))
+
+
+def ablation(scored: DataFrame, task: str, variants: Sequence[str], score: str, label: str, threshold: float) -> DataFrame:
+    """Ranking and threshold metrics of every task and variant (such as a pooling), one row each."""
+    by = [task, *variants]
+    return ranking_metrics(scored, by, score, label).join(threshold_metrics(scored, by, score, label, threshold), by)
+
+
 def delta(metrics: DataFrame, baseline: DataFrame, on: Sequence[str], value: str) -> DataFrame:
     """metrics with the baseline's value and the difference; null where there is no baseline."""
     base = baseline.select(*on, F.col(value).alias(f"baseline_{value}"))
@@ -74,7 +88,7 @@ def delta(metrics: DataFrame, baseline: DataFrame, on: Sequence[str], value: str
 def best_checkpoints(df: DataFrame, by: Sequence[str], checkpoint: str, score: str, k: int) -> DataFrame:
     """Of each mode the k checkpoints with the best score; a checkpoint counts once, with its best."""
     best = df.groupBy(*by, checkpoint).agg(F.max(score).alias(score))
-    return ranked(best, list(by), [F.col(score).desc(), F.col(checkpoint)], "rank").where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(checkpoint)))).where(F.col("rank") <= k)
 
 
 def stacked(df: DataFrame, features: Sequence[str], label: str, penalties: Sequence[float] = (0.01, 0.1, 1.0), k: int = 5, seed: int = 63) -> DataFrame:

@@ -13,21 +13,44 @@ def category_mask(rows: DataFrame, key: str, bit: Column) -> DataFrame:
     return rows.groupBy(key).agg(bits_set(bit).alias("mask"))
 
 
-def disjoint_pairs(items: DataFrame, key: str, mask: str, salts: int = 8) -> DataFrame:
+CHUNK = 5  # bits by which prefixes of masks grow
+SALT_ROWS = 10_000  # items of one mask that meet its partners under one key
+
+
+def fitting_masks(masks: DataFrame, mask: str) -> DataFrame:
+    """mask_u and mask_v of all pairs of the distinct masks (below 2^31, not 0) that have no bit in common.
+
+    Prefixes of CHUNK bits more are matched from step to step, so that masks that clash early go no further; each step
+    is two equi-joins, and only the number of bits comes to the driver.
+    """
+    bits = (masks.agg(F.max(mask)).first()[0] or 0).bit_length()
+    low = lambda k: F.col(mask).bitwiseAND(F.lit((1 << min(k, 31)) - 1))
+    pairs = None
+    for k in range(0, bits, CHUNK):
+        grown = masks.select(low(k).alias("_from"), low(k + CHUNK).alias("_to")).distinct()
+        of = lambda x: grown.select(F.col("_from").alias(f"_{x}"), F.col("_to").alias(x))
+        apart = F.col("mask_u").bitwiseAND(F.col("mask_v")) == 0
+        if pairs is None:
+            pairs = of("mask_u").join(of("mask_v"), F.col("_mask_u") == F.col("_mask_v")).where(apart).select("mask_u", "mask_v")
+        else:
+            known = pairs.toDF("_u", "_v")
+            pairs = known.join(of("mask_u"), F.col("_u") == F.col("_mask_u")).join(of("mask_v"), F.col("_v") == F.col("_mask_v")).where(apart).select("mask_u", "mask_v")
+    return masks.limit(0).select(F.col(mask).alias("mask_u"), F.col(mask).alias("mask_v")) if pairs is None else pairs
+
+
+def disjoint_pairs(items: DataFrame, key: str, mask: str) -> DataFrame:
     """u < v and their masks, of all items whose masks are not 0 and have no bit in common.
 
-    Distinct masks, fewer than 2^bits, are matched with each other first; items then meet by equi-join on the mask
-    that fits theirs, so that no pair is made that doesn't belong to the result. Items of one mask are spread over
-    salts; the others go to each of them.
+    Distinct masks are matched with each other first; items then meet by equi-join on the mask
+    that fits theirs, so that no pair is made that doesn't belong to the result. Items of a mask are spread over as many salts
+    as their number asks for; the others go to each of them.
     """
     known = items.where(F.col(mask) > 0).select(F.col(key).alias("id"), F.col(mask).alias("mask"))
-    masks = known.select("mask").distinct()
-    # equi-join on a constant would be one task: each mask lists its fitting ones from the collected few
-    few = sorted(r[0] for r in masks.collect())  # bounded by the number of categories
-    fitting = {m: [n for n in few if not m & n] for m in few}
-    fits = F.create_map(*(x for m, ns in fitting.items() if ns for x in (F.lit(m), F.array(*map(F.lit, ns))))) if any(fitting.values()) else F.lit(None).cast("map<int,array<int>>")
-    left = known.select(F.col("id").alias("u"), F.col("mask").alias("mask_u"), F.explode(fits[F.col("mask")]).alias("mask_v")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = known.select(F.col("id").alias("v"), F.col("mask").alias("mask_v"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"))
+    counts = known.groupBy("mask").agg(F.expr(f"1 + (count(*) - 1) div {SALT_ROWS}").cast("int").alias("_salts"))
+    salts = counts.select(F.col("mask").alias("_m"), "_salts")
+    targets = fitting_masks(counts, "mask").join(salts, F.col("mask_v") == F.col("_m")).select("mask_u", "mask_v", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    left = known.join(targets, F.col("mask") == F.col("mask_u")).select(F.col("id").alias("u"), "mask_u", "mask_v", "_salt")
+    right = known.join(salts, F.col("mask") == F.col("_m")).select(F.col("id").alias("v"), F.col("mask").alias("mask_v"), F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int").alias("_salt"))
     return left.join(right, ["mask_v", "_salt"]).where("u < v").select("u", "v", "mask_u", "mask_v")
 
 

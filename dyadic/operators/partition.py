@@ -24,39 +24,6 @@ def label_by_test_vertices(pairs: DataFrame, a: str, b: str, test: DataFrame, ve
     return known.withColumn("partition", F.element_at(F.array(*map(F.lit, names)), n + 1)).drop("_a", "_b")
 
 
-def bisect(pairs: DataFrame, a: str, b: str, communities: DataFrame, cut_share: float, test_share: float, restarts: int = 35, steps: int = 12) -> DataFrame:
-    """vertex and is_test: whole communities become test vertices so that the share of pairs with one test end comes
-    near cut_share and that with two near test_share.
-
-    communities: node, component. Every restart hashes the communities anew, which gives each the step from which it is
-    taken; the pairs of two communities are counted by restart and by their two steps, a table of at most restarts
-    * (steps + 1)^2 rows that tells the shares after every step of every restart. The trial of least squared error
-    wins, the first of equals.
-    """
-    most = cut_share + test_share
-
-    def level(component: str, restart: Column) -> Column:
-        x = F.abs(F.xxhash64(F.col(component), restart) % 1_000_003) / 1_000_003
-        return F.least(F.lit(steps), F.floor(x * (steps + 1) / most)).cast("int")
-
-    side = lambda x: communities.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"_k{x}"))
-    known = pairs.join(side("a"), F.col(a) == F.col("_a")).join(side("b"), F.col(b) == F.col("_b"))
-    tried = known.groupBy("_ka", "_kb").agg(F.count("*").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
-    tried = tried.select("r", "n", level("_ka", F.col("r")).alias("x"), level("_kb", F.col("r")).alias("y"))
-    counts = tried.groupBy("r", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.sum("n").alias("n")).collect()
-    trials = []
-    for r in range(restarts):
-        own = [c for c in counts if c["r"] == r]
-        total = sum(c["n"] for c in own)
-        for s in range(steps if total else 0):
-            one, two = (sum(c["n"] for c in own if f(c)) / total for f in (lambda c: c["lo"] <= s < c["hi"], lambda c: c["hi"] <= s))
-            trials.append(((one - cut_share) ** 2 + (two - test_share) ** 2, r, s))
-    if not trials:
-        return communities.select(F.col("node").alias("vertex"), F.lit(False).alias("is_test"))
-    _, r, s = min(trials)
-    return communities.select(F.col("node").alias("vertex"), (level("component", F.lit(r)) <= s).alias("is_test"))
-
-
 def degree_safe_holdout(edges: DataFrame, u: str, v: str, share: float, seed: int = 42) -> DataFrame:
     """edges with held_out: up to share of them, such that every vertex keeps an edge that isn't.
 
@@ -81,7 +48,9 @@ def take_best(df: DataFrame, pool: str, quotas: dict[str, int], score: str, ids:
             raise ValueError(f"pools with too few rows: {short}")
     most = F.create_map(*(F.lit(x) for item in quotas.items() for x in item))
     rows = df.where(F.col(pool).isin(*quotas)).withColumn("_tie", F.md5(F.concat_ws("|", *ids, F.lit(str(seed)))))
-    return ranked(rows, [pool], [F.col(score).desc_nulls_last(), F.col("_tie"), *map(F.col, ids)], "rank").where(F.col("rank") <= most[F.col(pool)]).drop("_tie")
+    place = F.row_number().over(Window.partitionBy(pool).orderBy(F.col(score).desc_nulls_last(), F.col("_tie"), *map(F.col, ids)))
+    # the largest quota, a literal, limits each pool before the shuffle
+    return rows.withColumn("rank", place).where(F.col("rank") <= max(quotas.values())).where(F.col("rank") <= most[F.col(pool)]).drop("_tie")
 
 
 def folds(df: DataFrame, ids: Sequence[str], k: int, by: Sequence[str] = (), seed: int = 42, out: str = "fold") -> DataFrame:
@@ -111,19 +80,35 @@ def random_order(pairs: DataFrame, a: str, b: str, ids: Sequence[str], seed: int
     return pairs.withColumns({a: F.when(swap, F.col(b)).otherwise(F.col(a)), b: F.when(swap, F.col(a)).otherwise(F.col(b))})
 
 
-def audit(partitioned: DataFrame, a: str, b: str, name: str, expected: dict[str, float], tolerance: float) -> DataFrame:
-    """check, result, target and passed of a partition into C1 (train) to C3 (test), in one table.
+def audit(partitioned: DataFrame, a: str, b: str, name: str, expected: dict[str, float], tolerance: float, given: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """check, result, target and passed of a partition into C1 (train), C2, C3 and maybe C4 (both test), in one table.
 
-    No pair may be in two partitions, C3 shares no vertex with C1, and the shares are within tolerance.
+    No pair may be in two partitions, C3 and C4 share no vertex with C1, every C2 pair has just one end among the
+    vertices of C1's side, and the shares are within tolerance. given and key: the rows that were to be partitioned; each key
+    must be there exactly once, and no other.
     """
     rows = partitioned.groupBy(F.col(name).alias("p")).agg(F.count("*").alias("n"))
     rows = rows.withColumn("all", F.sum("n").over(Window.partitionBy()))  # a row a partition of the pairs
     shares = rows.select(F.concat(F.lit("share_"), F.col("p")).alias("check"), (F.col("n") / F.col("all")).alias("result"), F.element_at(F.create_map(*(F.lit(x) for kv in expected.items() for x in kv)), F.col("p")).alias("target"))
-    twice = partitioned.groupBy(F.least(a, b), F.greatest(a, b)).agg(F.count_distinct(name).alias("n")).agg(F.lit("pairs_in_two_partitions").alias("check"), F.count_if(F.col("n") > 1).cast("double").alias("result"), F.lit(0.0).alias("target"))
-    ends = partitioned.where(F.col(name).isin("C1", "C3")).select(F.explode(F.array(a, b)).alias("v"), name).where("v IS NOT NULL")
-    mixed = ends.groupBy("v").agg(F.count_distinct(name).alias("n")).agg(F.lit("vertices_in_train_and_test").alias("check"), F.count_if(F.col("n") > 1).cast("double").alias("result"), F.lit(0.0).alias("target"))
-    exact = twice.unionByName(mixed).withColumn("passed", F.col("result") == F.col("target"))
-    return exact.unionByName(shares.withColumn("passed", F.abs(F.col("result") - F.col("target")) <= tolerance))
+
+    def exact(check: str, wrong: DataFrame) -> DataFrame:
+        return wrong.agg(F.lit(check).alias("check"), F.count("*").cast("double").alias("result"), F.lit(0.0).alias("target"))
+
+    checks = [exact("pairs_in_two_partitions", partitioned.groupBy(F.least(a, b), F.greatest(a, b)).agg(F.count_distinct(name).alias("n")).where("n > 1"))]
+    sides = F.when(F.col(name) == "C1", "train").when(F.col(name).isin("C3", "C4"), "test")
+    ends = partitioned.select(F.explode(F.array(a, b)).alias("v"), sides.alias("side")).where("v IS NOT NULL")
+    kept = ends.where("side IS NOT NULL").groupBy("v").agg(F.count_distinct("side").alias("n"), F.min("side").alias("side"))
+    checks.append(exact("vertices_in_train_and_test", kept.where("n > 1")))
+    if key is not None and given is not None:
+        both = given.select(key, F.lit(1).alias("_n"), F.lit(0).alias("_m")).unionByName(partitioned.select(key, F.lit(0).alias("_n"), F.lit(1).alias("_m")))
+        checks.append(exact("rows_lost_or_doubled", both.groupBy(key).agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m")).where("_n <> _m")))
+        known = lambda x: kept.select(F.col("v").alias(x), F.col("side").alias(f"_{x}"))
+        cut = partitioned.where(F.col(name) == "C2").select(F.col(a).alias("x"), F.col(b).alias("y"))
+        checks.append(exact("cut_pairs_on_one_side", cut.join(known("x"), "x").join(known("y"), "y").where("_x = _y")))
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out.withColumn("passed", F.col("result") == F.col("target")).unionByName(shares.withColumn("passed", F.abs(F.col("result") - F.col("target")) <= tolerance))
 
 
 def overlaps(members: DataFrame, keys: Sequence[str], part: str) -> DataFrame:

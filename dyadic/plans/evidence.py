@@ -12,6 +12,7 @@ from dyadic.operators import ordering as O
 from dyadic.operators import pairs as P
 from dyadic.operators import pooling
 from dyadic.operators import resolve as R
+from dyadic.operators import skew
 from dyadic.plans.catalogue import Catalogue
 from dyadic.session import table
 
@@ -328,9 +329,10 @@ round(quantile_cont(s, 0.75) - quantile_cont(s, 0.25), 6) AS iqr FROM (SELECT hi
 )
 def dist_stats(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("hippie_score")
-    q = lambda p: F.percentile(s, p)
     rows = pairs(spark, d).where(s.isNotNull() & ~F.isnan(s))
-    return rows.groupBy(F.col("hippie_confidence_level").alias("tier")).agg(F.count(s).alias("n"), F.min(s).alias("least"), F.max(s).alias("most"), F.round(F.avg(s), 6).alias("mean"), F.round(q(0.5), 6).alias("median"), F.round(q(0.25), 6).alias("q25"), F.round(q(0.75), 6).alias("q75"), F.round(q(0.75) - q(0.25), 6).alias("iqr"))
+    plain = rows.groupBy(F.col("hippie_confidence_level").alias("tier")).agg(F.min(s).alias("least"), F.max(s).alias("most"), F.round(F.avg(s), 6).alias("mean"))
+    q = skew.interpolated(skew.compress(rows, F.col("hippie_confidence_level"), s), {"median": 0.5, "q25": 0.25, "q75": 0.75}).withColumn("iqr", F.col("q75") - F.col("q25"))
+    return plain.join(q, F.col("tier").eqNullSafe(F.col("key"))).select("tier", F.col("total").alias("n"), "least", "most", "mean", *(F.round(c, 6).alias(c) for c in ("median", "q25", "q75", "iqr")))
 
 
 _GATES = {"no_evidence_id": f"evidence_id IS NULL OR evidence_id IN {MISS}", "no_source": f"source_id IS NULL OR source_id IN {MISS}", "no_species": f"participant_a_species IS NULL OR participant_a_species IN {MISS}", "holdout_in_training": "is_external_holdout = 'TRUE' AND eligible_for_training = 'TRUE'", "bad_taxon": "participant_a_taxid IS NULL OR participant_a_taxid <= 0", "late_row_number": "source_row_number IS NULL OR source_row_number < 1"}
@@ -396,12 +398,6 @@ def crop_budget(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", a.cast("long").alias("crop_a"), b.cast("long").alias("crop_b"))
 
 
-@query("SELECT label, list_transform(range(1, 9), lambda i: round(avg_i[i], 6)) AS pooled FROM (SELECT label, [avg(embedding[1]::DOUBLE), avg(embedding[2]::DOUBLE), avg(embedding[3]::DOUBLE), avg(embedding[4]::DOUBLE), avg(embedding[5]::DOUBLE), avg(embedding[6]::DOUBLE), avg(embedding[7]::DOUBLE), avg(embedding[8]::DOUBLE)] AS avg_i FROM embeddings GROUP BY label)")
-def elementwise_pool(spark: SparkSession, d: str) -> DataFrame:
-    """The mean of the first eight positions only; elementwise_pools has all of them."""
-    return table(spark, d, "embeddings").groupBy("label").agg(F.array(*(F.round(F.avg(F.col("embedding")[i].cast("double")), 6) for i in range(8))).alias("pooled"))
-
-
 @query(
     """SELECT label, list(round(mean, 6) ORDER BY i) AS mean, list(hi ORDER BY i) AS max, list(lo ORDER BY i) AS min
 FROM (SELECT label, i, avg(x) AS mean, max(x) AS hi, min(x) AS lo FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i) GROUP BY label"""
@@ -411,6 +407,12 @@ def elementwise_pools(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("mean", F.transform("mean", lambda x: F.round(x, 6)))
 
 
+@query("SELECT label, list(round(mean, 6) ORDER BY i) AS pooled FROM (SELECT label, i, avg(x) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i) GROUP BY label")
+def elementwise_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The mean at every position."""
+    return pooling.elementwise(table(spark, d, "embeddings"), "label", "embedding").select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("pooled"))
+
+
 @query("SELECT n_nationkey, round(sqrt(n_nationkey) * cos(n_nationkey * 2.399963229728653), 6) AS x, round(sqrt(n_nationkey) * sin(n_nationkey * 2.399963229728653), 6) AS y FROM nation")
 def spiral_layout(spark: SparkSession, d: str) -> DataFrame:
     x, y = N.spiral(F.col("n_nationkey"))

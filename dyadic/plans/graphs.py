@@ -10,9 +10,11 @@ from dyadic.operators import metrics as M
 from dyadic.operators import negatives as N
 from dyadic.operators import pairs as P
 from dyadic.operators import partition as S
+from dyadic.operators import skew
+from dyadic.operators.bisection import bisect
 from dyadic.operators.ordering import ranked
 from dyadic.plans.catalogue import Catalogue
-from dyadic.session import is_missing, table
+from dyadic.session import Workspace, is_missing, table
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -181,7 +183,8 @@ def cluster_density(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT cluster_id, list_sort(list(hippie_score))[count(hippie_score) // 2 + 1] AS upper_median FROM {C4} WHERE cluster_id >= 0 AND hippie_score IS NOT NULL GROUP BY cluster_id")
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, C4).where("cluster_id >= 0 AND hippie_score IS NOT NULL").groupBy("cluster_id").agg(G.upper_median("hippie_score").alias("upper_median"))
+    rows = table(spark, d, C4).where("cluster_id >= 0 AND hippie_score IS NOT NULL")
+    return skew.upper_medians(skew.compress(rows, F.col("cluster_id"), F.col("hippie_score"))).withColumnRenamed("key", "cluster_id")
 
 
 @query(f"SELECT x.cluster_id AS cluster, x.row_id AS key_1, y.row_id AS key_2 FROM {C4} AS x JOIN {C4} AS y ON x.cluster_id = y.cluster_id AND x.row_id < y.row_id WHERE x.cluster_id >= 0")
@@ -307,17 +310,30 @@ def set_disjoint(spark: SparkSession, d: str) -> DataFrame:
     return S.overlaps(ends, ["v"], "partition")
 
 
-@query()
-def bisection(spark: SparkSession, d: str) -> DataFrame:
-    """Test vertices found by restarts over the components of the pair graph, and the partition that follows."""
+def _bisected(spark: SparkSession, d: str) -> DataFrame:
     rows = _clean(spark, d)
     links = rows.select(F.col("a").alias("u"), F.col("b").alias("v"))
     vertices = links.select(F.explode(F.array("u", "v")).alias("node"))
     # communities: a vertex with the cluster of its first pair, else by itself
     first = rows.where("cluster_id >= 0").select(F.explode(F.array("a", "b")).alias("node"), "cluster_id").groupBy("node").agg(F.min("cluster_id").cast("string").alias("c"))
     communities = vertices.distinct().join(first, "node", "left").select("node", F.coalesce("c", "node").alias("component"))
-    chosen = S.bisect(rows, "a", "b", communities, 0.1, 0.1)
-    return S.label_by_test_vertices(rows, "a", "b", chosen.where("is_test"), "vertex").select("row_id", "partition")
+    chosen = bisect(rows, "a", "b", communities, 0.1, 0.1)
+    return S.label_by_test_vertices(rows, "a", "b", chosen.where("is_test"), "vertex")
+
+
+@query()
+def bisection(spark: SparkSession, d: str) -> DataFrame:
+    """Test vertices grown from seeds over the communities of the pair graph, and the partition that follows."""
+    return _bisected(spark, d).select("row_id", "partition")
+
+
+@query(
+    """SELECT "check", true AS passed FROM (VALUES ('pairs_in_two_partitions'), ('vertices_in_train_and_test'), ('rows_lost_or_doubled'), ('cut_pairs_on_one_side'), ('share_C1'), ('share_C2'), ('share_C3')) AS t("check")"""
+)
+def bisection_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What the partition of bisection must satisfy; which vertices are chosen, SQL can't tell."""
+    parted = Workspace(spark, "bisection").save(_bisected(spark, d), "parted")
+    return S.audit(parted, "a", "b", "partition", {"C1": 0.8, "C2": 0.1, "C3": 0.1}, 0.05, _clean(spark, d), "row_id").select("check", "passed")
 
 
 LINKS = f"SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM ({CLEAN}) WHERE a <> b"
@@ -332,9 +348,13 @@ def degree_safe_holdout(spark: SparkSession, d: str) -> DataFrame:
     return S.degree_safe_holdout(links, "u", "v", 0.05)
 
 
-@query(LABELLED + "SELECT row_id, partition, hippie_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY hippie_score DESC NULLS LAST, md5(row_id || '|42'), row_id) AS rank FROM l) WHERE rank <= CASE partition WHEN 'C1' THEN 80 WHEN 'C2' THEN 40 ELSE 20 END")
+@query(LABELLED + ", s AS (SELECT partition, count(*) AS n FROM l GROUP BY partition) SELECT row_id, partition, hippie_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY hippie_score DESC NULLS LAST, md5(row_id || '|42'), row_id) AS rank FROM l) JOIN s USING (partition) WHERE rank <= CASE partition WHEN 'C1' THEN 3 WHEN 'C2' THEN 2 ELSE 1 END * n // 10")
 def topk_tiebreak(spark: SparkSession, d: str) -> DataFrame:
-    return S.take_best(_labelled(spark, d), "partition", {"C1": 80, "C2": 40, "C3": 20}, "hippie_score", ["row_id"], cap=True).select("row_id", "partition", "hippie_score", "rank")
+    """Quotas are shares of the pools, so that each pool fills its own; one that didn't would be an error."""
+    rows = _labelled(spark, d)
+    tenths = {"C1": 3, "C2": 2, "C3": 1}
+    quotas = {r["partition"]: tenths[r["partition"]] * r["n"] // 10 for r in rows.groupBy("partition").agg(F.count("*").alias("n")).collect()}  # three rows
+    return S.take_best(rows, "partition", quotas, "hippie_score", ["row_id"]).select("row_id", "partition", "hippie_score", "rank")
 
 
 @query(LABELLED + "SELECT partition, count(*) AS n_positive, 10 * count(*) AS n_wanted, sum(evidence_count)::BIGINT AS n_evidence FROM l GROUP BY partition")
