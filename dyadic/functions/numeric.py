@@ -72,6 +72,15 @@ def abs_difference(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.abs(x - y))
 
 
+def product(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x * y)
+
+
+def pair_features(a: Column, b: Column) -> Column:
+    """Absolute differences and products of two vectors, one after the other; the same for both orders."""
+    return F.concat(abs_difference(a, b), product(a, b))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.when(b == 0, 0.0).otherwise(a / F.when(b != 0, b))

@@ -58,6 +58,16 @@ def mi_score(c: Column) -> Column:
     return extract(c, r"intact-miscore:([0-9.]+)").try_cast("double")
 
 
+def epoch(c: Column) -> Column:
+    """The number of a checkpoint's epoch in its name."""
+    return extract(c, r"epoch[=_-]?(\d+)").try_cast("int")
+
+
+def auprc(c: Column) -> Column:
+    """The AUPRC in a checkpoint's name."""
+    return extract(c, r"(?i)auprc[=_-]?(\d+(?:\.\d+)?)").try_cast("double")
+
+
 def without_prefix(c: Column, prefixes: Sequence[str]) -> Column:
     """Without a leading prefix and colon, letter case aside."""
     return F.regexp_replace(c, f"(?i)^(?:{'|'.join(prefixes)}):", "")

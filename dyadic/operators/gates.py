@@ -48,3 +48,31 @@ def same_set(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataF
     """only_left and only_right: numbers of distinct keys that just one side has; both 0 where the sets are equal."""
     keys = left.select(*columns).distinct().withColumn("_side", F.lit(1)).unionByName(right.select(*columns).distinct().withColumn("_side", F.lit(2)))
     return keys.groupBy(*columns).agg(F.sum("_side").alias("_s")).agg(F.count_if(F.col("_s") == 1).alias("only_left"), F.count_if(F.col("_s") == 2).alias("only_right"))
+
+
+def gate(name: str, violations: DataFrame) -> DataFrame:
+    """gate, violations and status of a check that is the number of rows of violations."""
+    return violations.agg(F.lit(name).alias("gate"), F.count("*").alias("violations")).withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
+
+
+def checksums(manifest: DataFrame, registry: DataFrame) -> DataFrame:
+    """path and what of each file that differs from the registry (path, sha256): missing, unknown, empty, changed."""
+    have = manifest.select("path", F.col("size").alias("_size"), F.col("sha256").alias("_have"))
+    what = F.when(F.col("_have").isNull(), "missing").when(F.col("sha256").isNull(), "unknown").when(F.col("_size") == 0, "empty").when(F.col("_have") != F.col("sha256"), "changed")
+    return registry.join(have, "path", "full_outer").withColumn("what", what).where("what IS NOT NULL").select("path", "what")
+
+
+def forbidden(df: DataFrame, names: Sequence[str], gate_name: str = "forbidden_columns") -> DataFrame:
+    """The gate that none of these columns is there; read from the schema."""
+    n = len(forbidden_columns(df, names))
+    return df.sparkSession.range(1).select(F.lit(gate_name).alias("gate"), F.lit(n).cast("long").alias("violations"), F.lit("FAIL" if n else "PASS").alias("status"))
+
+
+def rejection_gate(counts: DataFrame, most_pct: float) -> DataFrame:
+    """The gate that no group of conservation() rejects most_pct per cent or more."""
+    return gate("rejection_rate", counts.where(F.col("rejection_rate_pct") >= most_pct))
+
+
+def no_aggregation(df: DataFrame, pair: str) -> DataFrame:
+    """pairs, and the records beyond the first of their pair, which shows that records aren't merged; always PASS."""
+    return df.groupBy(pair).agg(F.count("*").alias("_n")).agg(F.lit("no_pair_aggregation").alias("gate"), F.count("*").alias("n_pairs"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_beyond_first"), F.lit("PASS").alias("status"))

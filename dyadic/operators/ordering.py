@@ -42,3 +42,15 @@ def zipped(left: DataFrame, right: DataFrame, left_order: Sequence[Column], righ
     Only for files whose order is their only link.
     """
     return ranked(left, [], left_order, "_n").join(ranked(right, [], right_order, "_n"), "_n").drop("_n")
+
+
+def runs(df: DataFrame, within: Sequence[str], order: Sequence[Column], value: str) -> DataFrame:
+    """For each run of rows with one value that follow each other in order: within, value, first and last place (from 1), n_rows."""
+    placed = ranked(df, within, order, "_n")
+    follow = placed.select(*(F.col(w).alias(f"_{w}") for w in within), (F.col("_n") + 1).alias("__n"), F.col(value).alias("_before"))
+    same = F.col("_n") == F.col("__n")
+    for w in within:
+        same = same & F.col(f"_{w}").eqNullSafe(F.col(w))
+    marked = placed.join(follow, same, "left").withColumn("_starts", F.when(F.col("__n").isNull() | ~F.col(value).eqNullSafe(F.col("_before")), 1).otherwise(0)).select(*within, value, "_n", "_starts")
+    numbered = running(marked, within, [F.col("_n")], {"_run": F.col("_starts")})
+    return numbered.groupBy(*within, "_run", value).agg(F.min("_n").alias("first_place"), F.max("_n").alias("last_place"), F.count("*").alias("n_rows")).drop("_run")

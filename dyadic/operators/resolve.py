@@ -52,3 +52,26 @@ def coverage(pairs: DataFrame, a: str, b: str, dictionary: DataFrame, key: str)
     counts = rows.select(F.explode(F.array(F.lit("pairs"), F.element_at(F.array(F.lit("no_end"), F.lit("one_end"), F.lit("both_ends")), n + 1))).alias("metric")).groupBy("metric").agg(F.count("*").alias("value"))
     lost = pairs.select(F.explode(F.array(a, b)).alias("_id")).where("_id IS NOT NULL").distinct().join(ids, "_id", "left_anti")
     return counts.unionByName(lost.agg(F.lit("missing_ids").alias("metric"), F.count("*").alias("value")))
+
+
+def resolved_vectors(ids: DataFrame, candidates: Sequence[Column], vectors: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """ids with the vector of the first candidate that is known, else size zeros; matched_by as in cascade()."""
+    return cascade(ids, candidates, vectors, key, [vector], {vector: F.array_repeat(F.lit(0.0).cast("float"), size)})
+
+
+def exploded(facts: DataFrame, locus: str, accessions: DataFrame, key: str, value: str, weight: str) -> DataFrame:
+    """facts once for each accession of their locus, with the greatest weight that it has there."""
+    best = accessions.groupBy(F.col(key).alias("_locus"), value).agg(F.max(weight).alias(weight))
+    return facts.join(best, F.col(locus) == F.col("_locus")).drop("_locus")
+
+
+def pair_lengths(pairs: DataFrame, a: str, b: str, lengths: DataFrame, key: str, length: str) -> DataFrame:
+    """pairs with pair_length, the sum of both ends' lengths; an unknown one counts 0."""
+    side = lambda x: lengths.select(F.col(key).alias(f"_{x}"), F.col(length).alias(f"_len_{x}"))
+    out = pairs.join(side("a"), F.col(a) == F.col("_a"), "left").join(side("b"), F.col(b) == F.col("_b"), "left")
+    return out.withColumn("pair_length", F.coalesce("_len_a", F.lit(0)) + F.coalesce("_len_b", F.lit(0))).drop("_a", "_b", "_len_a", "_len_b")
+
+
+def fetched(rows: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that chosen names by keys (such as file and row number), whole."""
+    return rows.join(chosen.select(*keys).distinct(), list(keys), "left_semi")
