@@ -27,6 +27,11 @@ def text(literal: str) -> Rule:
     return Rule(f"(?:{re.escape(literal)})")
 
 
+def choice(*rules: Rule) -> Rule:
+    """The first of the rules that matches."""
+    return Rule(f"(?>{'|'.join(r.pattern for r in rules)})")
+
+
 def one_of(members: str) -> Rule:
     """A character of a class, given as the inside of its brackets."""
     return Rule(f"[{members}]")

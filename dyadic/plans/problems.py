@@ -18,7 +18,7 @@ def p2_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_values(spark, d).drop("alternative", "error")
+    return packed.unpack(table(spark, d, "tomato_positive_pairs_deduplicated"), "pair_id", PACKED_FIELDS, labels=False)
 
 
 def _alignments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -70,13 +70,14 @@ def values(spark, rows, texts, blanks=False):
     return {i: [r[3] for r in rows(unpack(df, "id", {"packed": blanks}).orderBy("value_no")) if r[0] == str(i)] for i in range(len(texts))}, unpack(df, "id", {"packed": blanks}).collect()
 
 
-CASES = ['A|B', "A ; B", "'x; y'|A", '"a ""b"" c"; d', 'psi-mi:"MI:1234"(two, words)|x', "3'-capture, z", "In/Out / B", None, "", "-", "NA|x|nan", '"open; b', "'open; b", "a\tb\nc", "  A  ", "A||B", '"NA"|q', "''", '""', "x/", "/x", "a  b", "é ü|ß", "'the \"b\" c'"]
+CASES = ['A|B', "A ; B", "'x; y'|A", '"a ""b"" c"; d', 'psi-mi:"MI:1234"(two, words)|x', "3'-capture, z", "In/Out / B", None, "", "-", "NA|x|nan", '"open; b', "'open; b", "a\tb\nc", "  A  ", "A||B", '"NA"|q', "''", '""', "x/", "/x", "a  b", "é ü|ß", "'the \"b\" c'", '"a, b" (c, d)', "(x, y", "a (b c) d|e)", "((a) b", "x (y/ z) w", "[a b]{c}|( )|()", 'q:"MI:12"(a, b) (c)|z', "a )b", '"" "x', "a (b|c", '"a"b"c"']
 
 
 @pytest.mark.parametrize("blanks", [False, True])
 def test_cases_against_brute_force(spark, rows, blanks):
     df = spark.createDataFrame(list(enumerate(CASES)), "id int, packed string")
     got = {}
+    assert sorted((r.id, r.value_no, r.field_value) for r in unpack(df, "id", {"packed": blanks}, labels=False).collect()) == sorted((r.id, r.value_no, r.field_value) for r in unpack(df, "id", {"packed": blanks}).collect())
     for r in unpack(df, "id", {"packed": blanks}).collect():
         got.setdefault(r.id, []).append((r.value_no, r.field_value))
     for i, text in enumerate(CASES):
@@ -85,9 +86,22 @@ def test_cases_against_brute_force(spark, rows, blanks):
 
 
 def test_flags(spark):
-    df = spark.createDataFrame([("1", '"open; b'), ("2", "'a'|x"), ("3", 'psi-mi:"MI:1234"(a)'), ("4", "'open; b")], "id string, packed string")
-    got = {(r.id, r.value_no): (r.alternative, r.error) for r in unpack(df, "id", {"packed": False}).collect()}
-    assert got == {("1", 1): ("bare", "unclosed_quote"), ("1", 2): ("bare", None), ("2", 1): ("quoted", None), ("2", 2): ("bare", None), ("3", 1): ("bracketed", None), ("4", 1): ("bare", "unclosed_quote"), ("4", 2): ("bare", None)}
+    texts = ['"open; b', "'a'|x", 'psi-mi:"MI:1234"(a)', "'open; b", '"a, b" (c, d)', "(x, y", "a (b c)|d)", "((a) b)", '"q (r"']
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "id int, packed string")
+    got = {}
+    for r in sorted(unpack(df, "id", {"packed": False}).collect(), key=lambda r: (r.id, r.value_no)):
+        got.setdefault(r.id, []).append((r.field_value, r.alternative, r.error))
+    assert got == {
+        1: [("open", "bare", "unclosed_quote"), ("b", "bare", None)],
+        2: [("a", "quoted", None), ("x", "bare", None)],
+        3: [('psi-mi:"MI:1234"(a)', "bracketed", None)],
+        4: [("'open", "bare", "unclosed_quote"), ("b", "bare", None)],
+        5: [("a", "bare", "malformed_quote"), ("b", "bare", None), ("(c", "bare", "unclosed_bracket"), ("d)", "bare", "unopened_bracket")],
+        6: [("(x", "bare", "unclosed_bracket"), ("y", "bare", None)],
+        7: [("a (b c)", "bracketed", None), ("d)", "bare", "unopened_bracket")],
+        8: [("((a) b)", "bracketed", None)],
+        9: [("q (r", "quoted", None)],
+    }
 
 
 def test_very_long_and_empty(spark):
