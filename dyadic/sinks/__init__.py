@@ -29,7 +29,7 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], rows_per_file
 
 
 def write_tsv(df: DataFrame, path: str, columns: Sequence[str], missing: str = "") -> None:
-    df.select(*columns).write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", missing).option("emptyValue", "").csv(path)
+    df.select(*columns).write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", missing).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_sanitised(df: DataFrame, path: str) -> None:
