@@ -7,75 +7,83 @@ from pyspark.sql import functions as F
 
 from dyadic.functions.numeric import bits_set
 
-#: Weights of detection techniques; names that mean the same technique stand on one line, the technique first.
-TECHNIQUE_WEIGHTS = """
-5.0 two-hybrid = two hybrid
-5.0 two hybrid array
-5.0 two hybrid fragment pooling approach = two hybrid prey pooling approach
-5.0 validated two hybrid
-5.0 cr-two hybrid
-5.0 reverse two hybrid
-5.0 three hybrid
-5.0 protein three hybrid
-1.0 co-fractionation
-2.0 co-purification = copurification
-3.0 blue native page
-3.0 comigration in gel electrophoresis
-3.0 comigration in non denaturing gel electrophoresis
-2.0 molecular sieving
-2.0 cosedimentation in solution
-2.0 cosedimentation through density gradient
-10.0 co-crystal structure
-10.0 x-ray crystallography
-10.0 reconstituted complex
-10.0 surface plasmon resonance
-10.0 isothermal titration calorimetry
-10.0 nuclear magnetic resonance
-10.0 light scattering
-9.0 x ray scattering
-5.0 biochemical activity
-1.0 biochemical
-1.0 biophysical
-7.5 protein kinase assay
-7.5 in-gel kinase assay
-1.0 enzymatic study
-5.0 enzyme linked immunosorbent assay
-2.0 chromatin immunoprecipitation assay
-2.0 electrophoretic mobility shift assay
-5.0 affinity capture-ms
-5.0 tandem affinity purification
-5.0 affinity capture-western
-5.0 affinity capture-luminescence
-2.0 affinity capture-rna
-5.0 affinity chromatography technology
-5.0 affinity technology
-5.0 anti bait coimmunoprecipitation
-5.0 anti tag coimmunoprecipitation
-5.0 coimmunoprecipitation
-2.5 pull down
-5.0 cross-linking study = cross-linking-ms (xl-ms)
-5.0 protein cross-linking with a bifunctional reagent
-6.0 fret = fluorescent resonance energy transfer
-7.5 classical fluorescence spectroscopy
-5.0 far western blotting = far western
-1.0 solid phase assay
-5.0 protein array
-5.0 filter binding
-6.0 phage display
-6.0 lambda phage display
-5.0 electron microscopy
-5.0 competition binding
-5.0 protein-peptide
-0.0 protein-rna
-1.0 experimental interaction detection
-5.0 protein complementation assay = pca
-5.0 bimolecular fluorescence complementation = bifc
-5.0 ubiquitin reconstruction
-5.0 split firefly luciferase complementation
-5.0 split renilla luciferase complementation
-5.0 fluorescent protein-protein interaction-visualization
-5.0 reverse ras recruitment system
-"""
+#: Names of detection techniques, the technique that each means, and its weight.
+TECHNIQUE_WEIGHTS = (
+    ("two-hybrid", "two-hybrid", 5.0),
+    ("two hybrid", "two-hybrid", 5.0),
+    ("two hybrid array", "two hybrid array", 5.0),
+    ("two hybrid fragment pooling approach", "two hybrid fragment pooling approach", 5.0),
+    ("two hybrid prey pooling approach", "two hybrid fragment pooling approach", 5.0),
+    ("validated two hybrid", "validated two hybrid", 5.0),
+    ("cr-two hybrid", "cr-two hybrid", 5.0),
+    ("reverse two hybrid", "reverse two hybrid", 5.0),
+    ("three hybrid", "three hybrid", 5.0),
+    ("protein three hybrid", "protein three hybrid", 5.0),
+    ("co-fractionation", "co-fractionation", 1.0),
+    ("co-purification", "co-purification", 2.0),
+    ("copurification", "co-purification", 2.0),
+    ("blue native page", "blue native page", 3.0),
+    ("comigration in gel electrophoresis", "comigration in gel electrophoresis", 3.0),
+    ("comigration in non denaturing gel electrophoresis", "comigration in non denaturing gel electrophoresis", 3.0),
+    ("molecular sieving", "molecular sieving", 2.0),
+    ("cosedimentation in solution", "cosedimentation in solution", 2.0),
+    ("cosedimentation through density gradient", "cosedimentation through density gradient", 2.0),
+    ("co-crystal structure", "co-crystal structure", 10.0),
+    ("x-ray crystallography", "x-ray crystallography", 10.0),
+    ("reconstituted complex", "reconstituted complex", 10.0),
+    ("surface plasmon resonance", "surface plasmon resonance", 10.0),
+    ("isothermal titration calorimetry", "isothermal titration calorimetry", 10.0),
+    ("nuclear magnetic resonance", "nuclear magnetic resonance", 10.0),
+    ("light scattering", "light scattering", 10.0),
+    ("x ray scattering", "x ray scattering", 9.0),
+    ("biochemical activity", "biochemical activity", 5.0),
+    ("biochemical", "biochemical", 1.0),
+    ("biophysical", "biophysical", 1.0),
+    ("protein kinase assay", "protein kinase assay", 7.5),
+    ("in-gel kinase assay", "in-gel kinase assay", 7.5),
+    ("enzymatic study", "enzymatic study", 1.0),
+    ("enzyme linked immunosorbent assay", "enzyme linked immunosorbent assay", 5.0),
+    ("chromatin immunoprecipitation assay", "chromatin immunoprecipitation assay", 2.0),
+    ("electrophoretic mobility shift assay", "electrophoretic mobility shift assay", 2.0),
+    ("affinity capture-ms", "affinity capture-ms", 5.0),
+    ("tandem affinity purification", "tandem affinity purification", 5.0),
+    ("affinity capture-western", "affinity capture-western", 5.0),
+    ("affinity capture-luminescence", "affinity capture-luminescence", 5.0),
+    ("affinity capture-rna", "affinity capture-rna", 2.0),
+    ("affinity chromatography technology", "affinity chromatography technology", 5.0),
+    ("affinity technology", "affinity technology", 5.0),
+    ("anti bait coimmunoprecipitation", "anti bait coimmunoprecipitation", 5.0),
+    ("anti tag coimmunoprecipitation", "anti tag coimmunoprecipitation", 5.0),
+    ("coimmunoprecipitation", "coimmunoprecipitation", 5.0),
+    ("pull down", "pull down", 2.5),
+    ("cross-linking study", "cross-linking study", 5.0),
+    ("cross-linking-ms (xl-ms)", "cross-linking study", 5.0),
+    ("protein cross-linking with a bifunctional reagent", "protein cross-linking with a bifunctional reagent", 5.0),
+    ("fret", "fret", 6.0),
+    ("fluorescent resonance energy transfer", "fret", 6.0),
+    ("classical fluorescence spectroscopy", "classical fluorescence spectroscopy", 7.5),
+    ("far western blotting", "far western blotting", 5.0),
+    ("far western", "far western blotting", 5.0),
+    ("solid phase assay", "solid phase assay", 1.0),
+    ("protein array", "protein array", 5.0),
+    ("filter binding", "filter binding", 5.0),
+    ("phage display", "phage display", 6.0),
+    ("lambda phage display", "lambda phage display", 6.0),
+    ("electron microscopy", "electron microscopy", 5.0),
+    ("competition binding", "competition binding", 5.0),
+    ("protein-peptide", "protein-peptide", 5.0),
+    ("protein-rna", "protein-rna", 0.0),
+    ("experimental interaction detection", "experimental interaction detection", 1.0),
+    ("protein complementation assay", "protein complementation assay", 5.0),
+    ("pca", "protein complementation assay", 5.0),
+    ("bimolecular fluorescence complementation", "bimolecular fluorescence complementation", 5.0),
+    ("bifc", "bimolecular fluorescence complementation", 5.0),
+    ("ubiquitin reconstruction", "ubiquitin reconstruction", 5.0),
+    ("split firefly luciferase complementation", "split firefly luciferase complementation", 5.0),
+    ("split renilla luciferase complementation", "split renilla luciferase complementation", 5.0),
+    ("fluorescent protein-protein interaction-visualization", "fluorescent protein-protein interaction-visualization", 5.0),
+    ("reverse ras recruitment system", "reverse ras recruitment system", 5.0),
+)
 
 #: Compartments in the order of their bits; evidence codes of experiments and of curators.
 COMPARTMENTS = ("nucleus", "cytosol_cytoplasm", "chloroplast_plastid", "mitochondrion", "plasma_membrane", "endoplasmic_reticulum", "golgi_apparatus", "vacuole", "peroxisome", "extracellular_apoplast")
@@ -85,12 +93,7 @@ CURATED_CODES = ("TAS", "NAS", "IC")
 
 def techniques(spark: SparkSession) -> DataFrame:
     """raw_name, technique and weight."""
-    rows = []
-    for line in TECHNIQUE_WEIGHTS.strip().splitlines():
-        weight, _, names = line.partition(" ")
-        same = names.split(" = ")
-        rows += [(name, same[0], float(weight)) for name in same]
-    return spark.createDataFrame(rows, "raw_name string, technique string, weight double")
+    return spark.createDataFrame(list(TECHNIQUE_WEIGHTS), "raw_name string, technique string, weight double")
 
 
 def evidence_weight(code: Column) -> Column:

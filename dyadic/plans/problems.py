@@ -132,19 +132,32 @@ _V = r"[\pL\pM\pN\-.:''()\[\]{}]"
 _UNIT = rf"""{_V}+(?:(?:/|"MI:[0-9]+"(?:\([^()]*\))?){_V}*)*"""
 _QUOTES = """"(?:[^"]|"")*"|''(?:[^'']|'''')*''|"""
 _PLAIN = """CASE WHEN starts_with(m, '"') THEN replace(substr(m, 2, length(m) - 2), '""', '"') WHEN starts_with(m, '''') THEN replace(substr(m, 2, length(m) - 2), '''''', '''') ELSE m END"""
-_VALUES = " UNION ALL ".join(
-    f"SELECT pair_id, '{c}' AS field_name, list_filter(list_transform(regexp_extract_all({c}, '{_QUOTES}{_UNIT}{'' if blanks else f'(?: +{_UNIT})*'}'), lambda m: trim({_PLAIN})), lambda v: v NOT IN ('', '-', 'NA', 'nan')) AS v FROM tomato_positive_pairs_deduplicated"
-    for c, blanks in PACKED_FIELDS.items()
-)
+_MATCHES = " UNION ALL ".join(f"SELECT pair_id, '{c}' AS field_name, regexp_extract_all({c}, '{_QUOTES}{_UNIT}{'' if blanks else f'(?: +{_UNIT})*'}') AS found FROM tomato_positive_pairs_deduplicated" for c, blanks in PACKED_FIELDS.items())
+_VALUES = "SELECT pair_id, field_name, list_filter(list_transform(found, lambda m: {'m': m, 'v': trim(" + _PLAIN + ")}), lambda x: x.v NOT IN ('', '-', 'NA', 'nan')) AS v FROM (" + _MATCHES + ")"
+_NUMBERED = f"(SELECT pair_id, field_name, i, v[i].v AS value, v[i].m AS m FROM (SELECT pair_id, field_name, v, unnest(range(1, len(v) + 1)) AS i FROM ({_VALUES})))"
+_CLOSED = r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}"
+_LOOSE = f"regexp_replace(regexp_replace(m, '{_CLOSED}', '', 'g'), '{_CLOSED}', '', 'g')"
+_ENCLOSED = "(starts_with(m, chr(34)) OR regexp_full_match(m, chr(39) || '(?:[^' || chr(39) || ']|' || chr(39) || chr(39) || ')*' || chr(39)))"
 #: The columns of combine_evidence that aren't text.
 _PLAIN_COLUMNS = ("source_row_number", "participant_a_taxid", "participant_b_taxid", "publication_year", "string_combined_score", "string_experimental_score", "string_database_score", "string_textmining_score", "intact_miscore", "retrieval_date")
 SQL = {
-    "p2_found": f"SELECT pair_id, field_name, i::INT AS value_no, v[i] AS field_value FROM (SELECT pair_id, field_name, v, unnest(range(1, len(v) + 1)) AS i FROM ({_VALUES}))",
+    "p2_found": f"SELECT pair_id, field_name, i::INT AS value_no, value AS field_value FROM {_NUMBERED}",
+    "p2_values": rf"""SELECT pair_id, field_name, i::INT AS value_no, value AS field_value, CASE WHEN {_ENCLOSED} THEN 'quoted' WHEN regexp_matches(m, '{_CLOSED}') THEN 'bracketed' ELSE 'bare' END AS alternative,
+CASE WHEN starts_with(m, chr(39)) AND NOT {_ENCLOSED} THEN 'unclosed_quote' WHEN {_ENCLOSED} THEN NULL WHEN regexp_matches({_LOOSE}, '[(\[{{]') THEN 'unclosed_bracket' WHEN regexp_matches({_LOOSE}, '[)\]}}]') THEN 'unopened_bracket' END AS error FROM {_NUMBERED}""",
     "p3_found": f"SELECT table_name, k AS key_value FROM (SELECT table_name, k, count(*) AS n, sum(count(*)) OVER (PARTITION BY table_name) AS total FROM ({_BOTH}) GROUP BY table_name, k) WHERE k IS NOT NULL AND n >= 0.025 * total",
     "p3_keys": f"""WITH w AS (SELECT table_name, k, v, count(*) AS w, max(s) AS s FROM ({_BOTH}) WHERE k IS NOT NULL GROUP BY ALL)
 SELECT table_name, k AS key_value, sum(w)::BIGINT AS n_rows, count(v) AS n_partners, max(s) AS best, arg_min(v, (-w, v)) FILTER (v IS NOT NULL) AS most_frequent_partner FROM w GROUP BY table_name, k""",
     "p3_quantiles": f"SELECT query, quantile_disc({_FIDENT}, 0.5) AS median_fident, quantile_disc({_FIDENT}, 0.9) AS p90_fident FROM ara_prot_all_vs_all WHERE trim(query) NOT IN ('', '-', 'NA', 'nan') GROUP BY query HAVING count({_FIDENT}) > 0",
     "p5_found": _TERMS + _JUDGED + "SELECT 'raw_evidence_lines' AS table_name, line_id AS record_key, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT DISTINCT 'combine_evidence', evidence_id, reason FROM r WHERE reason IS NOT NULL",
+    "p5_loaded": _TERMS
+    + _JUDGED
+    + r""", g AS (SELECT k.*, source_row FROM k JOIN (SELECT line_id FROM j WHERE reason IS NULL) USING (line_id) JOIN (SELECT line_id, source_row FROM raw_evidence_lines) USING (line_id))
+SELECT line_id, source_id, source_file, source_row, layout, CASE WHEN layout = 'mitab27' THEN f[1] ELSE f[30] END AS participant_a, CASE WHEN layout = 'mitab27' THEN f[2] ELSE f[31] END AS participant_b,
+CASE WHEN layout = 'mitab27' THEN f[7] END AS detection_method, CASE WHEN layout = 'mitab27' THEN f[12] END AS interaction_type,
+CASE WHEN layout = 'mitab27' THEN nullif(regexp_extract(f[10], '^taxid:([0-9]+)', 1), '') END AS taxon_a, CASE WHEN layout = 'mitab27' THEN nullif(regexp_extract(f[11], '^taxid:([0-9]+)', 1), '') END AS taxon_b,
+CASE WHEN layout = 'mitab27' THEN try_cast(replace(f[15], 'intact-miscore:', '') AS DOUBLE) ELSE try_cast(f[11] AS DOUBLE) END AS score,
+CASE WHEN layout = 'mitab27' THEN try_strptime(f[31], '%Y/%m/%d')::DATE END AS recorded_on, CASE WHEN layout = 'mitab27' THEN try_strptime(f[32], '%Y/%m/%d')::DATE END AS updated_on, CASE WHEN layout = 'mitab27' AND f[36] <> '-' THEN f[36] = 'true' END AS is_negative,
+CASE WHEN layout <> 'mitab27' THEN f[1] END AS spectrum_no, CASE WHEN layout <> 'mitab27' THEN try_cast(f[10] AS DOUBLE) END AS e_value, CASE WHEN layout <> 'mitab27' THEN f[15] = 'Inter-Protein' END AS is_inter_protein, f AS fields FROM g""",
     "p5_evidence": _TERMS
     + f"SELECT DISTINCT {', '.join(_PLAIN_COLUMNS)}, nullif(COLUMNS(* EXCLUDE ({', '.join(_PLAIN_COLUMNS)})), 'NA') FROM combine_evidence SEMI JOIN (SELECT evidence_id FROM r WHERE reason IS NULL) USING (evidence_id)",
     "p5_source_files": _TERMS
