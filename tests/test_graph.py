@@ -208,3 +208,60 @@ def test_interologs_of_every_pair(spark):
     found = {(r.u, r.v) for r in graphs.QUERIES["interolog_rules_all"](spark, d).collect()}
     assert {(r.a, r.b) for r in graphs.low_pairs(spark, d).collect()} <= found
     assert {(r.u, r.v) for r in graphs.interolog_rules(spark, d).collect()} < found
+
+
+def test_stacking_follows_the_scores(spark):
+    r = random.Random(4)
+    rows = [(i, y, y + r.gauss(0, 0.6), y + r.gauss(0, 0.6), r.gauss(0, 1)) for i in range(300) for y in (i % 2,)]
+    df = spark.createDataFrame(rows, "id int, y int, a double, b double, noise double")
+    got = M.stacked(df, ["a", "b", "noise"], "y", penalties=(0.01, 1.0), k=3).select("id", "y", "stacked_score").collect()
+    assert len(got) == 300 and all(0 <= x.stacked_score <= 1 for x in got)
+    auroc = lambda score: M.ranking_metrics(score, ["t"], "s", "y").first().auroc
+    stacked = spark.createDataFrame([("t", x.stacked_score, x.y) for x in got], "t string, s double, y int")
+    alone = df.select(F.lit("t").alias("t"), F.col("a").alias("s"), "y")
+    assert auroc(stacked) > auroc(alone)
+
+
+def test_masks_fit(spark):
+    r = random.Random(5)
+    masks = sorted({r.getrandbits(30) | 1 << r.randrange(30) for _ in range(60)} | {1 << k for k in range(30)} | {2**30 - 1, 1, 2})
+    got = {tuple(x) for x in negatives.fitting_masks(spark.createDataFrame([(m,) for m in masks], "m int"), "m").collect()}
+    assert got == {(x, y) for x in masks for y in masks if not x & y}
+    assert negatives.fitting_masks(spark.createDataFrame([], "m int"), "m").count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 15])
+def test_greedy_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    r = random.Random(few)
+    monkeypatch.setattr(G, "FEW_ROWS", few)
+    n = 60
+    links = [(f"n{i}", f"n{i + 1}") for i in range(0, n - 1, 2)] + [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(90)]
+    order = r.sample(range(1, n + 1), n)
+    rank = {f"n{i}": k for i, k in enumerate(order)}
+    near = {x: set() for x in rank}
+    for a, b in links:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    of = {}
+    for x in sorted(rank, key=rank.get):
+        if x not in of:
+            of |= {y: x for y in near[x] if y not in of} | {x: x}
+    nodes = spark.createDataFrame(list(rank.items()), "node string, rank int")
+    edges = spark.createDataFrame([(a, b) for a, b in links if a != b], "u string, v string")
+    got = {x.node: (x.representative, x.is_representative) for x in G.greedy_representatives(nodes, "node", edges, "rank").collect()}
+    assert got == {x: (y, x == y) for x, y in of.items()}
+
+
+def test_bisection_of_many_groups(spark):
+    """More communities than MOST_GROUPS share groups, and stay whole."""
+    r = random.Random(3)
+    rows = [(f"v{r.randrange(3000)}", f"v{r.randrange(3000)}") for _ in range(6000)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    communities = df.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+    chosen = bisect(df, "a", "b", communities, 0.1, 0.1, restarts=4, steps=50)
+    assert chosen.count() == communities.count()
+    share = {x["partition"]: x["count"] / len(rows) for x in S.label_by_test_vertices(df, "a", "b", chosen.where("is_test"), "vertex").groupBy("partition").count().collect()}
+    assert 0.02 < share["C3"] < 0.2
+    none = bisect(df.limit(0), "a", "b", communities.limit(0), 0.1, 0.1)
+    assert none.count() == 0

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,7 +46,8 @@ def test_tab3_string_pairs(spark, tmp_path):
     path = str(tmp_path / "links.detailed.txt.gz")
     rows, bad = readers.string_links(spark, path, readers.string_layout(path))
     assert [(r.a, r.b, r.experimental, r.combined, r.line_no) for r in rows.collect()] == [("A", "B", 10, 99, 2)] and bad.count() == 1
-    pairs = readers.pair_list(spark, write(tmp_path / "p.txt", "Protein1 Protein2 label\nA B 0\nA C\nB C 7 x\nB D x 1\n"))
+    pairs, bad = readers.pair_list(spark, write(tmp_path / "p.txt", "Protein1 Protein2 label\nA B 0\nA C\nB C 7 x\nB D x 1\nalone\n"))
+    assert [r.raw_record for r in bad.collect()] == ["alone"]
     assert [tuple(r) for r in pairs.orderBy("a", "b").collect()] == [("A", "B", 0), ("A", "C", 1), ("B", "C", 7), ("B", "D", 1)]
 
 
@@ -65,17 +67,23 @@ def test_xlms_alignments_by_name(spark, tmp_path):
 def test_annotations_fasta_vectors(spark, tmp_path):
     g = ["d", "L1", "s", "", "GO:1", "r", "IDA", "w", "C"]
     neg, other = g[:3] + ["NOT|part_of"] + g[4:], g[:8] + ["P"]
-    got = readers.annotations(spark, write(tmp_path / "g.gaf", "!c\n" + "\n".join("\t".join(x) for x in (g, neg, other)) + "\n"))
+    got, bad = readers.annotations(spark, write(tmp_path / "g.gaf", "!c\n" + "\n".join("\t".join(x) for x in (g, neg, other)) + "\nshort\tline\n"))
+    assert [(r.line_no, r.raw_record) for r in bad.collect()] == [(5, "short\tline")]
     assert [tuple(x) for x in got.collect()] == [("L1", "GO:1", "IDA")]
     got = readers.fasta(spark, write(tmp_path / "f.fa", ">sp|P1|N desc\nMA\nGG\n>Q2 secondary_acc=Q9\nMK\n"))
     assert sorted((x.id, x.sequence) for x in got.collect()) == [("P1", "MAGG"), ("Q2", "MK"), ("Q9", "MK")]
-    got = readers.vectors(spark, write(tmp_path / "v.txt", ">a\n1 2\n3\n>b\n1 2\n"), 3)
+    got = readers.fasta(spark, write(tmp_path / "g.fa", "\n>P1 kinase A->B transfer >x\r\nMA\r\nGG\r\n>P2\nMK"))
+    assert sorted((x.id, x.header, x.sequence) for x in got.collect()) == [("P1", "P1 kinase A->B transfer >x", "MAGG"), ("P2", "P2", "MK")]
+    got, bad = readers.vectors(spark, write(tmp_path / "v.txt", ">a\n1 2\n3\n>b\n1 2\n>c\n1 x 3\n"), 3)
     assert [(x.id, x.vector) for x in got.collect()] == [("a", [1.0, 2.0, 3.0])]
+    assert sorted((x.id, x.reason) for x in bad.collect()) == [("b", "2 numbers for 3"), ("c", "not a number")]
+    got, bad = readers.vectors(spark, write(tmp_path / "w.txt", "A\t1 2 3\n\nB\t1\n"), 3, tabbed=True)
+    assert [(x.id, x.vector) for x in got.collect()] == [("A", [1.0, 2.0, 3.0])] and [x.id for x in bad.collect()] == ["B"]
 
 
 def test_documents_maps_predictions(spark, tmp_path):
-    got = readers.table_wraps(spark, write(tmp_path / "x.xml", '<a><table-wrap id="1"><label>T1</label></table-wrap><table-wrap id="2"/></a>')).first()
-    assert (got.n_tables, got.labels) == (2, ["T1"])
+    got = readers.table_wraps(spark, write(tmp_path / "x.xml", '<a><table-wrap id="1"><label>T1</label></table-wrap><table-wrap><caption><title>On x</title></caption></table-wrap></a>')).first()
+    assert (got.n_tables, got.labels, got.captions) == (2, ["T1"], ["On x"])
     assert [tuple(x) for x in readers.id_map(spark, write(tmp_path / "m.json", '{"a": "b"}')).collect()] == [("a", "b")]
     one = readers.predictions(spark, write(tmp_path / "p1.csv", "pair_id,pred_score,true_label\nx,0.5,1\n"))
     two = readers.predictions(spark, write(tmp_path / "p2.csv", "name,label,prediction\nx,1,0.5\n"))
@@ -111,7 +119,17 @@ def test_sinks(spark, tmp_path):
     sinks.write_rejects(rejects, str(tmp_path / "r"), "SRC")
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "r")).columns == ["source_id", "source_file", "source_row", "reason", "raw_record"]
     assert sinks.audit_json(df, "k", "n") == '{"a": 1, "b": null}'
-    assert sinks.manifest(spark, str(tmp_path / "r")).where("length(sha256) = 64").count() >= 1
+    (tmp_path / "raw").mkdir()
+    held = {"a.txt": b"x" * 5_000_000, "b.gz": gzip.compress(b"text")}
+    for name, text in held.items():
+        (tmp_path / "raw" / name).write_bytes(text)
+    got = {r.path.rsplit("/", 1)[-1]: (r.size, r.sha256) for r in sinks.manifest(spark, str(tmp_path / "raw")).collect()}
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in held.items()}
+    assert sinks.audit_markdown(df.select("k", "n"), "T") == "## T\n\n| k | n |\n| --- | --- |\n| a | 1 |\n| b |  |\n"
+    many = spark.range(1000).withColumn("k", F.when(F.col("id") < 990, "hot").otherwise("cold"))
+    sinks.write_partitioned(many, str(tmp_path / "hot"), ["k"], rows_per_file=50)
+    files = spark.read.parquet(str(tmp_path / "hot")).groupBy("k", F.input_file_name()).count()
+    assert files.agg(F.max("count")).first()[0] <= 50 and files.where("k = 'hot'").count() >= 20 and files.agg(F.sum("count")).first()[0] == 1000
 
 
 def test_ingest_goes_on_after_a_restart(spark, tmp_path):
