@@ -32,6 +32,7 @@ CLASS = np.zeros(256, np.uint8)
 for bit, members in ((1, b" \t\n\v\f\r"), (2, b",;|"), (4, b"\"')]"), (8, b".!?")):
     CLASS[list(members)] |= bit
 HOW = ("end", "strong", "word", "hard")
+BACK = 16  # tokens by which a hard cut goes back for an end that keeps the overlap
 OUT_BYTES = 8 << 20  # text after which a batch is handed to the JVM
 
 
@@ -42,6 +43,9 @@ def cut(n: int, limit: int, overlap: int, strong: np.ndarray, words: np.ndarray,
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
+    if not whole.all():
+        # an end must let the next piece start at a character, too
+        strong, words = (x[(x >= overlap) & whole[np.maximum(x - overlap, 0)]] for x in (strong, words))
     start = 0
     while n:
         if start + limit >= n:
@@ -55,11 +59,9 @@ def cut(n: int, limit: int, overlap: int, strong: np.ndarray, words: np.ndarray,
                 end = int(ends[at])
                 break
         else:
-            end, kind = start + limit, 3
-            while end > start + 1 and not whole[end]:
-                end -= 1
-            if end <= start + 1:
-                end = start + limit
+            kind = 3
+            near = range(start + limit, max(least, start + limit - BACK), -1)
+            end = next((e for e in near if whole[e] and whole[e - overlap]), 0) or next((e for e in range(start + limit, start + 1, -1) if whole[e]), start + limit)
         yield start, end, kind
         step = max(end - overlap, start + 1)
         back = step
@@ -97,13 +99,13 @@ def places(raw: bytes, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return strong, words
 
 
-def pieces_of(text: str, ids: bytes, coder: bpe.ByteBpe, limits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, str, str]]:
-    """Of each limit (number, tokens, overlap): number, piece number from 1, start and end token, kind of end, piece text."""
+def pieces_of(text: str, ids: bytes, coder: bpe.ByteBpe, limits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int, str, str]]:
+    """Of each limit (number, tokens, overlap): number, piece number from 1, start and end token, tokens shared with the piece before, kind of end, piece text."""
     n = len(ids) // 4
     if n <= min(limit for _, limit, _ in limits):
         for number, _, _ in limits:
             if n:
-                yield number, 1, 0, n, HOW[0], text
+                yield number, 1, 0, n, 0, HOW[0], text
         return
     ends = np.zeros(n + 1, np.int64)
     np.cumsum(coder.bytes_of[np.frombuffer(ids, np.int32)], out=ends[1:])
@@ -112,42 +114,44 @@ def pieces_of(text: str, ids: bytes, coder: bpe.ByteBpe, limits: list[tuple[int,
     whole = np.ones(n + 1, bool) if len(raw) == len(text) else np.append((data & 0xC0) != 0x80, True)[ends]
     strong, words = (np.flatnonzero(mask[ends]) for mask in places(raw, data))
     for number, limit, overlap in limits:
+        before = 0
         for k, (a, b, kind) in enumerate(cut(n, limit, overlap, strong, words, whole), 1):
-            yield number, k, a, b, HOW[kind], raw[ends[a] : ends[b]].decode("utf-8", "replace")
+            shared, before = before - a, b
+            yield number, k, a, b, shared, HOW[kind], raw[ends[a] : ends[b]].decode("utf-8", "replace")
 
 
 def _pieces(ranks: Broadcast, limits: list[tuple[int, int, int]], schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = bpe.loaded(ranks.value)
     for batch in by_bytes(batches):
         index: list[int] = []
-        columns: list[list] = [[] for _ in range(6)]
+        columns: list[list] = [[] for _ in range(7)]
         held = 0
         for row, (text, ids) in enumerate(coder.encode_each(batch.column(1).to_pylist())):
             for piece in pieces_of(text, ids, coder, limits):
                 index.append(row)
                 for c, x in zip(columns, piece):
                     c.append(x)
-                held += len(piece[5])
+                held += len(piece[6])
             if held >= OUT_BYTES:
                 yield _piece_batch(batch.column(0), index, columns, schema)
-                index, columns, held = [], [[] for _ in range(6)], 0
+                index, columns, held = [], [[] for _ in range(7)], 0
         if index:
             yield _piece_batch(batch.column(0), index, columns, schema)
 
 
 def _piece_batch(keys: pa.Array, index: list[int], columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    number, piece, start, end, how, text = columns
+    number, piece, start, end, shared, how, text = columns
     size = (np.array(end, np.int64) - np.array(start, np.int64)).astype(np.int32)
-    values = [number, piece, start, end, size, how, text]
+    values = [number, piece, start, end, size, shared, how, text]
     return pa.RecordBatch.from_arrays([keys.take(pa.array(index)), *(pa.array(v, f.type) for v, f in zip(values, list(schema)[1:]))], schema=schema)
 
 
 def cut_texts(df: DataFrame, key: str, text: str, limits: list[tuple[int, int, int]], rank_file: str = bpe.DEFAULT_RANKS) -> DataFrame:
-    """A row for each piece: key, budget_id, piece_no, start_token, end_token, n_tokens, ends_at, piece_text.
+    """A row for each piece: key, budget_id, piece_no, start_token, end_token, n_tokens, overlap_tokens, ends_at, piece_text.
 
     limits: number, most tokens and overlap of each budget. Tokens are those of the whole text's encoding.
     """
-    names = {"budget_id": T.IntegerType(), "piece_no": T.IntegerType(), "start_token": T.IntegerType(), "end_token": T.IntegerType(), "n_tokens": T.IntegerType(), "ends_at": T.StringType(), "piece_text": T.StringType()}
+    names = {"budget_id": T.IntegerType(), "piece_no": T.IntegerType(), "start_token": T.IntegerType(), "end_token": T.IntegerType(), "n_tokens": T.IntegerType(), "overlap_tokens": T.IntegerType(), "ends_at": T.StringType(), "piece_text": T.StringType()}
     kinds = {T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
     schema = T.StructType([df.schema[key], *(T.StructField(k, v, False) for k, v in names.items())])
     from pyspark.sql.pandas.types import to_arrow_type

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadic.llm import consolidate, cutting, merkle, packing, splits, tokens
-from dyadic.session import is_missing, table
+from dyadic.session import Workspace, is_missing, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +66,27 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     return sizes.join(proteins, "split").withColumn("given_share", given[F.col("split")])
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What p6_splits must satisfy, checked over all its rows; a hash decides which family goes where, which SQL can't tell."""
+    shares = _shares(spark, d)
+    given = F.create_map(*(F.lit(x) for name, pct in shares.items() for x in (name, pct / sum(shares.values()))))
+    records = table(spark, d, "ara_positive_c4_test_id0_50_cov0_80")
+    rows = Workspace(spark, "checks").save(records.join(p6_splits(spark, d), "row_id", "full_outer"), "rows")
+    families = rows.groupBy("first_row_id").agg(F.count_distinct("split").alias("n"), F.count("*").alias("size"))
+    largest, n = families.agg(F.max("size"), F.sum("size")).first()  # two numbers
+    ends = rows.select("split", F.explode(F.array(*(F.when(~is_missing(c), F.col(c)) for c in ("participant_a_id", "participant_b_id")))).alias("p")).where("p IS NOT NULL")
+    off = F.abs(F.col("n") / n - given[F.col("split")])
+    checks = {
+        "every_row_once": rows.agg((F.count("split") == F.count_distinct("row_id")).alias("passed")),
+        "families_whole": families.agg((F.max("n") <= 1).alias("passed")),
+        "proteins_in_one_split": ends.groupBy("p").agg(F.count_distinct("split").alias("n")).agg((F.coalesce(F.max("n"), F.lit(1)) <= 1).alias("passed")),
+        # no split misses its share by more than the largest family, or a hundredth
+        "shares_kept": rows.groupBy("split").agg(F.count("*").alias("n")).agg((F.max(off) <= max(0.01, largest / n)).alias("passed")),
+    }
+    out = [df.select(F.lit(name).alias("check"), "passed") for name, df in checks.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -79,11 +100,35 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", [(b, most) for b, most, _ in _budgets(spark, d, "pack")])
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each capacity: documents, containers over it, documents divided though they fit, and whether no more than a hundredth is unused."""
+    rows = Workspace(spark, "checks").save(p8_containers(spark, d), "rows")
+    budgets = table(spark, d, "token_budgets").select("budget_id", "max_tokens")
+    full = rows.groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("load")).join(F.broadcast(budgets), "budget_id")
+    containers = full.groupBy("budget_id").agg(F.count_if(F.col("load") > F.col("max_tokens")).alias("n_overfull"), (F.count("*") <= 1 + 1.01 * F.ceil(F.sum("load") / F.first("max_tokens"))).alias("little_unused"))
+    documents = rows.groupBy("budget_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("size")).join(F.broadcast(budgets), "budget_id")
+    counts = documents.groupBy("budget_id").agg(F.count("*").alias("n_documents"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("max_tokens"))).alias("n_divided_though_fitting"))
+    return counts.join(containers, "budget_id").select("budget_id", "n_documents", "n_overfull", "n_divided_though_fitting", "little_unused")
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cutting.cut_texts(table(spark, d, "documents"), "doc_id", "text", _budgets(spark, d, "cut"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p4_found, p4_records, p6_found, p6_splits, p6_summary, p7_ids, p8_containers, p9_pieces)}
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each limit: documents with pieces, pieces over it, pieces that don't follow the one before with the given overlap, and pieces whose text isn't the document's."""
+    rows = Workspace(spark, "checks").save(p9_pieces(spark, d), "rows")
+    budgets = table(spark, d, "token_budgets").select("budget_id", "max_tokens", F.col("overlap_tokens").alias("given"))
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    before = rows.select("budget_id", "doc_id", (F.col("piece_no") + 1).alias("piece_no"), F.col("end_token").alias("before"))
+    beside = rows.join(F.broadcast(budgets), "budget_id").join(texts, "doc_id").join(before, ["budget_id", "doc_id", "piece_no"], "left")
+    shared = F.col("before") - F.col("start_token")
+    follows = F.when(F.col("piece_no") == 1, F.col("start_token") == 0).otherwise((shared == F.col("overlap_tokens")) & (shared >= F.col("given")) & (shared <= F.col("given") + 3))
+    whole = F.when(F.col("overlap_tokens") >= 0, F.contains("text", "piece_text"))
+    return beside.groupBy("budget_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.count_if(F.col("n_tokens") > F.col("max_tokens")).alias("n_over_limit"), F.count_if(~F.coalesce(follows, F.lit(False))).alias("n_not_following"), F.count_if(~whole).alias("n_other_text"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p4_found, p4_records, p6_found, p6_splits, p6_summary, p6_checks, p7_ids, p8_containers, p8_checks, p9_pieces, p9_checks)}
 
 _GROUPS = """
 WITH RECURSIVE clean AS (
@@ -123,5 +168,8 @@ SQL = {
     "p1_group_sizes": _GROUPS + "SELECT label AS group_id, count(*) AS n_members FROM g GROUP BY label",
     "p4_found": _PAIR + "SELECT f AS first_pair_id, pair_id AS copy_pair_id FROM (SELECT pair_id, min(pair_id) OVER (PARTITION BY least(a, b), greatest(a, b)) AS f FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL) WHERE f <> pair_id",
     "p4_records": _PAIR + "SELECT min(pair_id) AS pair_id, count(*) AS n_copies FROM pairs GROUP BY CASE WHEN a IS NULL OR b IS NULL THEN pair_id END, least(a, b), greatest(a, b)",
+    "p6_checks": """SELECT "check", true AS passed FROM (VALUES ('every_row_once'), ('families_whole'), ('proteins_in_one_split'), ('shares_kept')) AS t("check")""",
+    "p8_checks": "SELECT budget_id, (SELECT count(*) FROM documents) AS n_documents, 0::BIGINT AS n_overfull, 0::BIGINT AS n_divided_though_fitting, true AS little_unused FROM token_budgets WHERE purpose = 'pack'",
+    "p9_checks": "SELECT budget_id, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0::BIGINT AS n_over_limit, 0::BIGINT AS n_not_following, 0::BIGINT AS n_other_text FROM token_budgets WHERE purpose = 'cut'",
     "p6_found": _FAMILIES + "SELECT label AS first_row_id, substr(id, 3)::BIGINT AS row_id FROM g WHERE starts_with(id, 'r:') AND substr(id, 3)::BIGINT <> label",
 }

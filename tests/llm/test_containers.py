@@ -103,6 +103,22 @@ def test_cuts(n, limit, overlap, strong, words):
     assert all(a < c for (a, _, _), (c, _, _) in zip(got, got[1:]))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 5), max_size=120), st.integers(24, 60), st.integers(0, 8), st.data())
+def test_cuts_within_characters(widths, limit, overlap, data):
+    """Characters of several tokens: pieces end and begin at characters, and share the overlap or up to three tokens more."""
+    n = sum(widths)
+    whole = np.zeros(n + 1, bool)
+    whole[np.append(0, np.cumsum(widths)).astype(int)] = True
+    ends = np.array(sorted(data.draw(st.sets(st.sampled_from(np.flatnonzero(whole).tolist())))), np.int64)
+    got = list(cutting.cut(n, limit, overlap, ends, ends[::2], whole))
+    assert not n or (got[0][0] == 0 and got[-1][1] == n)
+    for (a, b, _), (c, _, _) in zip(got, got[1:]):
+        assert 0 < b - a <= limit and whole[b] and whole[c] and a < c and overlap <= b - c <= overlap + 4
+    if set(widths) <= {1}:
+        assert all(b - c == overlap for (_, b, _), (c, _, _) in zip(got, got[1:]))
+
+
 def test_overlap_below_limit():
     with pytest.raises(ValueError, match="overlap"):
         list(cutting.cut(10, 4, 4, np.array([]), np.array([]), np.ones(11, bool)))
@@ -134,7 +150,7 @@ def test_pieces_of_texts(spark):
             assert [r.piece_no for r in mine] == list(range(1, len(mine) + 1)) and mine[-1].end_token == size[i]
             assert all(r.n_tokens == r.end_token - r.start_token <= limit and r.piece_text in text for r in mine)
             for a, b in zip(mine, mine[1:]):
-                assert overlap <= a.end_token - b.start_token <= overlap + 3
+                assert b.overlap_tokens == a.end_token - b.start_token == overlap
             assert mine[0].piece_text == text[: len(mine[0].piece_text)] and text.endswith(mine[-1].piece_text)
     assert cutting.cut_texts(df.limit(0), "doc_id", "text", limits).count() == 0
 

@@ -93,6 +93,18 @@ def test_split_queries(spark):
     assert got.count() == spark.read.parquet(f"{d}/ara_positive_c4_test_id0_50_cov0_80.parquet").count()
 
 
+def test_split_summary(spark):
+    d = str(DATA / "sf0.001")
+    got = {r.split: r for r in queries.p6_summary(spark, d).collect()}
+    rows = [r.asDict() for r in spark.read.parquet(f"{d}/ara_positive_c4_test_id0_50_cov0_80.parquet").collect()]
+    of = {r.row_id: r.split for r in queries.p6_splits(spark, d).collect()}
+    proteins = defaultdict(set)
+    for r in rows:
+        proteins[of[r["row_id"]]] |= {p for p in (r["participant_a_id"], r["participant_b_id"]) if p is not None and p.strip() not in ("", "-", "NA", "nan")}
+    assert {k: (r.n_rows, r.n_proteins) for k, r in got.items()} == {k: (n, len(proteins[k])) for k, n in Counter(of.values()).items()}
+    assert sum(r.given_share for r in got.values()) == pytest.approx(1) and all(r.share == r.n_rows / len(rows) for r in got.values())
+
+
 PAIR = "pair_id string, canonical_pair_key string, participant_a_id string, participant_b_id string, digest int"
 
 
