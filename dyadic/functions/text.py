@@ -128,6 +128,11 @@ def molecule_type(kind: Column, raw_id: Column) -> Column:
     return out.when(F.coalesce(raw_id, F.lit("")).isin("", "-"), "missing").otherwise("protein")
 
 
+def json_row(fields: dict[str, Column]) -> Column:
+    """A JSON object of texts, names in the given order; null fields are left out."""
+    return F.to_json(F.struct(*(c.cast("string").alias(name) for name, c in fields.items())))
+
+
 def surrogate_key(prefix: Column | str, number: Column, width: int = 8) -> Column:
     return F.format_string(f"%s_%0{width}d", F.lit(prefix) if isinstance(prefix, str) else prefix, number)
 

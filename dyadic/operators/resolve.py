@@ -37,6 +37,11 @@ def best_of(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFr
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+def longest(df: DataFrame, by: Sequence[str], length: Column, key: str, out: str) -> DataFrame:
+    """Of each group the key of the row of greatest length, the largest key of equals: a partial aggregate, no sort."""
+    return df.groupBy(*by).agg(F.max_by(key, F.struct(length, F.col(key))).alias(out))
+
+
 def both_ends(pairs: DataFrame, a: str, b: str, dictionary: DataFrame, key: str, value: str) -> DataFrame:
     """Pairs whose two ends are known, with a_value and b_value."""
     side = lambda x: dictionary.select(F.col(key).alias(f"_{x}"), F.col(value).alias(f"{x}_{value}"))

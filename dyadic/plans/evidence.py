@@ -244,7 +244,7 @@ def sanitize_export(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_id, '{"user_id":"' || user_id || '","event_type":"' || event_type || '"}' AS packed FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL""")
 def json_pack(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL")
-    return rows.select("event_id", F.to_json(F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("event_type"), F.col("event_type"))).alias("packed"))
+    return rows.select("event_id", X.json_row({"user_id": F.col("user_id"), "event_type": F.col("event_type")}).alias("packed"))
 
 
 @query(
@@ -287,7 +287,7 @@ def id_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS longest FROM orders GROUP BY o_custkey")
 def longest_per_alias(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("longest"))
+    return R.longest(table(spark, d, "orders"), ["o_custkey"], F.col("o_totalprice"), "o_orderkey", "longest")
 
 
 @query(
@@ -358,9 +358,10 @@ def holdout_leak(spark: SparkSession, d: str) -> DataFrame:
     return evidence(spark, d).groupBy(F.col("participant_a_species").alias("species")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("eligible_for_training") == "TRUE").alias("n_eligible"), F.count_if((F.col("is_external_holdout") == "TRUE") & (F.col("eligible_for_training") == "TRUE")).alias("n_leaked"))
 
 
-@query(f"SELECT assay_family AS value, count(*) AS n_rows FROM combine_evidence WHERE assay_family NOT IN {MISS} AND assay_family NOT IN (SELECT normalized_assay_family FROM assay_mapping WHERE normalized_assay_family IS NOT NULL) GROUP BY 1")
+@query(f"SELECT detection_method_raw AS value, count(*) AS n_rows FROM combine_evidence WHERE detection_method_raw NOT IN {MISS} AND detection_method_raw NOT IN (SELECT source_term FROM assay_mapping WHERE source_term IS NOT NULL) GROUP BY 1")
 def vocab_closure(spark: SparkSession, d: str) -> DataFrame:
-    return G.closure(evidence(spark, d), "assay_family", table(spark, d, "assay_mapping"), "normalized_assay_family")
+    """Methods, as written, that the vocabulary doesn't have."""
+    return G.closure(evidence(spark, d), "detection_method_raw", table(spark, d, "assay_mapping"), "source_term")
 
 
 @query(
@@ -389,24 +390,16 @@ def systematic_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT a.l_orderkey, a.l_linenumber, CASE WHEN la + lb > 60 THEN least(la, greatest(10, floor(60.0 * la / (la + lb)))) ELSE la END::BIGINT AS crop_a, CASE WHEN la + lb > 60 THEN least(lb, greatest(10, 60 - greatest(10, floor(60.0 * la / (la + lb))))) ELSE lb END::BIGINT AS crop_b
-FROM (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS la, (l_partkey % 50 + 1)::BIGINT AS lb FROM lineitem) AS a"""
+    """SELECT l_orderkey, l_linenumber, CASE WHEN la + lb > 1020 THEN least(la, greatest(50, floor(1020.0 * la / (la + lb)))) ELSE la END::BIGINT AS crop_a, CASE WHEN la + lb > 1020 THEN least(lb, greatest(50, 1020 - greatest(50, floor(1020.0 * la / (la + lb))))) ELSE lb END::BIGINT AS crop_b
+FROM (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT * 30 AS la, (l_partkey % 50 + 1)::BIGINT * 25 AS lb FROM lineitem)"""
 )
 def crop_budget(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("la"), (F.col("l_partkey") % 50 + 1).alias("lb"))
-    a, b = N.crop_lengths(F.col("la"), F.col("lb"), 60, 10)
+    """Lengths up to 1,500 and 1,250 cropped to the published 1,020 and 50."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") * 30).alias("la"), ((F.col("l_partkey") % 50 + 1) * 25).alias("lb"))
+    a, b = N.crop_lengths(F.col("la"), F.col("lb"))
     return rows.select("l_orderkey", "l_linenumber", a.cast("long").alias("crop_a"), b.cast("long").alias("crop_b"))
 
 
-@query(
-    """SELECT label, list(round(mean, 6) ORDER BY i) AS mean, list(hi ORDER BY i) AS max, list(lo ORDER BY i) AS min
-FROM (SELECT label, i, avg(x) AS mean, max(x) AS hi, min(x) AS lo FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i) GROUP BY label"""
-)
-def elementwise_pools(spark: SparkSession, d: str) -> DataFrame:
-    out = pooling.elementwise(table(spark, d, "embeddings"), "label", "embedding")
-    return out.withColumn("mean", F.transform("mean", lambda x: F.round(x, 6)))
-
-
 @query("SELECT label, list(round(mean, 6) ORDER BY i) AS pooled FROM (SELECT label, i, avg(x) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i) GROUP BY label")
 def elementwise_pool(spark: SparkSession, d: str) -> DataFrame:
     """The mean at every position."""
