@@ -98,14 +98,14 @@ def _greedy_tail(links: pa.Table) -> pa.RecordBatch:
 def greedy_representatives(nodes: DataFrame, node: str, edges: DataFrame, rank: str) -> DataFrame:
     """node, representative and is_representative: in order of rank, each node still free takes its free neighbours.
 
-    edges: u, v. rank: distinct whole numbers, the smallest first; they stand for the nodes in all rounds. Rounds decide many
+    nodes: a written table, read several times. edges: u, v. rank: distinct whole numbers, the smallest first; they stand for the nodes in all rounds. Rounds decide many
     nodes at once: a node none of whose undecided neighbours comes before it is a representative, its undecided neighbours are
     members. That is exactly the sequential result; a member belongs to its first representative in order. Links that are
     left when they are few are decided one after the other by one task, so that a long chain in order of rank needs no round
     for every two of its nodes.
     """
     work = Workspace(edges.sparkSession, "greedy")
-    ranks = work.save(nodes.select(F.col(node).alias("node"), F.col(rank).cast("long").alias("r")), "ranks")
+    ranks = nodes.select(F.col(node).alias("node"), F.col(rank).cast("long").alias("r"))
     side = lambda x: ranks.select(F.col("node").alias(x), F.col("r").alias(f"r_{x}"))
     directed = edges.join(side("u"), "u").join(side("v"), "v").where("r_u <> r_v")
     links = work.save(directed.select(F.least("r_u", "r_v").alias("hi"), F.greatest("r_u", "r_v").alias("lo")).distinct(), "links")

@@ -87,17 +87,31 @@ r AS (SELECT key_1, p.pair_key AS key_2, max(s) AS similarity FROM g JOIN p ON p
 """
 
 
-def _redundant(spark: SparkSession, d: str) -> DataFrame:
-    return G.redundant_pairs(low_pairs(spark, d), "pair_key", "a", "b", homologs(spark, d))
+def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """low_pairs and homologs, written: each is read several times."""
+    work = Workspace(spark, "redundancy")
+    return work.save(low_pairs(spark, d), "pairs"), work.save(homologs(spark, d), "homologs")
+
+
+def _redundant(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    return G.redundant_pairs(pairs, "pair_key", "a", "b", known)
 
 
 @query(REDUNDANT + "SELECT key_1, key_2, similarity FROM r")
 def redundant_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _redundant(spark, d)
+    return _redundant(*_tables(spark, d))
+
+
+def _ranked_pairs(pairs: DataFrame) -> DataFrame:
+    return G.priority([F.desc("bits"), F.desc("n_segments"), F.col("a"), F.col("b")], pairs)
 
 
-def _ranked_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return G.priority([F.desc("bits"), F.desc("n_segments"), F.col("a"), F.col("b")], low_pairs(spark, d))
+def _greedy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The members and the ranked pairs."""
+    pairs, known = _tables(spark, d)
+    ranks = Workspace(spark, "ranked").save(_ranked_pairs(pairs).select("pair_key", "rank"), "ranks")
+    links = _redundant(pairs, known).where(F.col("similarity") >= THETA).select(F.col("key_1").alias("u"), F.col("key_2").alias("v"))
+    return G.greedy_representatives(ranks, "pair_key", links, "rank"), ranks
 
 
 #: Nodes with links in order of priority, one after the other, with the list of representatives so far.
@@ -118,15 +132,15 @@ z AS (SELECT o.pair_key, o.rank, coalesce(t.rep, o.rank) AS rep FROM o LEFT JOIN
 
 @query(GREEDY + "SELECT z.pair_key AS node, o.pair_key AS representative, z.rep = z.rank AS is_representative FROM z JOIN o ON o.rank = z.rep")
 def greedy_reps(spark: SparkSession, d: str) -> DataFrame:
-    links = _redundant(spark, d).where(F.col("similarity") >= THETA).select(F.col("key_1").alias("u"), F.col("key_2").alias("v"))
-    return G.greedy_representatives(_ranked_pairs(spark, d), "pair_key", links, "rank")
+    return _greedy(spark, d)[0]
 
 
 @query(GREEDY + "SELECT z.pair_key, o.pair_key AS representative, z.rep = z.rank AS is_representative, dense_rank() OVER (ORDER BY z.rep) AS cluster_id FROM z JOIN o ON o.rank = z.rep")
 def cluster_ids(spark: SparkSession, d: str) -> DataFrame:
     """Members with consecutive cluster ids, in the order of their representatives."""
-    members = greedy_reps(spark, d)
-    order = _ranked_pairs(spark, d).select(F.col("pair_key").alias("representative"), "rank")
+    found, ranks = _greedy(spark, d)
+    members = Workspace(spark, "clusters").save(found, "members")
+    order = ranks.select(F.col("pair_key").alias("representative"), "rank")
     ids = ranked(members.where("is_representative").select("representative").join(order, "representative"), [], [F.col("rank")], "cluster_id").select("representative", "cluster_id")
     return members.join(ids, "representative").select(F.col("node").alias("pair_key"), "representative", "is_representative", "cluster_id")
 
@@ -176,8 +190,9 @@ j AS (SELECT c, count(*) AS k, count(*) FILTER (similarity >= 0.5) AS good, sum(
 SELECT z.c AS cluster, n, n * (n - 1) // 2 AS n_pairs, coalesce(good, 0) AS n_similar, round(coalesce(good, 0) / (n * (n - 1) // 2), 6) AS density, round(coalesce(total, 0) / (n * (n - 1) // 2), 6) AS mean_similarity, CASE WHEN coalesce(k, 0) = n * (n - 1) // 2 THEN least ELSE 0.0 END AS min_similarity, coalesce(most, 0.0) AS max_similarity FROM z LEFT JOIN j USING (c)"""
 )
 def cluster_density(spark: SparkSession, d: str) -> DataFrame:
-    members = low_pairs(spark, d).select("pair_key", F.substring_index("pair_key", "|", 1).alias("cluster"))
-    out = G.cluster_density(members, "cluster", "pair_key", _redundant(spark, d), THETA)
+    pairs, known = _tables(spark, d)
+    members = pairs.select("pair_key", F.substring_index("pair_key", "|", 1).alias("cluster"))
+    out = G.cluster_density(members, "cluster", "pair_key", _redundant(pairs, known), THETA)
     return out.withColumns({c: F.round(c, 6) for c in ("density", "mean_similarity")})
 
 
