@@ -91,6 +91,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """MD5 of the text that the ids of each document decode to: the document's own text must come back."""
+    decoded = tokens.decode(p7_ids(spark, d), "doc_id", "ids")
+    return decoded.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def _budgets(spark: SparkSession, d: str, purpose: str) -> list[tuple[int, int, int]]:
     rows = table(spark, d, "token_budgets").where(F.col("purpose") == purpose).collect()  # a fixed table of 4 rows
     return sorted((r["budget_id"], r["max_tokens"], r["overlap_tokens"]) for r in rows)
@@ -128,7 +134,7 @@ def p9_checks(spark: SparkSession, d: str) -> DataFrame:
     return beside.groupBy("budget_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.count_if(F.col("n_tokens") > F.col("max_tokens")).alias("n_over_limit"), F.count_if(~F.coalesce(follows, F.lit(False))).alias("n_not_following"), F.count_if(~whole).alias("n_other_text"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p4_found, p4_records, p6_found, p6_splits, p6_summary, p6_checks, p7_ids, p8_containers, p8_checks, p9_pieces, p9_checks)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p4_found, p4_records, p6_found, p6_splits, p6_summary, p6_checks, p7_ids, p7_checks, p8_containers, p8_checks, p9_pieces, p9_checks)}
 
 _GROUPS = """
 WITH RECURSIVE clean AS (
@@ -169,6 +175,7 @@ SQL = {
     "p4_found": _PAIR + "SELECT f AS first_pair_id, pair_id AS copy_pair_id FROM (SELECT pair_id, min(pair_id) OVER (PARTITION BY least(a, b), greatest(a, b)) AS f FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL) WHERE f <> pair_id",
     "p4_records": _PAIR + "SELECT min(pair_id) AS pair_id, count(*) AS n_copies FROM pairs GROUP BY CASE WHEN a IS NULL OR b IS NULL THEN pair_id END, least(a, b), greatest(a, b)",
     "p6_checks": """SELECT "check", true AS passed FROM (VALUES ('every_row_once'), ('families_whole'), ('proteins_in_one_split'), ('shares_kept')) AS t("check")""",
+    "p7_checks": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "p8_checks": "SELECT budget_id, (SELECT count(*) FROM documents) AS n_documents, 0::BIGINT AS n_overfull, 0::BIGINT AS n_divided_though_fitting, true AS little_unused FROM token_budgets WHERE purpose = 'pack'",
     "p9_checks": "SELECT budget_id, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0::BIGINT AS n_over_limit, 0::BIGINT AS n_not_following, 0::BIGINT AS n_other_text FROM token_budgets WHERE purpose = 'cut'",
     "p6_found": _FAMILIES + "SELECT label AS first_row_id, substr(id, 3)::BIGINT AS row_id FROM g WHERE starts_with(id, 'r:') AND substr(id, 3)::BIGINT <> label",

@@ -8,6 +8,7 @@ other than key and text aren't read, so names that clash with the results' don't
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from functools import partial
 
@@ -84,3 +85,20 @@ def count_tokens(df: DataFrame, key: str, text: str, out: str = "n_tokens", rank
     """key and the number of ids of text."""
     schema = T.StructType([df.schema[key], T.StructField(out, T.LongType(), False)])
     return df.select(key, text).mapInArrow(partial(_counts, vocabulary(df.sparkSession, rank_file), key, out), schema)
+
+
+def _texts(ranks: Broadcast, key: str, out: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = dict((int(rank), base64.b64decode(word)) for word, rank in (line.split() for line in ranks.value.splitlines() if line))
+    words = pa.array([held.get(i) for i in range(max(held) + 1)], pa.large_binary())
+    for batch in batches:
+        ids = batch.column(1)
+        for begin in range(0, batch.num_rows, 256):
+            part = ids.slice(begin, 256)
+            texts = [b"".join(words.take(row.values).to_pylist()).decode("utf-8", "replace") if row.is_valid else None for row in part]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, 256), pa.array(texts, pa.string())], names=[key, out])
+
+
+def decode(df: DataFrame, key: str, ids: str, out: str = "text", rank_file: str = bpe.DEFAULT_RANKS) -> DataFrame:
+    """key and the text that ids stand for; an empty list gives an empty text, null gives null, and bytes that are no text come out as U+FFFD."""
+    schema = T.StructType([df.schema[key], T.StructField(out, T.StringType())])
+    return df.select(key, ids).mapInArrow(partial(_texts, vocabulary(df.sparkSession, rank_file), key, out), schema)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dyadic.llm import bpe, tokens
 
@@ -56,3 +57,12 @@ def test_columns(spark, reference):
     counts = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df, "doc_id", "text").collect()}
     assert counts == {i: len(reference.encode_ordinary(t or "")) for i, t, _, _ in rows}
     assert tokens.encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_decoding_gives_texts_back(spark):
+    texts = [t for t in TEXTS if t is None or "\ud800" not in t]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = tokens.encode(df, "doc_id", "text").withColumn("ids", F.when(F.col("doc_id") != 1, F.col("ids")))
+    got = {r.doc_id: r.text for r in tokens.decode(ids, "doc_id", "ids").collect()}
+    assert got == {i: None if i == 1 else t or "" for i, t in enumerate(texts)}
+    assert tokens.decode(ids.limit(0), "doc_id", "ids").count() == 0
