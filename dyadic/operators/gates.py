@@ -76,3 +76,10 @@ def rejection_gate(counts: DataFrame, most_pct: float) -> DataFrame:
 def no_aggregation(df: DataFrame, pair: str) -> DataFrame:
     """pairs, and the records beyond the first of their pair, which shows that records aren't merged; always PASS."""
     return df.groupBy(pair).agg(F.count("*").alias("_n")).agg(F.lit("no_pair_aggregation").alias("gate"), F.count("*").alias("n_pairs"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_beyond_first"), F.lit("PASS").alias("status"))
+
+
+def schema_gate(df: DataFrame, expected: dict[str, str], gate_name: str = "schema") -> DataFrame:
+    """The gate that df has these columns, of these types, in this order; violations are the places that differ."""
+    have, want = df.dtypes, list(expected.items())
+    n = sum(x != y for x, y in zip(have, want)) + abs(len(have) - len(want))
+    return df.sparkSession.range(1).select(F.lit(gate_name).alias("gate"), F.lit(n).cast("long").alias("violations"), F.lit("FAIL" if n else "PASS").alias("status"))

@@ -14,7 +14,7 @@ from dyadic.operators import pooling
 from dyadic.operators import resolve as R
 from dyadic.operators import skew
 from dyadic.plans.catalogue import Catalogue
-from dyadic.session import table
+from dyadic.session import Workspace, table
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -88,7 +88,8 @@ def _techniques(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    merged = pair_consolidate(spark, d)
+    # written, since the pairs meet what is derived from them
+    merged = Workspace(spark, "consolidated").save(pair_consolidate(spark, d), "pairs")
     names = F.transform(F.split("detection_methods", r"\|"), lambda m: F.coalesce(F.when(m.contains("("), X.mi_name(m)), m))
     totals = P.technique_totals(merged, "pair_key", names, _techniques(spark, d))
     return P.scored(merged.join(totals, "pair_key"), F.col("pmid_count"), F.col("technique_total"))

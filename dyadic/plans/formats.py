@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dyadic import sinks
 from dyadic.functions import fixed
 from dyadic.operators import gates as G
+from dyadic.operators import pairs as P
 from dyadic.plans.catalogue import Catalogue
 from dyadic.session import Workspace, table
 from dyadic.sources import lines as L
@@ -60,6 +61,17 @@ def read_mitab(spark: SparkSession, d: str) -> DataFrame:
     return _mitab(spark, d)[0].select("id_a", "id_b", "detection_method", "taxid_a", "interaction_ids", "negative")
 
 
+@query(
+    MITAB_LINES
+    + f"""SELECT least(f[1], f[2]) AS participant_a_id, greatest(f[1], f[2]) AS participant_b_id, coalesce(array_to_string((list_sort(list(DISTINCT f[8]) FILTER (f[8] NOT IN {MISS})))[1:5], '|'), '') AS first_authors
+FROM j WHERE reason IS NULL AND f[1] NOT IN {MISS} AND f[2] NOT IN {MISS} GROUP BY 1, 2"""
+)
+def pair_authors(spark: SparkSession, d: str) -> DataFrame:
+    """The first five authors of each pair of the interaction lines, which have them where combine_evidence has none."""
+    rows = _mitab(spark, d)[0]
+    return P.names(rows, "id_a", "id_b", "aliases_a", "aliases_b", ["source_file", "line_no"], author="first_author").select("participant_a_id", "participant_b_id", "first_authors")
+
+
 @query(MITAB_LINES + "SELECT 'SRC' AS source_id, reason, x AS raw_record FROM j WHERE reason IS NOT NULL")
 def dead_letters(spark: SparkSession, d: str) -> DataFrame:
     """Rejected records as the dead-letter sink has them; tabs within are what the file's own delimiter was."""

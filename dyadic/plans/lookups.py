@@ -255,6 +255,14 @@ def hub_network(spark: SparkSession, d: str) -> DataFrame:
     return H.hub_edges(pairs, "a", "b", H.hubs(pairs, "a", "b", F.col("bits"), 25)).select("a", "b", "bits")
 
 
+@query(f"WITH p AS ({graphs.PAIRS}), {_HUBS}, k AS (SELECT node, row_number() OVER (ORDER BY weight DESC, node) - 1 AS i FROM h) SELECT node, i AS place, round(sqrt(i) * cos(i * 2.399963229728653), 6) AS x, round(sqrt(i) * sin(i * 2.399963229728653), 6) AS y FROM k")
+def hub_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The hubs on a spiral, the heaviest in its middle: what a drawing of hub_network needs."""
+    placed = O.ranked(H.hubs(graphs.low_pairs(spark, d), "a", "b", F.col("bits"), 25), [], [F.desc("weight"), F.col("node")], "_n")
+    x, y = N.spiral(F.col("_n") - 1)
+    return placed.select("node", (F.col("_n") - 1).alias("place"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
 _EXPORTS = {"high": "tier = 'high'", "high_hetero": "tier = 'high' AND participant_a_id <> participant_b_id", "high_medium": "tier IN ('high', 'medium')", "high_medium_hetero": "tier IN ('high', 'medium') AND participant_a_id <> participant_b_id"}
 
 
@@ -310,6 +318,13 @@ def forbidden_gates(spark: SparkSession, d: str) -> DataFrame:
     return G.forbidden(rows, ["train_fold", "split", "partition"], "split_columns").unionByName(G.forbidden(rows, ["label", "intact_miscore"], "score_columns"))
 
 
+@query("SELECT 'nation' AS gate, 0::BIGINT AS violations, 'PASS' AS status UNION ALL SELECT 'region', 2, 'FAIL'")
+def schema_gates(spark: SparkSession, d: str) -> DataFrame:
+    """A table with the expected schema, and one that has another type and lacks a column."""
+    good = G.schema_gate(table(spark, d, "nation"), {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}, "nation")
+    return good.unionByName(G.schema_gate(table(spark, d, "region"), {"r_regionkey": "string", "r_name": "string", "r_comment": "string"}, "region"))
+
+
 _REJECTED = "count(*) FILTER (publication_year IS NULL) * 100.0 / count(*) >= 0.5"
 
 
