@@ -84,12 +84,17 @@ def connected_groups(edges: DataFrame, a: str, b: str, member: str = "member", g
     return labels.select(F.col("c").alias(member), F.col("p").alias(group))
 
 
+#: What surrounds ids: white space of ASCII and the no-break space.
+AROUND = " \t\n\v\f\r\u00a0"
+
+
 def alignment_matches(alignments: DataFrame, least_identity: float = 0.5) -> DataFrame:
     """query and target, stripped and in upper case, of the rows that match; a fident above 1 is a percentage.
 
-    Null and not-a-number never match, nor do rows without one of the ids.
+    Null and not-a-number never match, nor do rows without one of the ids. least_identity is at most 1, so that no row
+    whose fident is below it as it stands can match, which the scan can tell by itself.
     """
     fident = F.col("fident")
     share = F.when(fident > 1, fident / 100).otherwise(fident)
-    clean = [F.upper(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")).alias(c) for c in ("query", "target")]
-    return alignments.where(~F.isnan(fident) & (share >= least_identity)).select(*clean).where("query <> target and query <> '' and target <> ''")
+    clean = [F.upper(F.btrim(F.col(c), F.lit(AROUND))).alias(c) for c in ("query", "target")]
+    return alignments.where((fident >= least_identity) & ~F.isnan(fident) & (share >= least_identity)).select(*clean).where("query <> target and query <> '' and target <> ''")
