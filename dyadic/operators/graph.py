@@ -20,7 +20,8 @@ def similarity_edges(alignments: DataFrame, least_identity: float, least_coverag
     """u < v and their greatest identity over all segments in both directions that are homologous."""
     f = identity_fraction(F.col("fident"))
     q, t = (F.upper(F.trim(c)) for c in ("query", "target"))
-    passing = (f >= least_identity) & (F.least("qcov", "tcov") >= least_coverage) & F.col("qcov").isNotNull() & F.col("tcov").isNotNull() & (F.col("evalue") <= most_evalue)
+    # no fident below the least as it stands can pass, which the scan can tell by itself
+    passing = (F.col("fident") >= least_identity) & (f >= least_identity) & (F.least("qcov", "tcov") >= least_coverage) & F.col("qcov").isNotNull() & F.col("tcov").isNotNull() & (F.col("evalue") <= most_evalue)
     return alignments.where(passing).select(F.least(q, t).alias("u"), F.greatest(q, t).alias("v"), f.alias("s")).where("u <> v").groupBy("u", "v").agg(F.max("s").alias("similarity"))
 
 
@@ -98,14 +99,15 @@ def _greedy_tail(links: pa.Table) -> pa.RecordBatch:
 def greedy_representatives(nodes: DataFrame, node: str, edges: DataFrame, rank: str) -> DataFrame:
     """node, representative and is_representative: in order of rank, each node still free takes its free neighbours.
 
-    nodes: a written table, read several times. edges: u, v. rank: distinct whole numbers, the smallest first; they stand for the nodes in all rounds. Rounds decide many
+    nodes: a written table, read several times. edges: u, v. rank: distinct whole numbers, the smallest first, null for a node
+    without edges; they stand for the nodes in all rounds. Rounds decide many
     nodes at once: a node none of whose undecided neighbours comes before it is a representative, its undecided neighbours are
     members. That is exactly the sequential result; a member belongs to its first representative in order. Links that are
     left when they are few are decided one after the other by one task, so that a long chain in order of rank needs no round
     for every two of its nodes.
     """
     work = Workspace(edges.sparkSession, "greedy")
-    ranks = nodes.select(F.col(node).alias("node"), F.col(rank).cast("long").alias("r"))
+    ranks = nodes.select(F.col(node).alias("node"), F.col(rank).cast("long").alias("r")).where("r IS NOT NULL")
     side = lambda x: ranks.select(F.col("node").alias(x), F.col("r").alias(f"r_{x}"))
     directed = edges.join(side("u"), "u").join(side("v"), "v").where("r_u <> r_v")
     links = work.save(directed.select(F.least("r_u", "r_v").alias("hi"), F.greatest("r_u", "r_v").alias("lo")).distinct(), "links")
@@ -125,12 +127,12 @@ def greedy_representatives(nodes: DataFrame, node: str, edges: DataFrame, rank:
         work.drop(f"left{k}")
         k += 1
     if taken is None:
-        return ranks.select("node", F.col("node").alias("representative"), F.lit(True).alias("is_representative"))
+        return nodes.select(F.col(node).alias("node"), F.col(node).alias("representative"), F.lit(True).alias("is_representative"))
     free = links.join(taken, F.col("hi") == F.col("taken"), "left_anti").groupBy("lo").agg(F.min("hi").alias("first"))
-    member = taken.join(free, F.col("taken") == F.col("lo")).select("taken", "first")
-    placed = ranks.join(member, F.col("r") == F.col("taken"), "left").select("node", F.coalesce("first", "r").alias("rep"), F.col("taken").isNull().alias("is_representative"))
-    names = ranks.select(F.col("node").alias("representative"), F.col("r").alias("_r"))
-    return placed.join(names, F.col("rep") == F.col("_r")).select("node", "representative", "is_representative")
+    name = lambda r, out: ranks.select(F.col("r").alias(r), F.col("node").alias(out))
+    member = taken.join(free, F.col("taken") == F.col("lo")).join(name("taken", "_node"), "taken").join(name("first", "_rep"), "first").select("_node", "_rep")
+    placed = nodes.select(F.col(node).alias("node")).join(member, F.col("node") == F.col("_node"), "left")
+    return placed.select("node", F.coalesce("_rep", "node").alias("representative"), F.col("_rep").isNull().alias("is_representative"))
 
 
 def priority(order: list[Column], nodes: DataFrame, out: str = "rank") -> DataFrame:

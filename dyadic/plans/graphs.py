@@ -107,11 +107,14 @@ def _ranked_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def _greedy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The members and the ranked pairs."""
+    """The members and the pairs. Only pairs with links are put in order."""
     pairs, known = _tables(spark, d)
-    ranks = Workspace(spark, "ranked").save(_ranked_pairs(pairs).select("pair_key", "rank"), "ranks")
-    links = _redundant(pairs, known).where(F.col("similarity") >= THETA).select(F.col("key_1").alias("u"), F.col("key_2").alias("v"))
-    return G.greedy_representatives(ranks, "pair_key", links, "rank"), ranks
+    work = Workspace(spark, "greedy_pairs")
+    links = work.save(_redundant(pairs, known).where(F.col("similarity") >= THETA).select(F.col("key_1").alias("u"), F.col("key_2").alias("v")), "links")
+    linked = links.select(F.explode(F.array("u", "v")).alias("pair_key")).distinct()
+    ranks = _ranked_pairs(pairs.join(linked, "pair_key", "left_semi")).select("pair_key", "rank")
+    nodes = work.save(pairs.select("pair_key").join(ranks, "pair_key", "left"), "nodes")
+    return G.greedy_representatives(nodes, "pair_key", links, "rank"), pairs
 
 
 #: Nodes with links in order of priority, one after the other, with the list of representatives so far.
@@ -138,10 +141,11 @@ def greedy_reps(spark: SparkSession, d: str) -> DataFrame:
 @query(GREEDY + "SELECT z.pair_key, o.pair_key AS representative, z.rep = z.rank AS is_representative, dense_rank() OVER (ORDER BY z.rep) AS cluster_id FROM z JOIN o ON o.rank = z.rep")
 def cluster_ids(spark: SparkSession, d: str) -> DataFrame:
     """Members with consecutive cluster ids, in the order of their representatives."""
-    found, ranks = _greedy(spark, d)
+    found, pairs = _greedy(spark, d)
     members = Workspace(spark, "clusters").save(found, "members")
-    order = ranks.select(F.col("pair_key").alias("representative"), "rank")
-    ids = ranked(members.where("is_representative").select("representative").join(order, "representative"), [], [F.col("rank")], "cluster_id").select("representative", "cluster_id")
+    representatives = pairs.join(members.where("is_representative").select(F.col("representative").alias("pair_key")), "pair_key", "left_semi")
+    order = [F.desc("bits"), F.desc("n_segments"), F.col("a"), F.col("b")]
+    ids = ranked(representatives, [], order, "cluster_id").select(F.col("pair_key").alias("representative"), "cluster_id")
     return members.join(ids, "representative").select(F.col("node").alias("pair_key"), "representative", "is_representative", "cluster_id")
 
 
