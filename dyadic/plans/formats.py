@@ -194,7 +194,7 @@ def fasta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return R.fasta(spark, at).select("id", "sequence")
 
 
-@query("SELECT 'v' || vec_id AS id, 'marked' AS layout, list_transform(embedding, lambda x: round(x::DOUBLE, 5)) AS vector FROM embeddings UNION ALL SELECT 'v' || vec_id, 'tabbed', list_transform(embedding, lambda x: round(x::DOUBLE, 5)) FROM embeddings")
+@query("SELECT 'v' || vec_id AS id, 'marked' AS layout, list_transform(embedding, lambda x: round(x::DOUBLE, 5) + 0.0) AS vector FROM embeddings UNION ALL SELECT 'v' || vec_id, 'tabbed', list_transform(embedding, lambda x: round(x::DOUBLE, 5) + 0.0) FROM embeddings")
 def read_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors in both layouts; records of other sizes, one beside each vector, are rejects."""
     e = table(spark, d, "embeddings")

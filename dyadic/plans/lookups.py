@@ -180,7 +180,7 @@ def locus_explode(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT 'V' || vec_id AS k, list_transform(embedding, lambda x: round(x::DOUBLE, 5)) AS v FROM embeddings WHERE label < 6),
+    """WITH v AS (SELECT 'V' || vec_id AS k, list_transform(embedding, lambda x: round(x::DOUBLE, 5) + 0.0) AS v FROM embeddings WHERE label < 6),
 i AS (SELECT event_id, 'V' || (event_id % 700) || CASE WHEN event_id % 3 = 0 THEN '-2' ELSE '' END AS id FROM events)
 SELECT event_id, coalesce(x.v, y.v, list_transform(range(64), lambda i: 0.0::DOUBLE)) AS vector, CASE WHEN x.k IS NOT NULL THEN 1 WHEN y.k IS NOT NULL THEN 2 END AS matched_by FROM i LEFT JOIN v AS x ON x.k = id LEFT JOIN v AS y ON y.k = regexp_replace(id, '-\\d+$', '')"""
 )
@@ -345,7 +345,7 @@ def random_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH m AS (SELECT label, least(vec_id % 12, vec_id // 12 % 12) AS i, greatest(vec_id % 12, vec_id // 12 % 12) AS j, sum(embedding[1]::DOUBLE) AS t FROM embeddings GROUP BY ALL)
-SELECT label, i, j, round(CASE WHEN i = j THEN t ELSE t / 2 END, 6) AS weight FROM m"""
+SELECT label, i, j, round(CASE WHEN i = j THEN t ELSE t / 2 END, 6) + 0.0 AS weight FROM m"""
 )
 def symmetrised_attention(spark: SparkSession, d: str) -> DataFrame:
     """A matrix a label, of twelve positions, from the vectors' first elements."""
@@ -357,7 +357,7 @@ def symmetrised_attention(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH s AS (SELECT label, p, sum(CASE WHEN i = j THEN t ELSE t / 2 END) AS w FROM (SELECT label, i, j, t, unnest(CASE WHEN i = j THEN [i] ELSE [i, j] END) AS p FROM (SELECT label, least(vec_id % 12, vec_id // 12 % 12) AS i, greatest(vec_id % 12, vec_id // 12 % 12) AS j, sum(1.0 + vec_id % 5)::DOUBLE AS t FROM embeddings GROUP BY ALL)) GROUP BY ALL),
 e AS (SELECT label, vec_id % 12 AS p, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings)
-SELECT label, list(round(v, 5) ORDER BY k) AS pooled FROM (SELECT label, k, sum(x * w) / sum(w) AS v FROM e JOIN s USING (label, p) GROUP BY ALL) GROUP BY label"""
+SELECT label, list(round(v, 5) + 0.0 ORDER BY k) AS pooled FROM (SELECT label, k, sum(x * w) / sum(w) AS v FROM e JOIN s USING (label, p) GROUP BY ALL) GROUP BY label"""
 )
 def attention_pool(spark: SparkSession, d: str) -> DataFrame:
     """Vectors weighted by symmetrised attention between positions, over the whole length."""

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from dyadic.functions.text import sanitised
 from dyadic.session import ship_package
 
+#: Text sinks keep blanks at the ends of values, which Spark's writer would cut off.
+AS_THEY_STAND = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], rows_per_file: int = 1_000_000, mode: str = "append") -> None:
     """Hive-partitioned Parquet in files of at most so many rows; readers see a job's files together, when it commits.
@@ -29,7 +32,7 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], rows_per_file
 
 
 def write_tsv(df: DataFrame, path: str, columns: Sequence[str], missing: str = "") -> None:
-    df.select(*columns).write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", missing).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    df.select(*columns).write.mode("overwrite").option("sep", "\t").option("header", True).options(nullValue=missing, emptyValue="", **AS_THEY_STAND).csv(path)
 
 
 def write_sanitised(df: DataFrame, path: str) -> None:
@@ -38,7 +41,7 @@ def write_sanitised(df: DataFrame, path: str) -> None:
 
 
 def write_rejects(rejects: DataFrame, path: str, source_id: str) -> None:
-    rejects.select(F.lit(source_id).alias("source_id"), "source_file", F.col("line_no").alias("source_row"), "reason", "raw_record").write.mode("append").option("sep", "\t").option("header", True).csv(path)
+    rejects.select(F.lit(source_id).alias("source_id"), "source_file", F.col("line_no").alias("source_row"), "reason", "raw_record").write.mode("append").options(sep="\t", header=True, **AS_THEY_STAND).csv(path)
 
 
 def write_benchmark(positives: DataFrame, negatives: DataFrame, loci: DataFrame, path: str) -> None:
@@ -47,7 +50,7 @@ def write_benchmark(positives: DataFrame, negatives: DataFrame, loci: DataFrame,
     for side in "ab":
         rows = rows.join(loci.select(F.col("id").alias(f"_{side}"), F.col("locus").alias(f"locus_{side}")), F.col(f"participant_{side}_id") == F.col(f"_{side}"), "left").drop(f"_{side}")
     out = rows.select("participant_a_id", "participant_b_id", "label", "partition", *(F.coalesce(f"locus_{s}", F.lit("")).alias(f"locus_{s}") for s in "ab"))
-    out.write.mode("overwrite").partitionBy("partition").option("sep", "\t").option("header", True).csv(path)
+    out.write.mode("overwrite").partitionBy("partition").options(sep="\t", header=True, **AS_THEY_STAND).csv(path)
 
 
 def write_fasta(df: DataFrame, path: str, key: str, sequence: str, width: int = 60) -> None:
