@@ -205,6 +205,6 @@ def hubs(edges: DataFrame, u: str, v: str, weight: Column, n: int) -> DataFrame:
 
 
 def hub_edges(edges: DataFrame, u: str, v: str, nodes: DataFrame) -> DataFrame:
-    """The edges both of whose ends are among nodes."""
+    """The edges both of whose ends are among nodes, a result of hubs(), whose n bounds what is broadcast."""
     side = lambda x: nodes.select(F.col("node").alias(x))
     return edges.join(F.broadcast(side(u)), u, "left_semi").join(F.broadcast(side(v)), v, "left_semi")

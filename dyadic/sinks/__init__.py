@@ -22,11 +22,13 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], rows_per_file
     """Hive-partitioned Parquet in files of at most so many rows; readers see a job's files together, when it commits.
 
     Partitions are counted first: one of n rows is spread over n / rows_per_file salts, so that a task writes few
-    partitions, and a large partition is written by as many tasks as it fills files. df is read twice.
+    partitions, and a large partition is written by as many tasks as it fills files. The salt is a hash of the row, so that a
+    task that runs again gives its rows the same; equal rows share one. df is read twice.
     """
     salts = df.groupBy(*by).agg(F.expr(f"1 + (count(*) - 1) div {rows_per_file}").alias("_salts")).select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), "_salts")
     same = [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)]
-    salted = df.join(salts, same).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.col("_salts")))
+    hashed = [f"`{c}`" for c, kind in df.dtypes if "map<" not in kind]
+    salted = df.join(salts, same).withColumn("_salt", F.pmod(F.xxhash64(*hashed) if hashed else F.lit(0), F.col("_salts")))
     spread = salted.repartition(*by, "_salt").drop("_salt", "_salts", *(f"_by_{i}" for i in range(len(by))))
     spread.write.mode(mode).partitionBy(*by).option("maxRecordsPerFile", rows_per_file).parquet(path)
 

@@ -87,7 +87,7 @@ def xlms_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     given = lambda c: F.nullif(F.trim(c), F.lit(""))
     reason = F.when(n < 32, F.format_string("column count %d < 32", n)).when(given("c29").isNull() & given("c30").isNull(), "missing participants")
     whole = F.coalesce(text, F.concat_ws(",", *(F.coalesce(f"c{i}", F.lit("")) for i in range(32))))
-    judged = rows.join(F.broadcast(first), "source_file").withColumns({"record_no": F.col("_id") - F.col("_first") + 2, "reason": reason, "raw_record": whole})
+    judged = rows.join(first, "source_file").withColumns({"record_no": F.col("_id") - F.col("_first") + 2, "reason": reason, "raw_record": whole})
     peptides = X.peptide_pair(F.col("c4"))
     good = judged.where("reason IS NULL").select("source_file", "record_no", F.col("c0").try_cast("bigint").alias("spectrum"), peptides["a"].alias("peptide_a"), peptides["b"].alias("peptide_b"), F.col("c6").alias("linker"), F.col("c9").try_cast("double").alias("e_value"), F.col("c10").try_cast("double").alias("score"), F.col("c14").alias("kind"), given("c29").alias("a"), F.coalesce(given("c30"), given("c29")).alias("b"))
     return good, judged.where("reason IS NOT NULL").select("source_file", "record_no", "reason", "raw_record")
