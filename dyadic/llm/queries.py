@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dyadic.llm import consolidate, cutting, merkle, packing, splits, tokens
@@ -122,16 +122,14 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Of each limit: documents with pieces, pieces over it, pieces that don't follow the one before with the given overlap, and pieces whose text isn't the document's."""
-    rows = Workspace(spark, "checks").save(p9_pieces(spark, d), "rows")
+    """Of each limit: documents with pieces, pieces over it, and pieces that don't follow the one before with the given overlap."""
     budgets = table(spark, d, "token_budgets").select("budget_id", "max_tokens", F.col("overlap_tokens").alias("given"))
-    texts = table(spark, d, "documents").select("doc_id", "text")
-    before = rows.select("budget_id", "doc_id", (F.col("piece_no") + 1).alias("piece_no"), F.col("end_token").alias("before"))
-    beside = rows.join(F.broadcast(budgets), "budget_id").join(texts, "doc_id").join(before, ["budget_id", "doc_id", "piece_no"], "left")
+    rows = p9_pieces(spark, d).select("budget_id", "doc_id", "piece_no", "start_token", "end_token", "n_tokens", "overlap_tokens")
+    before = F.lag("end_token").over(Window.partitionBy("budget_id", "doc_id").orderBy("piece_no"))  # the pieces of one document
+    beside = rows.withColumn("before", before).join(F.broadcast(budgets), "budget_id")
     shared = F.col("before") - F.col("start_token")
     follows = F.when(F.col("piece_no") == 1, F.col("start_token") == 0).otherwise((shared == F.col("overlap_tokens")) & (shared >= F.col("given")) & (shared <= F.col("given") + 3))
-    whole = F.when(F.col("overlap_tokens") >= 0, F.contains("text", "piece_text"))
-    return beside.groupBy("budget_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.count_if(F.col("n_tokens") > F.col("max_tokens")).alias("n_over_limit"), F.count_if(~F.coalesce(follows, F.lit(False))).alias("n_not_following"), F.count_if(~whole).alias("n_other_text"))
+    return beside.groupBy("budget_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.count_if(F.col("n_tokens") > F.col("max_tokens")).alias("n_over_limit"), F.count_if(~F.coalesce(follows, F.lit(False))).alias("n_not_following"))
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p4_found, p4_records, p6_found, p6_splits, p6_summary, p6_checks, p7_ids, p7_checks, p8_containers, p8_checks, p9_pieces, p9_checks)}
@@ -177,6 +175,6 @@ SQL = {
     "p6_checks": """SELECT "check", true AS passed FROM (VALUES ('every_row_once'), ('families_whole'), ('proteins_in_one_split'), ('shares_kept')) AS t("check")""",
     "p7_checks": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "p8_checks": "SELECT budget_id, (SELECT count(*) FROM documents) AS n_documents, 0::BIGINT AS n_overfull, 0::BIGINT AS n_divided_though_fitting, true AS little_unused FROM token_budgets WHERE purpose = 'pack'",
-    "p9_checks": "SELECT budget_id, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0::BIGINT AS n_over_limit, 0::BIGINT AS n_not_following, 0::BIGINT AS n_other_text FROM token_budgets WHERE purpose = 'cut'",
+    "p9_checks": "SELECT budget_id, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0::BIGINT AS n_over_limit, 0::BIGINT AS n_not_following FROM token_budgets WHERE purpose = 'cut'",
     "p6_found": _FAMILIES + "SELECT label AS first_row_id, substr(id, 3)::BIGINT AS row_id FROM g WHERE starts_with(id, 'r:') AND substr(id, 3)::BIGINT <> label",
 }
