@@ -88,7 +88,7 @@ def delta(metrics: DataFrame, baseline: DataFrame, on: Sequence[str], value: str
 def best_checkpoints(df: DataFrame, by: Sequence[str], checkpoint: str, score: str, k: int) -> DataFrame:
     """Of each mode the k checkpoints with the best score; a checkpoint counts once, with its best."""
     best = df.groupBy(*by, checkpoint).agg(F.max(score).alias(score))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(checkpoint)))).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(checkpoint)))).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def stacked(df: DataFrame, features: Sequence[str], label: str, penalties: Sequence[float] = (0.01, 0.1, 1.0), k: int = 5, seed: int = 63) -> DataFrame:

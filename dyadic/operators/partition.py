@@ -50,7 +50,7 @@ def take_best(df: DataFrame, pool: str, quotas: dict[str, int], score: str, ids:
     rows = df.where(F.col(pool).isin(*quotas)).withColumn("_tie", F.md5(F.concat_ws("|", *ids, F.lit(str(seed)))))
     place = F.row_number().over(Window.partitionBy(pool).orderBy(F.col(score).desc_nulls_last(), F.col("_tie"), *map(F.col, ids)))
     # the largest quota, a literal, limits each pool before the shuffle
-    return rows.withColumn("rank", place).where(F.col("rank") <= max(quotas.values())).where(F.col("rank") <= most[F.col(pool)]).drop("_tie")
+    return rows.withColumn("rank", place).where(F.col("rank") <= max(quotas.values())).where(F.col("rank") <= most[F.col(pool)]).withColumn("rank", F.col("rank").cast("long")).drop("_tie")
 
 
 def folds(df: DataFrame, ids: Sequence[str], k: int, by: Sequence[str] = (), seed: int = 42, out: str = "fold") -> DataFrame:
