@@ -74,15 +74,38 @@ def component_keys(pairs: DataFrame, a: str, b: str, parts: DataFrame) -> DataFr
 def redundant_pairs(pairs: DataFrame, key: str, a: str, b: str, homologs: DataFrame) -> DataFrame:
     """key_1 < key_2 and similarity of the pairs that are alike: the better of both ways to set ends against ends.
 
-    homologs: reflexive(). Pairs are expanded by both ends' homologs and met by one equi-join, never compared all with all. To
-    expand one end only and check the other afterwards makes fewer rows of a pair, but as many as the square of a hub's
-    pairs, and hubs are the larger of the two here; expanded pairs are bounded by the sizes of families.
+    homologs: reflexive(); both tables are read several times. Pairs of other ends differ on one side at least, so each match
+    is begun at a link of two different homologs, from the end with fewer pairs, and closed on the other side by that side's
+    homologs or by the pairs of the link's other end, whichever are fewer. Rows so follow the links and the matches; to expand
+    both ends of every pair would make the product of a hub's pairs and its homologs. Pairs of the same ends are met apart.
     """
-    side = lambda x: homologs.select(F.col("x").alias(f"_{x}"), F.col("y").alias(f"_y{x}"), F.col("s").alias(f"_s{x}"))
-    grown = pairs.select(F.col(key).alias("key_1"), F.col(a).alias("_a1"), F.col(b).alias("_b1")).join(side("a"), F.col("_a1") == F.col("_a")).join(side("b"), F.col("_b1") == F.col("_b"))
-    grown = grown.select("key_1", F.least("_ya", "_yb").alias("_p"), F.greatest("_ya", "_yb").alias("_q"), F.least("_sa", "_sb").alias("_s"))
-    other = pairs.select(F.col(key).alias("key_2"), F.least(a, b).alias("_p"), F.greatest(a, b).alias("_q"))
-    return grown.join(other, ["_p", "_q"]).where("key_1 < key_2").groupBy("key_1", "key_2").agg(F.max("_s").alias("similarity"))
+    work = Workspace(pairs.sparkSession, "alike")
+    links = homologs.where("x <> y").groupBy("x", "y").agg(F.max("s").alias("s"))
+    families = links.groupBy("x").agg(F.count("*").alias("n"))
+    # pairs by each end that has homologs
+    turned = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
+    near = work.save(pairs.select(F.inline(turned), F.col(key).alias("key")).join(families, "x", "left_semi"), "near")
+    near_of = lambda x, y, k: near.select(F.col("x").alias(x), F.col("y").alias(y), F.col("key").alias(k))
+    n_pairs = lambda x: near.groupBy(F.col("x").alias(f"_{x}")).agg(F.count("*").alias(f"_n{x}"))
+    other = homologs.select(F.col("x").alias("_d"), F.col("y").alias("_b"), F.col("s").alias("_t"))
+
+    begun = links.select(F.col("x").alias("_c"), F.col("y").alias("_a"), F.col("s").alias("_s")).join(n_pairs("c"), "_c").join(n_pairs("a"), "_a")
+    begun = begun.where(F.struct("_nc", "_c") < F.struct("_na", "_a")).join(near_of("_c", "_d", "_k"), "_c").select("_a", "_d", "_s", "_k", "_na")
+    begun = work.save(begun, "begun")
+    sides = begun.select("_a", "_d", "_na").distinct().join(families.select(F.col("x").alias("_d"), F.col("n").alias("_nd")), "_d", "left")
+    sides = work.save(sides.withColumn("_nd", F.coalesce("_nd", F.lit(0)) + 1), "sides")
+    closed = [
+        sides.where("_nd <= _na").join(other, "_d").join(near_of("_a", "_b", "_l"), ["_a", "_b"]),
+        sides.where("_nd > _na").join(near_of("_a", "_b", "_l"), "_a").join(other, ["_d", "_b"]),
+    ]
+    closed = closed[0].select("_a", "_d", "_l", "_t").unionByName(closed[1].select("_a", "_d", "_l", "_t"))
+    met = begun.join(closed, ["_a", "_d"]).where("_k <> _l").select(F.least("_k", "_l").alias("key_1"), F.greatest("_k", "_l").alias("key_2"), F.least("_s", "_t").alias("_s"))
+
+    same = pairs.groupBy(F.least(a, b).alias("_p"), F.greatest(a, b).alias("_q")).agg(F.collect_list(key).alias("_keys")).where("size(_keys) > 1")
+    itself = lambda x: homologs.where("x = y").select(F.col("x").alias(f"_{x}"), F.col("s").alias(f"_s{x}"))
+    same = same.join(itself("p"), "_p").join(itself("q"), "_q").select(F.explode("_keys").alias("key_1"), "_keys", F.least("_sp", "_sq").alias("_s"))
+    same = same.select("key_1", F.explode("_keys").alias("key_2"), "_s").where("key_1 < key_2")
+    return met.unionByName(same).groupBy("key_1", "key_2").agg(F.max("_s").alias("similarity"))
 
 
 def _greedy_tail(links: pa.Table) -> pa.RecordBatch:

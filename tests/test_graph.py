@@ -33,6 +33,66 @@ def test_pair_similarity(spark, sims, want):
     assert got == ([] if want is None else [want])
 
 
+def _alike(rows, near):
+    """redundant_pairs, each pair against each."""
+    s = lambda x, y: 1.0 if x == y else near.get((x, y), near.get((y, x)))
+    found = {}
+    for i, (k, a, b) in enumerate(rows):
+        for l, c, d in rows[i + 1:]:
+            ways = [min(x, y) for x, y in ((s(a, c), s(b, d)), (s(a, d), s(b, c))) if x and y]
+            if ways:
+                found[min(k, l), max(k, l)] = max(ways)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_redundant_pairs_as_all_against_all(spark, seed):
+    """Hubs among pairs and among homologs, pairs that are homologs themselves, pairs of the same ends under two keys, turned ends."""
+    r = random.Random(seed)
+    names = [f"n{i:02}" for i in range(24)]
+    near = {tuple(sorted(r.sample(names, 2))): r.choice([0.5, 0.625, 0.75]) for _ in range(25)} | {("n00", x): 0.875 for x in names[5:15]}
+    ends = {tuple(r.sample(names, 2)) for _ in range(40)} | {("n00", x) for x in names[10:22]} | {(x, "n01") for x in names[8:20]} | {("n03", "n04"), ("n04", "n03")}
+    rows = [(f"k{i:03}", a, b) for i, (a, b) in enumerate(r.sample(sorted(ends), len(ends)))]
+    edges = spark.createDataFrame([(u, v, s) for (u, v), s in near.items()], "u string, v string, similarity double")
+    homologs = G.reflexive(edges, spark.createDataFrame([(x,) for x in names], "node string"), "node")
+    got = G.redundant_pairs(spark.createDataFrame(rows, "k string, a string, b string"), "k", "a", "b", homologs).collect()
+    assert len(got) == len({(x.key_1, x.key_2) for x in got}) and {(x.key_1, x.key_2): x.similarity for x in got} == _alike(rows, near)
+
+
+def shuffled(spark):
+    """Rows that each stage so far has shuffled, by its number."""
+    jvm, none = spark._jvm, spark._sc._gateway.new_array(spark._jvm.double, 0)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("name", ["cluster_density"])
+def test_queries_over_a_hub(spark, tmp_path, name):
+    """A hub's pairs times its homologs are never made: what a stage shuffles follows the links, not their product."""
+    import duckdb
+    from oracle import table
+    from dyadic.plans import graphs
+
+    n = 300
+    hits = [("H", f"h{i}", 0.9) for i in range(n)] + [(x, f"p{i}", 0.3) for i in range(n) for x in ("H", f"h{i}")] + [("H", "p0", 0.2)]
+    columns = ALIGNED + ", bits int"
+    at = str(tmp_path / "ara_prot_all_vs_all.parquet")
+    spark.createDataFrame([(q, t, f, 0.9, 0.9, 1e-9, 50 + i % 7) for i, (q, t, f) in enumerate(hits)], columns).coalesce(1).write.parquet(at)
+    before = set(shuffled(spark))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = graphs.QUERIES[name](spark, str(tmp_path))
+        got = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW ara_prot_all_vs_all AS SELECT * FROM '{at}/*.parquet'")
+    want = con.execute(graphs.SQL[name])
+    assert table(df.columns, got) == table([c[0] for c in want.description], want.fetchall())
+    assert max(rows for stage, rows in shuffled(spark).items() if stage not in before) < 20 * n
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_and_greedy(spark, seed):
     r = random.Random(seed)
