@@ -67,7 +67,7 @@ def shuffled(spark):
     return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
 
 
-@pytest.mark.parametrize("name", ["cluster_density", "cluster_ids", "greedy_reps"])
+@pytest.mark.parametrize("name", ["cluster_density", "cluster_ids", "greedy_reps", "redundant_edges"])
 def test_queries_over_a_hub(spark, tmp_path, name):
     """A hub's pairs times its homologs are never made: what a stage shuffles follows the links, not their product."""
     import duckdb
