@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadic.operators.single import FEW_ROWS, in_one_task
@@ -32,10 +32,14 @@ def both_directions(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return edges.select(F.inline(ends), *rest)
 
 
+def mutual(edges: DataFrame) -> DataFrame:
+    """x, y, s: both directions of edges."""
+    return both_directions(edges).select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("similarity").alias("s"))
+
+
 def reflexive(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     """x, y, s: both directions of edges, and each node with itself at similarity 1."""
-    pairs = both_directions(edges).select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("similarity").alias("s"))
-    return pairs.unionByName(nodes.select(F.col(node).alias("x"), F.col(node).alias("y"), F.lit(1.0).alias("s")))
+    return mutual(edges).unionByName(nodes.select(F.col(node).alias("x"), F.col(node).alias("y"), F.lit(1.0).alias("s")))
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
@@ -71,41 +75,42 @@ def component_keys(pairs: DataFrame, a: str, b: str, parts: DataFrame) -> DataFr
     return out.withColumn("component_key", F.concat_ws("|", F.least("_ka", "_kb"), F.greatest("_ka", "_kb"))).drop("_a", "_b", "_ka", "_kb")
 
 
-def redundant_pairs(pairs: DataFrame, key: str, a: str, b: str, homologs: DataFrame) -> DataFrame:
+def redundant_pairs(pairs: DataFrame, key: str, a: str, b: str, homologs: DataFrame, distinct: bool = False) -> DataFrame:
     """key_1 < key_2 and similarity of the pairs that are alike: the better of both ways to set ends against ends.
 
-    homologs: reflexive(); both tables are read several times. Pairs of other ends differ on one side at least, so each match
+    homologs: mutual() or reflexive(), as each node counts as its own homolog at similarity 1; both tables are read several
+    times. distinct: no two pairs have the same ends, in whatever order. Pairs of other ends differ on one side at least, so each match
     is begun at a link of two different homologs, from the end with fewer pairs, and closed on the other side by that side's
     homologs or by the pairs of the link's other end, whichever are fewer. Rows so follow the links and the matches; to expand
     both ends of every pair would make the product of a hub's pairs and its homologs. Pairs of the same ends are met apart.
     """
     work = Workspace(pairs.sparkSession, "alike")
-    links = homologs.where("x <> y").groupBy("x", "y").agg(F.max("s").alias("s"))
+    links = work.save(homologs.where("x <> y").groupBy("x", "y").agg(F.max("s").alias("s")), "links")
     families = links.groupBy("x").agg(F.count("*").alias("n"))
     # pairs by each end that has homologs
     turned = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
     near = work.save(pairs.select(F.inline(turned), F.col(key).alias("key")).join(families, "x", "left_semi"), "near")
     near_of = lambda x, y, k: near.select(F.col("x").alias(x), F.col("y").alias(y), F.col("key").alias(k))
     n_pairs = lambda x: near.groupBy(F.col("x").alias(f"_{x}")).agg(F.count("*").alias(f"_n{x}"))
-    other = homologs.select(F.col("x").alias("_d"), F.col("y").alias("_b"), F.col("s").alias("_t"))
 
     begun = links.select(F.col("x").alias("_c"), F.col("y").alias("_a"), F.col("s").alias("_s")).join(n_pairs("c"), "_c").join(n_pairs("a"), "_a")
     begun = begun.where(F.struct("_nc", "_c") < F.struct("_na", "_a")).join(near_of("_c", "_d", "_k"), "_c").select("_a", "_d", "_s", "_k", "_na")
     begun = work.save(begun, "begun")
     sides = begun.select("_a", "_d", "_na").distinct().join(families.select(F.col("x").alias("_d"), F.col("n").alias("_nd")), "_d", "left")
     sides = work.save(sides.withColumn("_nd", F.coalesce("_nd", F.lit(0)) + 1), "sides")
+    other = links.select(F.col("x").alias("_d"), F.col("y").alias("_b"), F.col("s").alias("_t"))
+    other = other.unionByName(sides.select("_d", F.col("_d").alias("_b"), F.lit(1.0).alias("_t")).distinct())
     closed = [
         sides.where("_nd <= _na").join(other, "_d").join(near_of("_a", "_b", "_l"), ["_a", "_b"]),
         sides.where("_nd > _na").join(near_of("_a", "_b", "_l"), "_a").join(other, ["_d", "_b"]),
     ]
     closed = closed[0].select("_a", "_d", "_l", "_t").unionByName(closed[1].select("_a", "_d", "_l", "_t"))
     met = begun.join(closed, ["_a", "_d"]).where("_k <> _l").select(F.least("_k", "_l").alias("key_1"), F.greatest("_k", "_l").alias("key_2"), F.least("_s", "_t").alias("_s"))
-
-    same = pairs.groupBy(F.least(a, b).alias("_p"), F.greatest(a, b).alias("_q")).agg(F.collect_list(key).alias("_keys")).where("size(_keys) > 1")
-    itself = lambda x: homologs.where("x = y").select(F.col("x").alias(f"_{x}"), F.col("s").alias(f"_s{x}"))
-    same = same.join(itself("p"), "_p").join(itself("q"), "_q").select(F.explode("_keys").alias("key_1"), "_keys", F.least("_sp", "_sq").alias("_s"))
-    same = same.select("key_1", F.explode("_keys").alias("key_2"), "_s").where("key_1 < key_2")
-    return met.unionByName(same).groupBy("key_1", "key_2").agg(F.max("_s").alias("similarity"))
+    if not distinct:
+        same = pairs.groupBy(F.least(a, b).alias("_p"), F.greatest(a, b).alias("_q")).agg(F.collect_list(key).alias("_keys")).where("size(_keys) > 1 AND _p IS NOT NULL AND _q IS NOT NULL")
+        same = same.select(F.explode("_keys").alias("key_1"), "_keys").select("key_1", F.explode("_keys").alias("key_2"), F.lit(1.0).alias("_s"))
+        met = met.unionByName(same.where("key_1 < key_2"))
+    return met.groupBy("key_1", "key_2").agg(F.max("_s").alias("similarity"))
 
 
 def _greedy_tail(links: pa.Table) -> pa.RecordBatch:
@@ -119,21 +124,15 @@ def _greedy_tail(links: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(sorted(taken), pa.int64())], names=["taken"])
 
 
-def greedy_representatives(nodes: DataFrame, node: str, edges: DataFrame, rank: str) -> DataFrame:
-    """node, representative and is_representative: in order of rank, each node still free takes its free neighbours.
+def greedy_members(links: DataFrame, work: Workspace) -> DataFrame | None:
+    """lo and first: in order of rank, each node still free takes its free neighbours; of each node taken, the first that would.
 
-    nodes: a written table, read several times. edges: u, v. rank: distinct whole numbers, the smallest first, null for a node
-    without edges; they stand for the nodes in all rounds. Rounds decide many
+    links: a written table of distinct ranks hi < lo, read several times. Rounds decide many
     nodes at once: a node none of whose undecided neighbours comes before it is a representative, its undecided neighbours are
-    members. That is exactly the sequential result; a member belongs to its first representative in order. Links that are
+    members. That is exactly the sequential result. Links that are
     left when they are few are decided one after the other by one task, so that a long chain in order of rank needs no round
-    for every two of its nodes.
+    for every two of its nodes. None without links.
     """
-    work = Workspace(edges.sparkSession, "greedy")
-    ranks = nodes.select(F.col(node).alias("node"), F.col(rank).cast("long").alias("r")).where("r IS NOT NULL")
-    side = lambda x: ranks.select(F.col("node").alias(x), F.col("r").alias(f"r_{x}"))
-    directed = edges.join(side("u"), "u").join(side("v"), "v").where("r_u <> r_v")
-    links = work.save(directed.select(F.least("r_u", "r_v").alias("hi"), F.greatest("r_u", "r_v").alias("lo")).distinct(), "links")
     left, taken, k = links, None, 0
     while n := left.count():
         if n <= FEW_ROWS:
@@ -150,10 +149,54 @@ def greedy_representatives(nodes: DataFrame, node: str, edges: DataFrame, rank:
         work.drop(f"left{k}")
         k += 1
     if taken is None:
-        return nodes.select(F.col(node).alias("node"), F.col(node).alias("representative"), F.lit(True).alias("is_representative"))
+        return None
     free = links.join(taken, F.col("hi") == F.col("taken"), "left_anti").groupBy("lo").agg(F.min("hi").alias("first"))
+    return free.join(taken, F.col("lo") == F.col("taken"), "left_semi")
+
+
+BLOCK = 1 << 16  # ranks whose nodes are placed by one task
+
+
+def greedy_clusters(nodes: DataFrame, node: str, links: DataFrame, rank: str) -> DataFrame:
+    """node, representative, is_representative and cluster_id, consecutive in the order of representatives, by greedy_members().
+
+    nodes: with ranks from 1 without gaps; links as there. All nodes are shuffled once, by blocks of ranks, in which they meet
+    what was decided: a representative's id is its rank less the members before it.
+    """
+    work = Workspace(links.sparkSession, "clusters")
+    named = nodes.select(F.col(rank).alias("r"), F.col(node).alias("node"))
+    members = greedy_members(links, work)
+    if members is None:
+        return named.select("node", F.col("node").alias("representative"), F.lit(True).alias("is_representative"), F.col("r").alias("cluster_id"))
+    members = work.save(members, "members")
+    block = F.expr(f"r div {BLOCK}").alias("_block")
+    counts = named.select(block, F.lit(0).alias("_n")).unionByName(members.select(F.col("lo").alias("r")).select(block, F.lit(1).alias("_n"))).groupBy("_block").agg(F.sum("_n").alias("_n"))
+    ahead = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_ahead"))
+    rows = named.unionByName(members.select(F.col("lo").alias("r"), "first"), True).unionByName(members.select(F.col("first").alias("r"), F.lit(True).alias("head")).distinct(), True)
+    rows = rows.withColumn("_block", block).repartition("_block").groupBy("_block", "r").agg(*(F.max(c).alias(c) for c in ("node", "first", "head")))
+    before = F.count("first").over(Window.partitionBy("_block").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    placed = work.save(rows.join(ahead, "_block").select("r", "node", "first", "head", (F.col("r") - F.col("_ahead") - before).alias("cluster_id")), "placed")
+    heads = placed.where("head").select(F.col("r").alias("first"), F.col("node").alias("representative"), F.lit(False).alias("is_representative"), "cluster_id")
+    alone = placed.where("first IS NULL").select("node", F.col("node").alias("representative"), F.lit(True).alias("is_representative"), "cluster_id")
+    return alone.unionByName(placed.where("first IS NOT NULL").select("node", "first").join(heads, "first").drop("first"))
+
+
+def greedy_representatives(nodes: DataFrame, node: str, edges: DataFrame, rank: str) -> DataFrame:
+    """node, representative and is_representative, by greedy_members().
+
+    nodes: a written table, read several times. edges: u, v. rank: distinct whole numbers, the smallest first, null for a node
+    without edges; they stand for the nodes in all rounds.
+    """
+    work = Workspace(edges.sparkSession, "greedy")
+    ranks = nodes.select(F.col(node).alias("node"), F.col(rank).cast("long").alias("r")).where("r IS NOT NULL")
+    side = lambda x: ranks.select(F.col("node").alias(x), F.col("r").alias(f"r_{x}"))
+    directed = edges.join(side("u"), "u").join(side("v"), "v").where("r_u <> r_v")
+    links = work.save(directed.select(F.least("r_u", "r_v").alias("hi"), F.greatest("r_u", "r_v").alias("lo")).distinct(), "links")
+    members = greedy_members(links, work)
+    if members is None:
+        return nodes.select(F.col(node).alias("node"), F.col(node).alias("representative"), F.lit(True).alias("is_representative"))
     name = lambda r, out: ranks.select(F.col("r").alias(r), F.col("node").alias(out))
-    member = taken.join(free, F.col("taken") == F.col("lo")).join(name("taken", "_node"), "taken").join(name("first", "_rep"), "first").select("_node", "_rep")
+    member = members.join(name("lo", "_node"), "lo").join(name("first", "_rep"), "first").select("_node", "_rep")
     placed = nodes.select(F.col(node).alias("node")).join(member, F.col("node") == F.col("_node"), "left")
     return placed.select("node", F.coalesce("_rep", "node").alias("representative"), F.col("_rep").isNull().alias("is_representative"))
 

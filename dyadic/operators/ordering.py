@@ -36,6 +36,17 @@ def ranked(df: DataFrame, within: Sequence[str], order: Sequence[Column], out: s
     return running(df, within, order, {out: F.lit(1).cast("long")})
 
 
+def numbered(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
+    """ranked() over the whole table, shuffled once: places within a part are given as the part is written."""
+    work = Workspace(df.sparkSession, "numbered")
+    parted = work.save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "parted")
+    parted = parted.withColumn("_part", F.shiftright("_at", 33))
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))  # a row for each part
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_ahead") + 1
+    return parted.join(F.broadcast(ahead), "_part").select(*(F.col(f"`{c}`") for c in df.columns), place.alias(out))
+
+
 def zipped(left: DataFrame, right: DataFrame, left_order: Sequence[Column], right_order: Sequence[Column]) -> DataFrame:
     """The i-th row of left beside the i-th of right, each in its order; the shorter one ends the result.
 

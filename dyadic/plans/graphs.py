@@ -12,7 +12,7 @@ from dyadic.operators import pairs as P
 from dyadic.operators import partition as S
 from dyadic.operators import skew
 from dyadic.operators.bisection import bisect
-from dyadic.operators.ordering import ranked
+from dyadic.operators.ordering import numbered
 from dyadic.plans.catalogue import Catalogue
 from dyadic.session import Workspace, is_missing, table
 
@@ -87,14 +87,17 @@ r AS (SELECT key_1, p.pair_key AS key_2, max(s) AS similarity FROM g JOIN p ON p
 """
 
 
+def _homologs(spark: SparkSession, d: str) -> DataFrame:
+    return Workspace(spark, "redundancy").save(G.mutual(edges(spark, d)), "homologs")
+
+
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """low_pairs and homologs, written: each is read several times."""
-    work = Workspace(spark, "redundancy")
-    return work.save(low_pairs(spark, d), "pairs"), work.save(homologs(spark, d), "homologs")
+    return Workspace(spark, "redundancy").save(low_pairs(spark, d), "pairs"), _homologs(spark, d)
 
 
-def _redundant(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    return G.redundant_pairs(pairs, "pair_key", "a", "b", known)
+def _redundant(pairs: DataFrame, known: DataFrame, key: str = "pair_key") -> DataFrame:
+    return G.redundant_pairs(pairs, key, "a", "b", known, distinct=True)
 
 
 @query(REDUNDANT + "SELECT key_1, key_2, similarity FROM r")
@@ -102,19 +105,13 @@ def redundant_edges(spark: SparkSession, d: str) -> DataFrame:
     return _redundant(*_tables(spark, d))
 
 
-def _ranked_pairs(pairs: DataFrame) -> DataFrame:
-    return G.priority([F.desc("bits"), F.desc("n_segments"), F.col("a"), F.col("b")], pairs)
-
-
-def _greedy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The members and the pairs. Only pairs with links are put in order."""
-    pairs, known = _tables(spark, d)
+def _greedy(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters of all pairs. Their places in order stand for them throughout; names are put in where they are placed."""
+    order = [F.desc("bits"), F.desc("n_segments"), F.col("a"), F.col("b")]
+    pairs = numbered(low_pairs(spark, d).select("a", "b", "bits", "n_segments"), order).select("rank", "a", "b")
     work = Workspace(spark, "greedy_pairs")
-    links = work.save(_redundant(pairs, known).where(F.col("similarity") >= THETA).select(F.col("key_1").alias("u"), F.col("key_2").alias("v")), "links")
-    linked = links.select(F.explode(F.array("u", "v")).alias("pair_key")).distinct()
-    ranks = _ranked_pairs(pairs.join(linked, "pair_key", "left_semi")).select("pair_key", "rank")
-    nodes = work.save(pairs.select("pair_key").join(ranks, "pair_key", "left"), "nodes")
-    return G.greedy_representatives(nodes, "pair_key", links, "rank"), pairs
+    links = work.save(_redundant(pairs, _homologs(spark, d), "rank").where(F.col("similarity") >= THETA).select(F.col("key_1").alias("hi"), F.col("key_2").alias("lo")), "links")
+    return G.greedy_clusters(pairs.select("rank", P.canonical_key("a", "b").alias("node")), "node", links, "rank")
 
 
 #: Nodes with links in order of priority, one after the other, with the list of representatives so far.
@@ -135,18 +132,13 @@ z AS (SELECT o.pair_key, o.rank, coalesce(t.rep, o.rank) AS rep FROM o LEFT JOIN
 
 @query(GREEDY + "SELECT z.pair_key AS node, o.pair_key AS representative, z.rep = z.rank AS is_representative FROM z JOIN o ON o.rank = z.rep")
 def greedy_reps(spark: SparkSession, d: str) -> DataFrame:
-    return _greedy(spark, d)[0]
+    return _greedy(spark, d).drop("cluster_id")
 
 
 @query(GREEDY + "SELECT z.pair_key, o.pair_key AS representative, z.rep = z.rank AS is_representative, dense_rank() OVER (ORDER BY z.rep) AS cluster_id FROM z JOIN o ON o.rank = z.rep")
 def cluster_ids(spark: SparkSession, d: str) -> DataFrame:
     """Members with consecutive cluster ids, in the order of their representatives."""
-    found, pairs = _greedy(spark, d)
-    members = Workspace(spark, "clusters").save(found, "members")
-    representatives = pairs.join(members.where("is_representative").select(F.col("representative").alias("pair_key")), "pair_key", "left_semi")
-    order = [F.desc("bits"), F.desc("n_segments"), F.col("a"), F.col("b")]
-    ids = ranked(representatives, [], order, "cluster_id").select(F.col("pair_key").alias("representative"), "cluster_id")
-    return members.join(ids, "representative").select(F.col("node").alias("pair_key"), "representative", "is_representative", "cluster_id")
+    return _greedy(spark, d).withColumnRenamed("node", "pair_key")
 
 
 @query(

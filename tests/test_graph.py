@@ -325,3 +325,52 @@ def test_bisection_of_many_groups(spark):
     assert 0.02 < share["C3"] < 0.2
     none = bisect(df.limit(0), "a", "b", communities.limit(0), 0.1, 0.1)
     assert none.count() == 0
+
+
+@pytest.mark.parametrize(("name", "most"), [("cluster_ids", 6)])
+def test_queries_shuffle_pairs_without_links_few_times(spark, tmp_path, name, most):
+    """Pairs that nothing is like are by far the most; a query's disk follows how often all of them are shuffled."""
+    from dyadic.plans import graphs
+
+    n = 1000
+    hits = [(f"a{i}", f"b{i}", 0.3) for i in range(n)] + [("a1", "a2", 0.9), ("b1", "b2", 0.9)]
+    rows = [(q, t, f, 0.9, 0.9, 1e-9, 50 + i % 7) for i, (q, t, f) in enumerate(hits)]
+    spark.createDataFrame(rows, ALIGNED + ", bits int").coalesce(1).write.parquet(str(tmp_path / "ara_prot_all_vs_all.parquet"))
+    before = set(shuffled(spark))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = graphs.QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == (1 if name == "redundant_edges" else n)
+    assert sum(k for stage, k in shuffled(spark).items() if stage not in before) < most * n
+
+
+@pytest.mark.parametrize("few", [0, 1 << 15])
+@pytest.mark.parametrize("n_links", [0, 1, 150])
+def test_clusters_over_several_blocks(spark, monkeypatch, few, n_links):
+    """Ids count through from block to block; blocks may have no members, or heads only."""
+    monkeypatch.setattr(G, "FEW_ROWS", few)
+    monkeypatch.setattr(G, "BLOCK", 16)
+    r = random.Random(n_links)
+    n = 100
+    links = {tuple(sorted(r.sample(range(1, n - 40), 2))) for _ in range(n_links)}
+    of = {}
+    for x in range(1, n + 1):
+        if x not in of:
+            of |= {y: x for h, y in sorted(links) if h == x and y not in of} | {x: x}
+    ids = {x: i + 1 for i, x in enumerate(sorted(set(of.values())))}
+    nodes = spark.createDataFrame([(f"n{i}", i) for i in range(1, n + 1)], "node string, rank long")
+    edges = G.Workspace(spark, "test").save(spark.createDataFrame(sorted(links), "hi long, lo long"), "links")
+    got = [tuple(x) for x in G.greedy_clusters(nodes, "node", edges, "rank").select("node", "representative", "is_representative", "cluster_id").collect()]
+    assert sorted(got) == sorted((f"n{x}", f"n{y}", x == y, ids[y]) for x, y in of.items())
+
+
+def test_numbered_as_ranked(spark):
+    from dyadic.operators.ordering import numbered
+
+    r = random.Random(6)
+    rows = sorted({(r.choice([None, 1, 2, 3]), r.randrange(10_000)) for _ in range(3000)}, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "a int, b int")
+    got = {x["rank"]: (x.a, x.b) for x in numbered(df, [F.desc("a"), F.col("b")]).collect()}
+    assert got == {i + 1: x for i, x in enumerate(rows)}
