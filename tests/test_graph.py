@@ -327,7 +327,7 @@ def test_bisection_of_many_groups(spark):
     assert none.count() == 0
 
 
-@pytest.mark.parametrize(("name", "most"), [("cluster_ids", 6), ("greedy_reps", 6)])
+@pytest.mark.parametrize(("name", "most"), [("cluster_ids", 6), ("greedy_reps", 6), ("redundant_edges", 4)])
 def test_queries_shuffle_pairs_without_links_few_times(spark, tmp_path, name, most):
     """Pairs that nothing is like are by far the most; a query's disk follows how often all of them are shuffled."""
     from dyadic.plans import graphs
