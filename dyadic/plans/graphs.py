@@ -272,7 +272,7 @@ def interolog_rules(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH h AS ({HOMOLOGS}), p AS ({PAIRS}) SELECT DISTINCT least(x.y, y.y) AS u, greatest(x.y, y.y) AS v FROM p JOIN h AS x ON x.x = p.a JOIN h AS y ON y.x = p.b WHERE x.y <> y.y")
 def interolog_rules_all(spark: SparkSession, d: str) -> DataFrame:
     """The expansion of every low pair, whatever its bits."""
-    return N.interologs(low_pairs(spark, d).select(F.col("a").alias("u"), F.col("b").alias("v")), homologs(spark, d))
+    return N.interologs_in_cells(low_pairs(spark, d).select(F.col("a").alias("u"), F.col("b").alias("v")), G.mutual(edges(spark, d)))
 
 
 @query(f"WITH {RULES} SELECT a AS u, b AS v FROM p ANTI JOIN f ON p.a = f.u AND p.b = f.v")

@@ -374,3 +374,56 @@ def test_numbered_as_ranked(spark):
     df = spark.createDataFrame(r.sample(rows, len(rows)), "a int, b int")
     got = {x["rank"]: (x.a, x.b) for x in numbered(df, [F.desc("a"), F.col("b")]).collect()}
     assert got == {i + 1: x for i, x in enumerate(rows)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_interologs_in_cells(spark, seed):
+    """Many parts and small pieces give what the joins give; pairs may be repeated, and homologs be without pairs."""
+    r = random.Random(seed)
+    draw = lambda k: [f"n{r.randint(0, 40)}" for _ in range(k)]
+    positives = [*zip(draw(60), draw(60)), ("n1", "alone"), ("n1", None), ("n2", "n2")]
+    links = {tuple(sorted(p)) for p in zip(draw(30), draw(30)) if p[0] != p[1]} | {("n1", "n2"), ("n3", "unpaired")}
+    pairs_of = spark.createDataFrame(positives, "u string, v string")
+    edges = spark.createDataFrame([(u, v, 0.9) for u, v in links], "u string, v string, similarity double")
+    nodes = spark.createDataFrame([(x,) for x in {y for p in positives for y in p if y}], "node string")
+    want = {tuple(x) for x in negatives.interologs(pairs_of, G.reflexive(edges, nodes, "node")).collect()}
+    got = [tuple(x) for x in negatives.interologs_in_cells(pairs_of, G.mutual(edges), names=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    none = negatives.interologs_in_cells(pairs_of.where("u = 'x'"), G.mutual(edges.where("u = 'x'")))
+    assert none.columns == ["u", "v"] and none.count() == 0
+
+
+def test_pieces_of_a_cell(monkeypatch):
+    """Pieces hold whole nodes, so that no pair is made twice."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    a, b, x, y = (r.integers(0, 50, 400) for _ in range(4))
+    near = lambda n, lo: {n} & set(range(lo, lo + 25)) | {q for p, q in zip(x.tolist(), y.tolist()) if p == n and lo <= q < lo + 25}
+    for limit in (1, 300, 1 << 19):
+        monkeypatch.setattr(negatives, "CELL_ROWS", limit)
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            want = {(u, v) for p, q in zip(a.tolist(), b.tolist()) for u in near(p, 25 * i) for v in near(q, 25 * j) if u < v}
+            got = [t for u, v in negatives._cell_pairs((a, b), (x, y), i, j, 25) for t in zip(u.tolist(), v.tolist())]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_interologs_of_a_hub_are_not_shuffled(spark, tmp_path):
+    """A hub's homologs times its pairs are returned, as many as there are, but no stage shuffles them."""
+    import duckdb
+    from oracle import table
+    from dyadic.plans import graphs
+
+    n = 200
+    hits = [("H", f"h{i}", 0.9) for i in range(n)] + [("H", f"p{i}", 0.3) for i in range(n)] + [("q", "h0", 0.2)]
+    at = str(tmp_path / "ara_prot_all_vs_all.parquet")
+    spark.createDataFrame([(q, t, f, 0.9, 0.9, 1e-9, 50) for q, t, f in hits], ALIGNED + ", bits int").coalesce(1).write.parquet(at)
+    before = set(shuffled(spark))
+    df = graphs.QUERIES["interolog_rules_all"](spark, str(tmp_path))
+    got = df.collect()
+    assert len(got) > n * n
+    assert max(rows for stage, rows in shuffled(spark).items() if stage not in before) < 20 * n
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW ara_prot_all_vs_all AS SELECT * FROM '{at}/*.parquet'")
+    want = con.execute(graphs.SQL["interolog_rules_all"])
+    assert table(df.columns, got) == table([c[0] for c in want.description], want.fetchall())
