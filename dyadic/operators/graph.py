@@ -75,6 +75,21 @@ def component_keys(pairs: DataFrame, a: str, b: str, parts: DataFrame) -> DataFr
     return out.withColumn("component_key", F.concat_ws("|", F.least("_ka", "_kb"), F.greatest("_ka", "_kb"))).drop("_a", "_b", "_ka", "_kb")
 
 
+FILTER_BITS = 1 << 23  # in words of 64 bits, so that no more than 2^17 rows are broadcast
+
+
+def maybe_among(rows: DataFrame, on: str, nodes: DataFrame, node: str) -> DataFrame:
+    """rows whose value is among nodes, and a few others: those whose hash meets one of theirs, more as the nodes fill FILTER_BITS.
+
+    To be used before a join, so that most of the rows that it would drop aren't shuffled.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = nodes.select(place(node).alias("_h")).groupBy(F.expr("_h div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 AS int)))").alias("_bits"))
+    placed = rows.withColumn("_h", place(on))
+    met = (F.expr("_h div 64") == F.col("_word")) & F.expr("shiftrightunsigned(_bits, cast(_h % 64 AS int)) % 2 <> 0")
+    return placed.join(F.broadcast(words), met, "left_semi").drop("_h")
+
+
 def redundant_pairs(pairs: DataFrame, key: str, a: str, b: str, homologs: DataFrame, distinct: bool = False) -> DataFrame:
     """key_1 < key_2 and similarity of the pairs that are alike: the better of both ways to set ends against ends.
 
@@ -88,8 +103,9 @@ def redundant_pairs(pairs: DataFrame, key: str, a: str, b: str, homologs: DataFr
     links = work.save(homologs.where("x <> y").groupBy("x", "y").agg(F.max("s").alias("s")), "links")
     families = links.groupBy("x").agg(F.count("*").alias("n"))
     # pairs by each end that has homologs
-    turned = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
-    near = work.save(pairs.select(F.inline(turned), F.col(key).alias("key")).join(families, "x", "left_semi"), "near")
+    ends = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
+    turned = maybe_among(pairs.select(F.inline(ends), F.col(key).alias("key")), "x", families, "x")
+    near = work.save(turned.join(families, "x", "left_semi"), "near")
     near_of = lambda x, y, k: near.select(F.col("x").alias(x), F.col("y").alias(y), F.col("key").alias(k))
     n_pairs = lambda x: near.groupBy(F.col("x").alias(f"_{x}")).agg(F.count("*").alias(f"_n{x}"))
 

@@ -427,3 +427,33 @@ def test_interologs_of_a_hub_are_not_shuffled(spark, tmp_path):
     con.execute(f"CREATE VIEW ara_prot_all_vs_all AS SELECT * FROM '{at}/*.parquet'")
     want = con.execute(graphs.SQL["interolog_rules_all"])
     assert table(df.columns, got) == table([c[0] for c in want.description], want.fetchall())
+
+
+@pytest.mark.parametrize(("name", "most"), [("greedy_reps", 4), ("redundant_edges", 2)])
+def test_pairs_without_links_are_not_shuffled_to_find_links(spark, tmp_path, name, most):
+    """Pairs neither of whose ends has homologs are dropped where they are, before they are joined with the links."""
+    from dyadic.plans import graphs
+
+    n = 1000
+    hits = [(f"a{i}", f"b{i}", 0.3) for i in range(n)] + [("a1", "a2", 0.9), ("b1", "b2", 0.9)]
+    rows = [(q, t, f, 0.9, 0.9, 1e-9, 50 + i % 7) for i, (q, t, f) in enumerate(hits)]
+    spark.createDataFrame(rows, ALIGNED + ", bits int").coalesce(1).write.parquet(str(tmp_path / "ara_prot_all_vs_all.parquet"))
+    before = set(shuffled(spark))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = graphs.QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == (1 if name == "redundant_edges" else n)
+    assert sum(k for stage, k in shuffled(spark).items() if stage not in before) < most * n
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 10, 1 << 23])
+def test_maybe_among_keeps_all_that_are(spark, monkeypatch, bits):
+    """A filter that is full keeps all rows; none drops a row whose value is among the nodes, or repeats one."""
+    monkeypatch.setattr(G, "FILTER_BITS", bits)
+    rows = spark.createDataFrame([(f"n{i % 400}", i) for i in range(800)] + [(None, -1)], "x string, i int")
+    got = [r.i for r in G.maybe_among(rows, "x", spark.createDataFrame([(f"n{i}",) for i in range(0, 400, 2)] * 2, "node string"), "node").collect()]
+    sure = {i for i in range(800) if i % 2 == 0}
+    assert len(got) == len(set(got)) and sure <= set(got)
+    assert bits < 1 << 20 or set(got) - {-1} == sure
