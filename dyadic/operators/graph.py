@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -90,11 +92,12 @@ def maybe_among(rows: DataFrame, on: str, nodes: DataFrame, node: str) -> DataFr
     return placed.join(F.broadcast(words), met, "left_semi").drop("_h")
 
 
-def redundant_pairs(pairs: DataFrame, key: str, a: str, b: str, homologs: DataFrame, distinct: bool = False) -> DataFrame:
+def redundant_pairs(pairs: DataFrame, key: str | Callable[[str, str], Column], a: str, b: str, homologs: DataFrame, distinct: bool = False) -> DataFrame:
     """key_1 < key_2 and similarity of the pairs that are alike: the better of both ways to set ends against ends.
 
-    homologs: mutual() or reflexive(), as each node counts as its own homolog at similarity 1; both tables are read several
-    times. distinct: no two pairs have the same ends, in whatever order. Pairs of other ends differ on one side at least, so each match
+    key: a column, or what makes it of both ends in whatever order, so that it isn't written beside them. homologs: mutual() or
+    reflexive(), as each node counts as its own homolog at similarity 1; read once, as pairs are if distinct, else twice.
+    distinct: no two pairs have the same ends, in whatever order. Pairs of other ends differ on one side at least, so each match
     is begun at a link of two different homologs, from the end with fewer pairs, and closed on the other side by that side's
     homologs or by the pairs of the link's other end, whichever are fewer. Rows so follow the links and the matches; to expand
     both ends of every pair would make the product of a hub's pairs and its homologs. Pairs of the same ends are met apart.
@@ -104,9 +107,9 @@ def redundant_pairs(pairs: DataFrame, key: str, a: str, b: str, homologs: DataFr
     families = links.groupBy("x").agg(F.count("*").alias("n"))
     # pairs by each end that has homologs
     ends = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
-    turned = maybe_among(pairs.select(F.inline(ends), F.col(key).alias("key")), "x", families, "x")
+    turned = maybe_among(pairs.select(F.inline(ends), *([] if callable(key) else [F.col(key).alias("key")])), "x", families, "x")
     near = work.save(turned.join(families, "x", "left_semi"), "near")
-    near_of = lambda x, y, k: near.select(F.col("x").alias(x), F.col("y").alias(y), F.col("key").alias(k))
+    near_of = lambda x, y, k: near.select(F.col("x").alias(x), F.col("y").alias(y), (key("x", "y") if callable(key) else F.col("key")).alias(k))
     n_pairs = lambda x: near.groupBy(F.col("x").alias(f"_{x}")).agg(F.count("*").alias(f"_n{x}"))
 
     begun = links.select(F.col("x").alias("_c"), F.col("y").alias("_a"), F.col("s").alias("_s")).join(n_pairs("c"), "_c").join(n_pairs("a"), "_a")
@@ -123,7 +126,7 @@ def redundant_pairs(pairs: DataFrame, key: str, a: str, b: str, homologs: DataFr
     closed = closed[0].select("_a", "_d", "_l", "_t").unionByName(closed[1].select("_a", "_d", "_l", "_t"))
     met = begun.join(closed, ["_a", "_d"]).where("_k <> _l").select(F.least("_k", "_l").alias("key_1"), F.greatest("_k", "_l").alias("key_2"), F.least("_s", "_t").alias("_s"))
     if not distinct:
-        same = pairs.groupBy(F.least(a, b).alias("_p"), F.greatest(a, b).alias("_q")).agg(F.collect_list(key).alias("_keys")).where("size(_keys) > 1 AND _p IS NOT NULL AND _q IS NOT NULL")
+        same = pairs.groupBy(F.least(a, b).alias("_p"), F.greatest(a, b).alias("_q")).agg(F.collect_list(key(a, b) if callable(key) else key).alias("_keys")).where("size(_keys) > 1 AND _p IS NOT NULL AND _q IS NOT NULL")
         same = same.select(F.explode("_keys").alias("key_1"), "_keys").select("key_1", F.explode("_keys").alias("key_2"), F.lit(1.0).alias("_s"))
         met = met.unionByName(same.where("key_1 < key_2"))
     return met.groupBy("key_1", "key_2").agg(F.max("_s").alias("similarity"))

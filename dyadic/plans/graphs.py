@@ -102,7 +102,7 @@ def _redundant(pairs: DataFrame, known: DataFrame, key: str = "pair_key") -> Dat
 
 @query(REDUNDANT + "SELECT key_1, key_2, similarity FROM r")
 def redundant_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _redundant(*_tables(spark, d))
+    return G.redundant_pairs(low_pairs(spark, d).select("a", "b"), P.canonical_key, "a", "b", _homologs(spark, d), distinct=True)
 
 
 def _greedy(spark: SparkSession, d: str) -> DataFrame:

@@ -457,3 +457,24 @@ def test_maybe_among_keeps_all_that_are(spark, monkeypatch, bits):
     sure = {i for i in range(800) if i % 2 == 0}
     assert len(got) == len(set(got)) and sure <= set(got)
     assert bits < 1 << 20 or set(got) - {-1} == sure
+
+
+def written(spark):
+    """Rows that each stage so far has written to tables, by its number."""
+    jvm, none = spark._jvm, spark._sc._gateway.new_array(spark._jvm.double, 0)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).outputRecords() for i in range(stages.size())}
+
+
+def test_redundant_edges_write_no_table_of_all_pairs(spark, tmp_path):
+    """What is written on the way follows the pairs with links; keys are made of the ends where they are read."""
+    from dyadic.plans import graphs
+
+    n = 1000
+    hits = [(f"a{i}", f"b{i}", 0.3) for i in range(n)] + [("a1", "a2", 0.9), ("b1", "b2", 0.9)]
+    spark.createDataFrame([(q, t, f, 0.9, 0.9, 1e-9, 50) for q, t, f in hits], ALIGNED + ", bits int").coalesce(1).write.parquet(str(tmp_path / "ara_prot_all_vs_all.parquet"))
+    before = set(written(spark))
+    got = graphs.QUERIES["redundant_edges"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("A1|B1", "A2|B2", 0.9)]
+    assert sum(k for stage, k in written(spark).items() if stage not in before) < n // 10
